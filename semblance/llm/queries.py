@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8
+from .quality import op10
+from .urls import op9
 
 QUERIES = {
     "op8_mix_sources": op8,
+    "op9_url_filter": op9,
+    "op10_quality_rules": op10,
 }
 
 SQL = {
