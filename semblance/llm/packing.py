@@ -11,6 +11,8 @@ the pieces of one length or source in one task.
 from __future__ import annotations
 
 import base64
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,17 +32,16 @@ def encoder(vocabulary: str):
 
     Its ids are those of NAME.json with special tokens read as text, at five times the speed.
     """
-    if vocabulary not in _encoders:
+    # code arrives with each task, so what outlives a task is kept with the interpreter
+    held = sys.modules.setdefault("_held_encoders", types.ModuleType("_held_encoders")).__dict__
+    if vocabulary not in held:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
-
-
-_encoders: dict = {}
+        held[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return held[vocabulary]
 
 
 def encode(vocabulary: str, text: str) -> np.ndarray:

@@ -6,10 +6,12 @@ from .mixing import OP8_SQL, op8
 from .packing import op1
 from .quality import op10
 from .secrets import op7
+from .toxicity import op6
 from .urls import op9
 
 QUERIES = {
     "op1_pack_best_fit": op1,
+    "op6_toxicity": op6,
     "op7_secret_scan": op7,
     "op8_mix_sources": op8,
     "op9_url_filter": op9,
