@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8
+from .neardup import op4
 from .packing import op1
 from .quality import op10
 from .secrets import op7
@@ -11,6 +12,7 @@ from .urls import op9
 
 QUERIES = {
     "op1_pack_best_fit": op1,
+    "op4_near_duplicates": op4,
     "op6_toxicity": op6,
     "op7_secret_scan": op7,
     "op8_mix_sources": op8,
