@@ -7,11 +7,13 @@ from .neardup import op4
 from .packing import op1
 from .quality import op10
 from .secrets import op7
+from .substrings import op2
 from .toxicity import op6
 from .urls import op9
 
 QUERIES = {
     "op1_pack_best_fit": op1,
+    "op2_repeated_substrings": op2,
     "op4_near_duplicates": op4,
     "op6_toxicity": op6,
     "op7_secret_scan": op7,
