@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import OP8_SQL, op8
 from .neardup import op4
+from .neighbours import op3
 from .packing import op1
 from .quality import op10
 from .secrets import op7
@@ -14,6 +15,7 @@ from .urls import op9
 QUERIES = {
     "op1_pack_best_fit": op1,
     "op2_repeated_substrings": op2,
+    "op3_nearest_neighbours": op3,
     "op4_near_duplicates": op4,
     "op6_toxicity": op6,
     "op7_secret_scan": op7,
