@@ -97,6 +97,19 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text",
     )
 
 
+def mixed_documents(docs: DataFrame, scratch: Scratch, **named) -> DataFrame:
+    """docs, with all its columns, in the copies that the mix takes of each.
+
+    A document taken in part comes whole if half of it or more is taken. What has no words comes as often as its source's whole copies.
+    """
+    names = docs.columns
+    inside = docs.select(*[F.col(c).alias(f"__{c}") for c in names], *[F.col(named.get(k, d)).alias(f"_{d}") for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))])
+    rest = {k: v for k, v in named.items() if k not in ("id_col", "text_col", "source_col")}
+    rows = mix(inside, scratch, id_col="_doc_id", text_col="_text", source_col="_source", extra=tuple(f"__{c}" for c in names), **rest)
+    whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.floor("rate")).cast("int")
+    return rows.withColumn("times", whole).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"__{c}").alias(c) for c in names])
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), Scratch(spark, "op8")).select("doc_id", "size", "source_size", "target", "taken")
 

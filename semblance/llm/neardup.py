@@ -166,6 +166,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs, with all its columns, without those of a group (by doc_id and text) that aren't its first; rows with null id stay."""
+    gone = near_duplicates(docs, scratch).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet of one component."""
     x = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")

@@ -9,6 +9,7 @@ from .packing import op1
 from .quality import op10
 from .secrets import op7
 from .substrings import op2
+from .tokencount import op5
 from .toxicity import op6
 from .urls import op9
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_repeated_substrings": op2,
     "op3_nearest_neighbours": op3,
     "op4_near_duplicates": op4,
+    "op5_token_counts": op5,
     "op6_toxicity": op6,
     "op7_secret_scan": op7,
     "op8_mix_sources": op8,
