@@ -162,14 +162,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     scratch.drop(sets, nodes)
 
     out = members.join(roots, "node", "left")
-    root = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "node"))
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs, with all its columns, without those of a group (by doc_id and text) that aren't its first; rows with null id stay."""
-    gone = near_duplicates(docs, scratch).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, scratch).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
