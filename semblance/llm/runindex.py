@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols packed into the first sort key, 9 bits each.
-PACK = 7
+#: Symbols packed into the first sort key, 9 bits each; bits that a place takes when it rides along in a key.
+PACK, PLACE_BITS = 4, 21
 
 
 class RunIndex:
@@ -39,21 +39,29 @@ class RunIndex:
             key = (key << 9) | np.where(alive, padded[k : k + n], 0)
             alive &= padded[k : k + n] > 0
         self.levels, width, count = [], PACK, len(self.ends)
+        # keys and their places fit in one word for all but very large collections, and are sorted as plain numbers
+        packed, place = n + count < 1 << PLACE_BITS, np.arange(n)
         while True:
-            order = np.argsort(key)
-            in_order = key[order]
+            if packed:
+                ordered = np.sort((key << PLACE_BITS) | place)
+                order, in_order = ordered & ((1 << PLACE_BITS) - 1), ordered >> PLACE_BITS
+            else:
+                order = np.argsort(key)
+                in_order = key[order]
             fresh = np.empty(n, bool)
             fresh[:1], fresh[1:] = True, in_order[1:] != in_order[:-1]
             rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(fresh) - 1
+            rank[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
             self.levels.append((width, rank))
             if width >= depth or fresh.all():
                 self.order, self.rank = order, rank
                 return
             # past its terminator a suffix goes on with the number of its string, below all ranks
-            at = np.arange(n) + width
-            inside = at <= self.end_at
-            key = (rank.astype(np.int64) << 32) | np.where(inside, rank[np.minimum(at, n - 1)].astype(np.int64) + count, self.text_of)
+            at = place + width
+            second = self.text_of.copy()
+            inside = np.flatnonzero(at <= self.end_at)
+            second[inside] = rank[inside + width].astype(np.int64) + count
+            key = (rank.astype(np.int64) << (PLACE_BITS if packed else 32)) | second
             width *= 2
 
     def _runs(self, n: int) -> None:
@@ -80,20 +88,34 @@ class RunIndex:
             got += (self.symbols[at] == self.symbols[to]) & (got < limit)
         return np.minimum(got, limit)
 
-    def statistics(self) -> np.ndarray:
-        """For each place the longest string from there that also starts elsewhere in the collection."""
+    def statistics(self, least: int = 0) -> np.ndarray:
+        """For each place the longest string from there that also starts elsewhere in the collection.
+
+        With ``least``, values below it may come out smaller: run ends that agree on less are not extended.
+        """
+        width, rough = max(((w, r) for w, r in self.levels if w <= least), key=lambda x: x[0], default=(0, None))
         n, best = len(self.symbols), np.zeros(len(self.symbols), np.int64)
         place = np.arange(n)
         for rows, other in ((self.heads[self.heads > 0], -1), (self.tails[self.tails < n - 1], 1)):
             sampled = np.zeros(n, np.int64)
-            at = self.order[rows]
-            sampled[at] = self.extension(at, self.order[rows + other]) + at
+            at, to = self.order[rows], self.order[rows + other]
+            if rough is not None:
+                near = rough[at] == rough[to]
+                at, to = at[near], to[near]
+            sampled[at] = self.extension(at, to) + at
             best = np.maximum(best, np.maximum.accumulate(sampled) - place)
         return np.minimum(best, self.end_at - place)
 
 
-def repeated(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the offsets from which ``length`` bytes also start elsewhere in the strings."""
+def repeated(strings: list[bytes], length: int, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each string the offsets from which ``length`` bytes also start elsewhere in the strings.
+
+    A string that stands for several equal ones (``times``) is indexed once; its copies match it to its end.
+    """
     index = RunIndex(strings)
-    long = index.statistics() >= length
+    best = index.statistics(length)
+    if times is not None:
+        copied = np.repeat(np.asarray(times) > 1, index.ends - index.starts + 1)
+        best = np.where(copied, index.end_at - np.arange(len(best)), best)
+    long = best >= length
     return [np.flatnonzero(long[s:e]) for s, e in zip(index.starts, index.ends, strict=True)]

@@ -7,8 +7,8 @@ windows of one anchor occurrence (a contiguous range) form a segment, and every
 the corpus is in exactly one segment. Segments of equal anchors meet in one task, where a
 run-length index (runindex.py) over them gives matching statistics, and long matches are marked.
 
-Hot anchors: equal segments are told apart by digest and sent at most twice by a task (the index needs no third
-copy); segments of an anchor with over HOT occurrences are cut in pieces that are dealt out by a core of
+Hot anchors: equal segments are known by digest and sent at most twice by a task (the index needs one copy and to
+know of a second); segments of an anchor with over HOT occurrences are cut in pieces that are dealt out by a core of
 LENGTH - PIECE + 1 bytes, so that only windows that share almost everything still meet.
 """
 
@@ -163,13 +163,10 @@ def _segment_batches(length: int):
 
 def _index_batches(length: int):
     def marked(groups: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
-        """Ranges of repeated windows of each distinct segment; of equal ones two stand for all."""
-        strings = [x for _, _, x, times in groups for _ in range(min(2, times))]
-        found = repeated(strings, length) if strings else []
-        out, k = ([], [], []), 0
-        for anchor, d, _, times in groups:
-            at = found[k]
-            k += min(2, times)
+        """Ranges of repeated windows of each distinct segment."""
+        found = repeated([x for _, _, x, _ in groups], length, [times for *_, times in groups]) if groups else []
+        out = ([], [], [])
+        for (anchor, d, _, _), at in zip(groups, found, strict=True):
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
                 edges = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], axis=1)
@@ -191,7 +188,7 @@ def _index_batches(length: int):
                     groups, held = [], 0
                 anchor_now = anchor
                 groups.append((anchor, d, x, times))
-                held += 2 * len(x)
+                held += len(x)
         yield marked(groups)
 
     return run
