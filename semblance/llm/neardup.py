@@ -6,9 +6,9 @@ equal sets become one class. Classes that share a band are candidates; the simil
 candidate pair is estimated by counting equal signature fields and correcting for those that agree by chance,
 and pairs whose estimate is within SLACK of the threshold are confirmed on full sets.
 
-No bucket is ever turned into all its pairs. Every member is first held against one pivot, then
-against the pivots of its other bands, each time only where no link is known yet. What is
-then still in different components of a bucket is compared across components, so that no
+No bucket is ever turned into all its pairs. Every member is first held against one pivot. Where a bucket
+then holds several components, those outside the most frequent one meet a member of it; what is
+still in different components of a bucket is compared across components, so that no
 link that could join them is lost.
 """
 
@@ -34,6 +34,8 @@ PERCENT = 85
 SLACK = 0.17
 #: Ids up to this number (8 bytes each) are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shuffles the order of ids by which pivots are chosen.
+MASK = 0x5A17_3C69_0F2D_4B8E
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNATURE = [f"g{k}" for k in range(MINIMA * BITS // WORD_BITS)]
@@ -127,35 +129,36 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     members = scratch.keep(sketches.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "node"))
     scratch.drop(sketches)
 
-    # each bucket has a pivot of its own: the least id after a shuffle of the bits by the bucket's key
+    # a bucket's pivot is its least id after a fixed shuffle of the bits: the same in most buckets of a large group
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    masked = F.col("node").bitwiseXOR(F.xxhash64("band"))
+    masked = F.col("node").bitwiseXOR(F.lit(MASK))
     pivots = in_bands.groupBy("band").agg(F.min(masked).alias("least"), F.max(masked).alias("most")).where("least < most")
-    pivots = pivots.select("band", F.col("least").bitwiseXOR(F.xxhash64("band")).alias("pivot"))
+    pivots = pivots.select("band", F.col("least").bitwiseXOR(F.lit(MASK)).alias("pivot"))
     shared = scratch.keep(in_bands.join(pivots, "band").select("band", "node", "pivot").distinct())
     marks = nodes.drop("bands").dropDuplicates(["node"])
-    star = shared.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    found = star.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y"))
-    star = scratch.keep(found.select("a", "b", estimate("x", "y").alias("similarity")))
     sets = scratch.keep(_sets_of(rows, shared.select("node").distinct()))
+    shared_pivots = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
 
-    # the pivot that looks nearest, for each member; then the other pivots, where that left a gap
-    first = star.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b")
-    links = scratch.keep(confirmed(first, sets))
+    # the pivot met in most bands, for each member
+    first = shared_pivots.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    tried = scratch.keep(_likely(first, marks))
+    links = scratch.keep(confirmed(tried, sets))
     roots = components(links, scratch)
-    more = scratch.keep(confirmed(_across(star.select("a", "b").join(first, ["a", "b"], "left_anti"), roots), sets))
-    links = scratch.keep(links.unionByName(more))
+
+    # buckets that still hold several components: who is not of the most frequent one meets a member of that
+    placed, main = _split(shared, roots)
+    lead = placed.join(main, "band").where("root <> main").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    second = scratch.keep(_likely(lead.join(tried, ["a", "b"], "left_anti"), marks))
+    links = scratch.keep(links.unionByName(confirmed(second, sets)))
     roots = components(links, scratch)
 
-    # buckets that still hold several components: whoever is not of the most frequent one meets all members of others
-    placed = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "main")
-    split = scratch.keep(placed.join(main, "band").join(marks, "node"))
+    # and what even so is in several components is compared across them
+    placed, main = _split(shared, roots)
+    split = scratch.keep(placed.join(main.select("band", "main"), "band").join(marks, "node"))
     across = split.where("root <> main").alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & comparable("x", "y"))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = scratch.keep(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), sets))
+    seen = tried.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = scratch.keep(confirmed(pairs.join(seen, ["a", "b"], "left_anti"), sets))
     if not last.isEmpty():
         links = scratch.keep(links.unionByName(last))
         roots = components(links, scratch)
@@ -172,10 +175,17 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet of one component."""
-    x = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and signatures allow a link."""
+    return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y")).select("a", "b")
+
+
+def _split(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with their components; and of buckets with several the most frequent one and its lead."""
+    placed = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(F.lit(MASK))).bitwiseXOR(F.lit(MASK)).alias("lead"))
+    main = counts.groupBy("band").agg(F.max_by(F.struct("root", "lead"), F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return placed, main.select("band", F.col("m.root").alias("main"), F.col("m.lead").alias("lead"))
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
