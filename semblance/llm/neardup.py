@@ -124,18 +124,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     kinds = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in SIGNATURE)
     sketches = scratch.keep(rows.mapInArrow(_sketch_batches, kinds))
     real = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = scratch.keep(real.join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "n_shingles", "bands", *SIGNATURE))
+    # what sums rows up is written before it is joined: then both sides are plain shuffles, and a hot key can be split
+    classes = scratch.keep(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
+    nodes = scratch.keep(real.join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "n_shingles", "bands", *SIGNATURE).dropDuplicates(["node"]))
     members = scratch.keep(sketches.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "node"))
-    scratch.drop(sketches)
+    scratch.drop(sketches, classes)
 
     # a bucket's pivot is its least id after a fixed shuffle of the bits: the same in most buckets of a large group
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
     masked = F.col("node").bitwiseXOR(F.lit(MASK))
     pivots = in_bands.groupBy("band").agg(F.min(masked).alias("least"), F.max(masked).alias("most")).where("least < most")
-    pivots = pivots.select("band", F.col("least").bitwiseXOR(F.lit(MASK)).alias("pivot"))
+    pivots = scratch.keep(pivots.select("band", F.col("least").bitwiseXOR(F.lit(MASK)).alias("pivot")))
     shared = scratch.keep(in_bands.join(pivots, "band").select("band", "node", "pivot").distinct())
-    marks = nodes.drop("bands").dropDuplicates(["node"])
+    marks = nodes.drop("bands")
     sets = scratch.keep(_sets_of(rows, shared.select("node").distinct()))
     shared_pivots = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,14 +147,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     roots = components(links, scratch)
 
     # buckets that still hold several components: who is not of the most frequent one meets a member of that
-    placed, main = _split(shared, roots)
+    placed, main = _split(shared, roots, scratch)
     lead = placed.join(main, "band").where("root <> main").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     second = scratch.keep(_likely(lead.join(tried, ["a", "b"], "left_anti"), marks))
     links = scratch.keep(links.unionByName(confirmed(second, sets)))
     roots = components(links, scratch)
 
     # and what even so is in several components is compared across them
-    placed, main = _split(shared, roots)
+    placed, main = _split(shared, roots, scratch)
     split = scratch.keep(placed.join(main.select("band", "main"), "band").join(marks, "node"))
     across = split.where("root <> main").alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & comparable("x", "y"))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -180,12 +181,12 @@ def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y")).select("a", "b")
 
 
-def _split(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with their components; and of buckets with several the most frequent one and its lead."""
     placed = shared.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(F.lit(MASK))).bitwiseXOR(F.lit(MASK)).alias("lead"))
     main = counts.groupBy("band").agg(F.max_by(F.struct("root", "lead"), F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return placed, main.select("band", F.col("m.root").alias("main"), F.col("m.lead").alias("lead"))
+    return placed, scratch.keep(main.select("band", F.col("m.root").alias("main"), F.col("m.lead").alias("lead")))
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,3 +199,16 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), Scratch(spark, "op4"))
+
+
+OP4_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= {SHINGLE} then list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= {PERCENT} * (x.n + y.n - i)),
+both_ways as (select a, b from link union all select b, a from link),
+reach(a, b) as (select doc_id, doc_id from documents union select reach.a, both_ways.b from reach join both_ways on both_ways.a = reach.b),
+least_of as (select a, min(b) as c from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, coalesce(doc_id = c, true) as kept from documents left join n using (doc_id) left join least_of on a = doc_id
+"""

@@ -141,4 +141,37 @@ def judge(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text"
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir), Scratch(spark, "op10"))
+    return judge(documents(spark, sf_dir), Scratch(spark, "op10")).drop("class_distance", "word_distance")
+
+
+def _listed(words_: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words_) + "]"
+
+
+def _js(name: str, counts: str) -> str:
+    """SQL of the distances of lists of counts to those of their language."""
+    return f"""{name}_x as (select r, lang, unnest({counts}) as n, unnest(range(1, len({counts}) + 1)) as i from b),
+{name}_q as (select lang, i, sum(n)::double as m from {name}_x join b using (r, lang) where not base_failed group by lang, i union all select null, i, sum(n)::double from {name}_x join b using (r) where b.lang is null and not base_failed group by i),
+{name}_p as (select x.r, x.n::double / sum(x.n) over (partition by x.r) as a, q.m / sum(q.m) over (partition by x.r) as b from {name}_x x join {name}_q q on q.i = x.i and q.lang is not distinct from x.lang),
+{name} as (select r, sqrt(greatest(0, sum((case when a > 0 then a * log2(a / ((a + b) / 2)) else 0 end + case when b > 0 then b * log2(b / ((a + b) / 2)) else 0 end) / 2))) as d from {name}_p group by r)"""
+
+
+OP10_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') as s,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+win as (select r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') as x from (select r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from w where len(ws) > {WINDOW})),
+dup as (select r, x from win group by r, x having count(*) > 1),
+cov as (select r, count(distinct p) as n from (select win.r, unnest(range(i, i + {WINDOW})) as p from win join dup using (r, x)) group by r),
+k as (select *, length(s) - length(regexp_replace(s, '[a-z]', '', 'g')) as c0, length(s) - length(regexp_replace(s, '[A-Z]', '', 'g')) as c1, length(s) - length(regexp_replace(s, '[0-9]', '', 'g')) as c2,
+  length(s) - length(regexp_replace(s, '[.,;:!?''"()-]', '', 'g')) as c3, length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) as c4,
+  case lang {" ".join(f"when '{k}' then {_listed(v)}" for k, v in COMMON.items())} end as known, list_transform(ws, lambda x: rtrim(lower(x), '.,;:!?''"()-')) as bare from w),
+b as (select k.*, len(ws) as n_words, length(s) as word_chars, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words,
+  len(ws) < 20 or 100 * coalesce(cov.n, 0) > 30 * len(ws) as base_failed, [c0, c1, c2, c3, c4, length(s) - c0 - c1 - c2 - c3 - c4] as classes,
+  list_append(list_transform(known, lambda y: len(list_filter(bare, lambda x: x = y))), len(list_filter(bare, lambda x: not list_contains(known, x)))) as common from k left join cov using (r)),
+{_js("jc", "classes")},
+{_js("jw", "common")}
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, c4::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not coalesce(word_chars >= {MIN_CHARS} and jc.d > {MAX_CLASS_DISTANCE}, false) and not coalesce(n_words >= {MIN_WORDS} and jw.d > {MAX_WORD_DISTANCE} + {WORD_SCATTER} / sqrt(n_words), false) as kept
+from b left join jc using (r) left join jw using (r)
+"""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8
-from .neardup import op4
+from .neardup import OP4_SQL, op4
 from .neighbours import op3
 from .packing import op1
-from .quality import op10
+from .quality import OP10_SQL, op10
 from .secrets import op7
-from .substrings import op2
+from .substrings import OP2_SQL, op2
 from .tokencount import op5
 from .toxicity import op6
 from .urls import op9
@@ -27,5 +27,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_repeated_substrings": OP2_SQL,
+    "op4_near_duplicates": OP4_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op10_quality_rules": OP10_SQL,
 }

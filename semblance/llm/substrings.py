@@ -215,12 +215,13 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, spans) of docs(k1, k2, text): the byte ranges of each distinct text that repeat."""
     found = scratch.keep(docs.mapInArrow(_anchor_batches(length, gram), "anchor bigint, k1 bigint, k2 bigint, at bigint"))
-    many = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join reads two plain shuffles and a hot anchor can be split
+    many = scratch.keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     marks = found.join(many, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", (F.col("n") > HOT).alias("hot"))).alias("marks"), F.count(F.lit(1)).alias("all"))
     marks = marks.select("k1", "k2", "marks", (F.col("all") / F.size("marks")).cast("int").alias("copies"))
     with_text = docs.join(marks, ["k1", "k2"]).select("k1", "k2", "copies", "marks", "text")
     segments = scratch.keep(with_text.mapInArrow(_segment_batches(length), "anchor bigint, digest bigint, k1 bigint, k2 bigint, first bigint, bytes binary, times int"))
-    scratch.drop(found)
+    scratch.drop(found, many)
     dealt = segments.where("bytes is not null").select("anchor", "digest", "bytes", "times").repartition("anchor").sortWithinPartitions("anchor", "digest")
     long = dealt.mapInArrow(_index_batches(length), "anchor bigint, digest bigint, edges array<bigint>")
     at = segments.select("anchor", "digest", "k1", "k2", "first").join(long, ["anchor", "digest"])
@@ -246,3 +247,17 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_c
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), Scratch(spark, "op2"))
+
+
+OP2_SQL = f"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+n as (select *, length(hx) // 2 as n from d),
+blocks as (select r, n, b, substr(hx, {2 * LENGTH} * b + 1, {4 * LENGTH}) as part from (select r, n, hx, unnest(range(0, n // {LENGTH} + 1)) as b from n where n >= {LENGTH})),
+win as (select r, {LENGTH} * b + j as i, md5(substr(part, 2 * j + 1, {2 * LENGTH})) as k from (select r, n, b, part, unnest(range(0, {LENGTH})) as j from blocks) where {LENGTH} * b + j + {LENGTH} <= n),
+rep as (select k from win group by k having count(*) > 1),
+starts as (select r, i, i > coalesce(lag(i) over (partition by r order by i) + {LENGTH}, -1) as fresh from win join rep using (k)),
+runs as (select r, min(i) as s, max(i) + {LENGTH} as e from (select *, sum(fresh::int) over (partition by r order by i) as run from starts) group by r, run),
+cuts as (select r, s, e, coalesce(lag(e) over (partition by r order by s), 0) as before from runs),
+cut as (select r, sum(e - s)::bigint as removed, count(*)::bigint as spans, string_agg(substr(hx, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(hx), 2 * max(e) + 1) as kept from cuts join d using (r) group by r)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, hx))) as kept_sha256 from n left join cut using (r)
+"""
