@@ -6,7 +6,8 @@ equal sets become one class. Classes that share a band are candidates; the simil
 candidate pair is estimated by counting equal signature fields and correcting for those that agree by chance,
 and pairs whose estimate is within SLACK of the threshold are confirmed on full sets.
 
-No bucket is ever turned into all its pairs. Every member is first held against one pivot. Where a bucket
+Counts of shingles in hash cells bound the intersection exactly and set most of the pairs below the
+threshold aside. No bucket is ever turned into all its pairs. Every member is first held against one pivot. Where a bucket
 then holds several components, those outside the most frequent one meet a member of it; what is
 still in different components of a bucket is compared across components, so that no
 link that could join them is lost.
@@ -39,6 +40,10 @@ MASK = 0x5A17_3C69_0F2D_4B8E
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNATURE = [f"g{k}" for k in range(MINIMA * BITS // WORD_BITS)]
+#: Hash cells of a set; counts up to LEVELS are kept, as a bit for each cell and level, and what is over in sum.
+CELL_BITS, LEVELS = 9, 2
+CELLS = [f"t{k}" for k in range(LEVELS * (1 << CELL_BITS) // WORD_BITS)]
+MARKS = [*SIGNATURE, *CELLS, "over"]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -64,6 +69,13 @@ def signature(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(fields, axis=1).view(np.int64)
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """Bits of the cells with at least 1, at least 2, ... shingles, packed into words; last, the number beyond LEVELS."""
+    counts = np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    bits = np.concatenate([counts >= k for k in range(1, LEVELS + 1)])
+    return np.append(np.packbits(bits).view(np.int64), np.maximum(counts - LEVELS, 0).sum())
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, digests, bands, marks = [], [], [], []
@@ -73,11 +85,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
             m = minima(s)
             bands.append(band_keys(m) if len(s) else None)
-            marks.append(signature(m))
-        digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, len(SIGNATURE))
+            marks.append(np.concatenate([signature(m), cells(s)]))
+        digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, len(MARKS))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))],
-            ["doc_id", "n_shingles", "s1", "s2", "bands", *SIGNATURE],
+            ["doc_id", "n_shingles", "s1", "s2", "bands", *MARKS],
         )
 
 
@@ -101,9 +113,14 @@ def estimate(a: str, b: str) -> Column:
 
 
 def comparable(a: str, b: str) -> Column:
-    """What a pair must meet to be confirmed: sizes that allow the similarity, and the estimate."""
-    few, many = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (100 * few >= PERCENT * many) & (estimate(a, b) >= PERCENT / 100 - SLACK)
+    """What a pair must meet to be confirmed: the bound by hash cells, and the estimate.
+
+    In each cell the intersection has no more shingles than the set with fewer there: an exact bound.
+    """
+    most = F.least(f"{a}.over", f"{b}.over")
+    for t in CELLS:
+        most = most + F.bit_count(F.col(f"{a}.{t}").bitwiseAND(F.col(f"{b}.{t}")))
+    return (100 * most >= PERCENT * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - most)) & (estimate(a, b) >= PERCENT / 100 - SLACK)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -121,23 +138,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     Rows of one id are one node: repeated rows are all kept or all not. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in SIGNATURE)
+    kinds = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in MARKS)
     sketches = scratch.keep(rows.mapInArrow(_sketch_batches, kinds))
     real = sketches.where("n_shingles > 0 and doc_id is not null")
     # what sums rows up is written before it is joined: then both sides are plain shuffles, and a hot key can be split
     classes = scratch.keep(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    nodes = scratch.keep(real.join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "n_shingles", "bands", *SIGNATURE).dropDuplicates(["node"]))
+    nodes = scratch.keep(real.join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "n_shingles", "bands", *MARKS).dropDuplicates(["node"]))
     members = scratch.keep(sketches.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "node"))
     scratch.drop(sketches, classes)
 
-    # a bucket's pivot is its least id after a fixed shuffle of the bits: the same in most buckets of a large group
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    masked = F.col("node").bitwiseXOR(F.lit(MASK))
-    pivots = in_bands.groupBy("band").agg(F.min(masked).alias("least"), F.max(masked).alias("most")).where("least < most")
-    pivots = scratch.keep(pivots.select("band", F.col("least").bitwiseXOR(F.lit(MASK)).alias("pivot")))
-    shared = scratch.keep(in_bands.join(pivots, "band").select("band", "node", "pivot").distinct())
-    marks = nodes.drop("bands")
+    shared = scratch.keep(_buckets(in_bands, scratch).distinct())
     sets = scratch.keep(_sets_of(rows, shared.select("node").distinct()))
+    marks = nodes.drop("bands")
     shared_pivots = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
 
     # the pivot met in most bands, for each member
@@ -176,6 +189,14 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+def _buckets(in_bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, node, pivot) of bands with several nodes. The pivot is the least id after a fixed shuffle of the bits: the same in most buckets of a large group."""
+    masked = F.col("node").bitwiseXOR(F.lit(MASK))
+    pivots = in_bands.groupBy("band").agg(F.min(masked).alias("least"), F.max(masked).alias("most")).where("least < most")
+    pivots = scratch.keep(pivots.select("band", F.col("least").bitwiseXOR(F.lit(MASK)).alias("pivot")))
+    return in_bands.join(pivots, "band").select("band", "node", "pivot")
+
+
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link."""
     return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y")).select("a", "b")
