@@ -60,15 +60,18 @@ def _reaches(shared: Column, metric: str, threshold: float, wa: str, wb: str) ->
     return score >= threshold
 
 
-def scored_pairs(features: DataFrame, *, threshold: float = 0.0, metric: str = "max", n_units: int | None = None, cutoff: int | None = None) -> DataFrame:
+def scored_pairs(features: DataFrame, *, threshold: float = 0.0, metric: str = "max", n_units: int | None = None, cutoff: int | None = None, work=None) -> DataFrame:
     """(a, b, a_features, b_features, j, c) of a corpus, a < b; c is the larger of both containments.
 
-    metric 'max' gates on max(j, c), 'jaccard' on j. Scores are exact whatever the threshold.
+    metric 'max' gates on max(j, c), 'jaccard' on j. Scores are exact whatever the threshold. Features with their frequencies are read five
+    times; a workspace (sources/scratch.py) has them written once instead.
     """
     features = features.select("fid", "h", "w")
     if cutoff is None:
         cutoff = df_cutoff(n_units if n_units is not None else features.select("fid").distinct().count())
     known = with_frequency(features)
+    if work is not None:
+        known = work.keep(known)
     sums = totals(known, cutoff)
     pairs = candidate_sums(known, cutoff)
     for side in ("a", "b"):

@@ -11,6 +11,7 @@ from ..operators.features import df_cutoff
 from ..operators.pairs import scored_hits, scored_pairs
 from ..operators.search import PairFilter, QueryFilter, nests, top_hits, top_pairs
 from ..operators.setops import replace_file
+from ..sources.scratch import Workspace
 
 UNIT_COLUMNS = "fid bigint, name string, file string, lang string, line_start int, line_end int, code_lines int, origin string"
 FEATURE_COLUMNS = "fid bigint, h bigint, w int"
@@ -23,6 +24,7 @@ class Index:
     units: DataFrame
     features: DataFrame
     n_units: int | None = None
+    work: Workspace | None = None
 
     @property
     def cutoff(self) -> int:
@@ -61,7 +63,7 @@ class Index:
     def duplicates(self, flt: PairFilter | None = None, nested: bool = False) -> DataFrame:
         """Pairs of the whole index; one unit inside the other counts only with nested."""
         flt = flt or PairFilter()
-        pairs = scored_pairs(self.features, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff)
+        pairs = scored_pairs(self.features, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff, work=self.work)
         for side in ("a", "b"):
             pairs = pairs.join(self.units.select([F.col(c).alias(side if c == "fid" else f"{side}_{c}") for c in self.units.columns]), side)
         pairs = pairs.where(flt.passes())

@@ -17,6 +17,7 @@ from .operators import propagation, setops, stats
 from .operators.search import PairFilter, QueryFilter, competition_rank, path_passes, top_hits, top_pairs
 from .plans import mining
 from .plans.index import Index
+from .sources.scratch import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,7 +51,8 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_index(spark: SparkSession, sf_dir: str) -> Index:
     docs = table(spark, sf_dir, "documents")
-    return Index(units_of(docs), doc_features(spark, sf_dir), docs.count())
+    work = Workspace(spark)
+    return Index(units_of(docs), work.keep(doc_features(spark, sf_dir)), docs.count(), work)
 
 
 # SQL pieces that several oracles share
@@ -78,7 +80,7 @@ UNITS = f"""u as (select doc_id as fid, 'doc' || doc_id as name, concat_ws('/',
 @query("doc_dupes", f"with {FEATURES}, {SCORED} select * from sc where greatest(j, c) >= 0.5")
 def doc_dupes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return P.scored_pairs(feats.shingle_features(docs, id_col="doc_id"), threshold=0.5, n_units=docs.count())
+    return P.scored_pairs(feats.shingle_features(docs, id_col="doc_id"), threshold=0.5, n_units=docs.count(), work=Workspace(spark))
 
 
 @query("unit_scan", f"with {UNITS} select fid, name, file, code_lines, origin from u")
@@ -149,7 +151,7 @@ def candidate_pairs(spark, sf_dir):
 @query("weighted_jaccard", f"with {FEATURES}, {SCORED} select a, b, j from sc where j >= 0.5")
 def weighted_jaccard(spark, sf_dir):
     index = doc_index(spark, sf_dir)
-    return P.scored_pairs(index.features, threshold=0.5, metric="jaccard", cutoff=index.cutoff).select("a", "b", "j")
+    return P.scored_pairs(index.features, threshold=0.5, metric="jaccard", cutoff=index.cutoff, work=index.work).select("a", "b", "j")
 
 
 @query(
@@ -175,7 +177,7 @@ def dupes_filtered(spark, sf_dir):
 @query("dupes_topn", f"with {FEATURES}, {SCORED} select a, b, j from sc where j >= 0.3 order by j desc, a, b limit 50")
 def dupes_topn(spark, sf_dir):
     index = doc_index(spark, sf_dir)
-    return top_pairs(P.scored_pairs(index.features, threshold=0.3, metric="jaccard", cutoff=index.cutoff).select("a", "b", "j"), 50)
+    return top_pairs(P.scored_pairs(index.features, threshold=0.3, metric="jaccard", cutoff=index.cutoff, work=index.work).select("a", "b", "j"), 50)
 
 
 @query("scope_pairs", f"with {FEATURES}, {SCORED}, {UNITS} select a, b, j, c {PAIR_UNITS} where greatest(j, c) >= 0.5 and ua.origin = 'workspace' and ub.origin = 'workspace'")
@@ -361,7 +363,7 @@ def quality_stats(spark, sf_dir):
 def basket_similarity(spark, sf_dir):
     """Orders as units, parts as features, capped quantity as weight; no part is so frequent as to be cut off."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fid"), F.col("l_partkey").alias("h"), F.least(F.col("l_quantity").cast("int"), F.lit(10)).alias("w"))
-    return P.scored_pairs(feats.dedup_max(rows), threshold=0.3, metric="jaccard", cutoff=1 << 40).select("a", "b", "j", "c")
+    return P.scored_pairs(feats.dedup_max(rows), threshold=0.3, metric="jaccard", cutoff=1 << 40, work=Workspace(spark)).select("a", "b", "j", "c")
 
 
 @query("refresh_file", f"with {UNITS} select fid, name, file, code_lines from u where file not in (select file from u where fid % 97 = 0) union all select fid + 1000000000, name || 'v2', file, code_lines + 1 from u where fid % 97 = 0")
