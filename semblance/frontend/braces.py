@@ -45,8 +45,6 @@ def tokens(source: str, lang: str) -> list[Tok]:
     for m in TOKEN.finditer(source):
         kind, text = m.lastgroup, m[0]
         if kind in ("comment", "space", "line"):
-            if kind == "comment" and lang == "js" and text.startswith("#"):
-                pass
             broke |= "\n" in text
             line += text.count("\n")
             continue
@@ -54,7 +52,7 @@ def tokens(source: str, lang: str) -> list[Tok]:
             last = out[-1]
             closes = last.kind in ("id", "num", "string", "char", "single") or last.text in (")", "]", "}", "++", "--")
             goes_on = lang == "js" and text in (".", ")", "]", ",", "?", ":", "&&", "||", "+", "-", "*", "/", "=", "=>", "{", "?.", "??")
-            if closes and last.text not in CONTROL - {"return"} and not goes_on and not (lang == "go" and text == "{" and False):
+            if closes and last.text not in CONTROL - {"return"} and not goes_on:
                 out.append(Tok("op", ";", last.line))
         broke = False
         kind = {"single": "string" if lang == "js" else "char"}.get(kind, kind)
@@ -248,7 +246,7 @@ class Parser:
             self.take("(")
         else:
             end = self.i
-            while self.t[end].text != "{" or end == self.i and False:
+            while self.t[end].text != "{":
                 end = self.close(end) if self.t[end].text in ("(", "[") else end
                 end += 1
         inside = [self.t[k].text for k in range(self.i, end)]
@@ -643,7 +641,7 @@ class Parser:
             if x in NULLS:
                 return E("lit", "null", (), line)
             if x in ("map", "chan") and self.lang == "go" and self.peek() == "[":
-                self._type_name() if self.peek() != "[" else self.skip_type({"{", ")", ","})
+                self.skip_type({"{", ")", ","})
                 return E("seq", "dict", self._braced(), line)
             return E("var", x, (), line)
         raise Unreadable(f"line {line}: {x!r}")

@@ -262,9 +262,6 @@ def mine_evolved(spark, sf_dir):
     return mining.evolved(c, ["conv_id", "role"], "turn", "k").select("conv_id", "role", "a", "b")
 
 
-NEG = """select a.fid as a, b.fid as b from ents a join ents b on b.fid = a.fid + 7"""
-
-
 @query(
     "neg_random",
     f"with {ENTS}, n as (select *, row_number() over (order by md5(fid::varchar), fid) as k from ents), p as (select x.fid as a, y.fid as b, x.tokset as s, y.tokset as t, x.ntoks as m, y.ntoks as n, x.rkey as r, y.rkey as q, x.k from n x join n y on y.k = x.k + 1) select a, b from p where r <> q and least(m, n) * 2 >= greatest(m, n) and len(list_intersect(s, t)) * 10 < 3 * (len(s) + len(t) - len(list_intersect(s, t))) order by k limit 100",
