@@ -16,7 +16,10 @@ from .operators import pairs as P
 from .operators import propagation, setops, stats
 from .operators.search import PairFilter, QueryFilter, competition_rank, path_passes, top_hits, top_pairs
 from .plans import mining
+from .plans.corpus import index_of
+from .plans.diagnose import diff_sources, parse_stats
 from .plans.index import Index
+from .sources.files import extract_units
 from .sources.scratch import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,3 +400,39 @@ def propagation_round(spark, sf_dir):
     before = ev.select("node", F.lag("node", 1).over(by).alias("p1"), F.lag("node", 2).over(by).alias("p2"))
     edges = before.select("node", F.posexplode(F.array("p1", "p2")).alias("pos", "pred")).where("pred is not null")
     return propagation.propagate(ev.select("node", "h", "commutative"), edges)
+
+
+#: Two small functions, the second a reduced copy of the first under other names, for queries on source code.
+SAMPLE = {
+    "clip.py": "def clip(values, low, high):\n    for i in range(len(values)):\n        if values[i] < low:\n            values[i] = low\n        elif values[i] > high:\n            values[i] = high\n    return values\n",
+    "lift.py": "def lift(data, floor):\n    for k in range(len(data)):\n        if data[k] < floor:\n            data[k] = floor\n    return data\n",
+    "mean.rs": "fn mean(xs: &[f64]) -> f64 {\n    let mut sum = 0.0;\n    for x in xs {\n        sum += x;\n    }\n    sum / xs.len() as f64\n}\n",
+}
+
+
+def sample_units(spark: SparkSession) -> DataFrame:
+    return extract_units(spark.createDataFrame([(k, v.encode()) for k, v in SAMPLE.items()], "path string, content binary"), "structural")
+
+
+@query("code_signature")
+def code_signature(spark, sf_dir):
+    """Features of the sample's functions; needs the front ends, so there is no SQL."""
+    return sample_units(spark).select("name", "lang", F.explode("features").alias("x")).select("name", "lang", "x.h", "x.w", "x.tag")
+
+
+@query("code_dupes")
+def code_dupes(spark, sf_dir):
+    return index_of(sample_units(spark)).duplicates(PairFilter(threshold=0.5, metric="max")).select("a_name", "b_name", "j", "c")
+
+
+@query("code_diff")
+def code_diff(spark, sf_dir):
+    """By line, what either of two functions has alone."""
+    d = diff_sources(("clip.py", SAMPLE["clip.py"]), ("lift.py", SAMPLE["lift.py"]))
+    rows = [(side, line, label) for side, key in (("a", "only_a"), ("b", "only_b")) for line, labels in d[key].items() for label in labels]
+    return spark.createDataFrame(rows, "side string, line int, label string")
+
+
+@query("parse_stats")
+def parse_stats_query(spark, sf_dir):
+    return parse_stats(sample_units(spark))
