@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from semblance.llm.common import Scratch, documents
 from semblance.llm.mixing import mixed_documents
-from semblance.llm.neardup import drop_near_duplicates
+from semblance.llm.neardup import STAGE, drop_near_duplicates
 from semblance.llm.packing import pack
 from semblance.llm.secrets import redact_secrets
 from semblance.llm.toxicity import drop_toxic, fit, sample_of
@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_duplicates(docs, Scratch(spark, "pipeline-near"))
+    """One document of each group of near-duplicates, with a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, Scratch(spark, "pipeline-near"), at=STAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
 One pass over the texts yields a row per document: the digest of its shingle set, the keys of
-BANDS bands of minima and a signature that keeps BITS low bits of each minimum. Documents of
+bands of minima and a signature that keeps BITS low bits of each minimum. Documents of
 equal sets become one class. Classes that share a band are candidates; the similarity of a
 candidate pair is estimated by counting equal signature fields and correcting for those that agree by chance,
 and pairs whose estimate is within SLACK of the threshold are confirmed on full sets.
@@ -16,7 +16,8 @@ link that could join them is lost.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,28 @@ from .common import Scratch, documents
 from .components import components
 from .text import BASE, mix64, shingle_set
 
-#: Words in a shingle; minima; of these in each band; bands; low bits kept; bits in a word of the signature.
-SHINGLE, MINIMA, ROWS, BANDS, BITS, WORD_BITS = 5, 128, 5, 25, 4, 64
-#: Link if 100 * intersection >= PERCENT * union. A pair at the threshold misses all bands with probability 4e-7.
+#: Words in a shingle; minima; low bits kept; bits in a word of the signature.
+SHINGLE, MINIMA, BITS, WORD_BITS = 5, 128, 4, 64
+
+
+class Threshold(NamedTuple):
+    """Link if 100 * intersection >= percent * union.
+
+    Minima in each of the bands, and bands: a pair at the threshold misses all of them with probability 4e-7.
+    slack is how far an estimate may fall below the threshold: over five of its standard errors.
+    """
+
+    percent: int
+    rows: int
+    bands: int
+    slack: float
+
+
+#: The threshold of op4.
 PERCENT = 85
-#: How far an estimate may fall below the threshold: over five of its standard errors.
-SLACK = 0.17
+OP4 = Threshold(PERCENT, 5, 25, 0.17)
+#: The threshold of the pipeline's stage.
+STAGE = Threshold(80, 4, 28, 0.19)
 #: Ids up to this number (8 bytes each) are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shuffles the order of ids by which pivots are chosen.
@@ -54,10 +71,10 @@ def minima(s: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = m[: ROWS * BANDS].reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(m: np.ndarray, at: Threshold) -> np.ndarray:
+    rows = m[: at.rows * at.bands].reshape(at.bands, at.rows)
+    key = np.arange(1, at.bands + 1, dtype=np.uint64)
+    for k in range(at.rows):
         key = mix64(key * BASE + rows[:, k])
     return key.view(np.int64)
 
@@ -76,21 +93,24 @@ def cells(s: np.ndarray) -> np.ndarray:
     return np.append(np.packbits(bits).view(np.int64), np.maximum(counts - LEVELS, 0).sum())
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, digests, bands, marks = [], [], [], []
-        for text in b.column("text").to_pylist():
-            s = shingle_set(text, SHINGLE)
-            n.append(len(s))
-            digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-            m = minima(s)
-            bands.append(band_keys(m) if len(s) else None)
-            marks.append(np.concatenate([signature(m), cells(s)]))
-        digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, len(MARKS))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))],
-            ["doc_id", "n_shingles", "s1", "s2", "bands", *MARKS],
-        )
+def _sketcher(at: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, digests, bands, marks = [], [], [], []
+            for text in b.column("text").to_pylist():
+                s = shingle_set(text, SHINGLE)
+                n.append(len(s))
+                digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                m = minima(s)
+                bands.append(band_keys(m, at) if len(s) else None)
+                marks.append(np.concatenate([signature(m), cells(s)]))
+            digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, len(MARKS))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))],
+                ["doc_id", "n_shingles", "s1", "s2", "bands", *MARKS],
+            )
+
+    return sketch_batches
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +132,7 @@ def estimate(a: str, b: str) -> Column:
     return (same - chance) / (1 - chance)
 
 
-def comparable(a: str, b: str) -> Column:
+def comparable(a: str, b: str, at: Threshold) -> Column:
     """What a pair must meet to be confirmed: the bound by hash cells, and the estimate.
 
     In each cell the intersection has no more shingles than the set with fewer there: an exact bound.
@@ -120,18 +140,18 @@ def comparable(a: str, b: str) -> Column:
     most = F.least(f"{a}.over", f"{b}.over")
     for t in CELLS:
         most = most + F.bit_count(F.col(f"{a}.{t}").bitwiseAND(F.col(f"{b}.{t}")))
-    return (100 * most >= PERCENT * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - most)) & (estimate(a, b) >= PERCENT / 100 - SLACK)
+    return (100 * most >= at.percent * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - most)) & (estimate(a, b) >= at.percent / 100 - at.slack)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
     """Of pairs(a, b) those whose full sets (node, shingles) are similar enough."""
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).where(100 * F.col("i") >= PERCENT * F.col("u")).select("a", "b")
+    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).where(100 * F.col("i") >= at.percent * F.col("u")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", at: Threshold = OP4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are components of their own. Rows with null id link with nothing: component_id null, kept true.
@@ -139,7 +159,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in MARKS)
-    sketches = scratch.keep(rows.mapInArrow(_sketch_batches, kinds))
+    sketches = scratch.keep(rows.mapInArrow(_sketcher(at), kinds))
     real = sketches.where("n_shingles > 0 and doc_id is not null")
     # what sums rows up is written before it is joined: then both sides are plain shuffles, and a hot key can be split
     classes = scratch.keep(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
@@ -155,24 +175,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
 
     # the pivot met in most bands, for each member
     first = shared_pivots.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    tried = scratch.keep(_likely(first, marks))
-    links = scratch.keep(confirmed(tried, sets))
+    tried = scratch.keep(_likely(first, marks, at))
+    links = scratch.keep(confirmed(tried, sets, at))
     roots = components(links, scratch)
 
     # buckets that still hold several components: who is not of the most frequent one meets a member of that
     placed, main = _split(shared, roots, scratch)
     lead = placed.join(main, "band").where("root <> main").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    second = scratch.keep(_likely(lead.join(tried, ["a", "b"], "left_anti"), marks))
-    links = scratch.keep(links.unionByName(confirmed(second, sets)))
+    second = scratch.keep(_likely(lead.join(tried, ["a", "b"], "left_anti"), marks, at))
+    links = scratch.keep(links.unionByName(confirmed(second, sets, at)))
     roots = components(links, scratch)
 
     # and what even so is in several components is compared across them
     placed, main = _split(shared, roots, scratch)
     split = scratch.keep(placed.join(main.select("band", "main"), "band").join(marks, "node"))
-    across = split.where("root <> main").alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & comparable("x", "y"))
+    across = split.where("root <> main").alias("x").join(split.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & comparable("x", "y", at))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     seen = tried.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = scratch.keep(confirmed(pairs.join(seen, ["a", "b"], "left_anti"), sets))
+    last = scratch.keep(confirmed(pairs.join(seen, ["a", "b"], "left_anti"), sets, at))
     if not last.isEmpty():
         links = scratch.keep(links.unionByName(last))
         roots = components(links, scratch)
@@ -183,9 +203,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch, *, at: Threshold = OP4) -> DataFrame:
     """docs, with all its columns, without those of a group (by doc_id and text) that aren't its first; rows with null id stay."""
-    gone = near_duplicates(docs, scratch).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, scratch, at=at).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
@@ -197,9 +217,9 @@ def _buckets(in_bands: DataFrame, scratch: Scratch) -> DataFrame:
     return in_bands.join(pivots, "band").select("band", "node", "pivot")
 
 
-def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, marks: DataFrame, at: Threshold) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link."""
-    return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y")).select("a", "b")
+    return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")).where(comparable("x", "y", at)).select("a", "b")
 
 
 def _split(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

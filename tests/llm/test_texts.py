@@ -139,6 +139,31 @@ def test_near_duplicates(docs, rows, no_docs, scratch):
     assert {r.doc_id for r in kept.collect()} == {i for i in sets if find(i) == i} | {None}
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """Copies around 0.8 go in the pipeline's stage; op4 keeps those under 0.85."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    rows, sets = [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        copy = list(words)
+        # each changed word far from the others takes five of 200 shingles: 1 to 6 of them, Jaccard 0.95 to 0.74
+        for at in range(k % 6 + 1):
+            copy[30 * at + 10] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    for _, text in rows:
+        w = text.split(" ")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    like = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(60)]
+    assert sum(0.8 <= x < 0.85 for x in like) >= 10 and sum(x < 0.8 for x in like) >= 10
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for got, least in ((corpus_pipeline.near_duplicates(spark, docs, ""), 0.8), (neardup.drop_near_duplicates(docs, neardup.Scratch(spark, "test")), 0.85)):
+        assert {r.doc_id for r in got.collect()} == {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if like[k] < least}
+    for at in (neardup.OP4, neardup.STAGE):
+        assert at.rows * at.bands <= neardup.MINIMA and (1 - (at.percent / 100) ** at.rows) ** at.bands < 5e-7
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
