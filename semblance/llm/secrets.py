@@ -67,11 +67,9 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     A random token wants an identifier (access or named); a named identifier a secret (assign, hex
     or random token next to an access identifier); an endpoint an identifier and a secret. A candidate that overlaps a base span adds nothing.
     """
-    if not base:
-        return []
     taken = [(s, e) for _, s, e in base]
     starts = [s for s, _ in taken]
-    longest = max(e - s for s, e in taken)
+    longest = max((e - s for s, e in taken), default=0)
 
     def free(s: int, e: int) -> bool:
         k = bisect_left(starts, e)
@@ -93,9 +91,9 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     secrets = [(s, e) for k, s, e in base if k != "access"]
     named = [m.span() for m in NAMED.finditer(text) if free(*m.span())] if "=" in text or ":" in text else []
     ids = sorted(access + named)
-    random = []
-    if ids:
-        random = [m.span() for m in RANDOM.finditer(text) if free(*m.span()) and near(*m.span(), ids) and entropy(m[0]) >= MIN_ENTROPY]
+    if not ids:  # every link needs one
+        return []
+    random = [m.span() for m in RANDOM.finditer(text) if free(*m.span()) and near(*m.span(), ids) and entropy(m[0]) >= MIN_ENTROPY]
     secrets = sorted(secrets + random)
     named = [x for x in named if near(*x, secrets)]
     ids = sorted(access + named)
