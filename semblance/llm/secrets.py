@@ -31,8 +31,8 @@ MIN_VALUE, MIN_ACCESS = 8, 16
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 BASE = ("assign", "access", "hex")
 
-NAMED = re.compile(r"""(?:client_?id|account(?:_?id)?|user(?:name)?|access_?key(?:_?id)?|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+NAMED = re.compile(r"""(?:client_?id|account(?:_?id)?|user(?:name)?|(?<!secret)(?<!secret[_-])access_?key(?:_?id)?|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b""", re.A)
 WEAK = ("named", "random", "endpoint")
 KINDS = BASE + WEAK
@@ -80,11 +80,13 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         return True
 
     def near(s: int, e: int, at: list[tuple[int, int]]) -> bool:
-        """Whether a part of ``at`` (sorted) lies within reach, with no blank line between."""
+        """Whether a part of ``at`` (sorted) beside s to e lies within reach, with no blank line between; what it overlaps is no complement."""
         k = bisect_left(at, (e, -1))
         if k < len(at) and at[k][0] - e <= reach and "\n\n" not in text[e : at[k][0]]:
             return True
         k = bisect_left(at, (s, -1))
+        while k and at[k - 1][1] > s:
+            k -= 1
         return k > 0 and s - at[k - 1][1] <= reach and "\n\n" not in text[at[k - 1][1] : s]
 
     access = [(s, e) for k, s, e in base if k == "access"]
