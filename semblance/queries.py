@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,9 +162,22 @@ def weighted_jaccard(spark, sf_dir):
     f"with {FEATURES}, s as (select x.fid as a, x.fid + 1 as b, x.t, coalesce((select sum(least(p.w, q.w)) from f p join f q on p.h = q.h where p.fid = x.fid and q.fid = x.fid + 1), 0)::bigint as s from (select fid, sum(w)::bigint as t from f group by fid) x where x.fid % 10 = 0) select a, b, s::double / t as c from s where b in (select fid from f)",
 )
 def containment(spark, sf_dir):
-    """Of each tenth document in the next one, on nested signatures."""
-    sigs = feats.signatures(doc_features(spark, sf_dir))
-    a, b = sigs.where("fid % 10 = 0").select(F.col("fid").alias("a"), F.col("f").alias("fa")), sigs.select((F.col("fid") - 1).alias("a"), F.col("fid").alias("b"), F.col("f").alias("fb"))
+    """Of each tenth document in the next one, on nested signatures; containment_all has every document."""
+    return containment_in_next(doc_features(spark, sf_dir), F.col("fid") % 10 == 0)
+
+
+@query(
+    "containment_all",
+    f"with {FEATURES}, tot as (select fid, sum(w)::bigint as t from f group by fid), sm as (select p.fid, sum(least(p.w, q.w))::bigint as s from f p join f q on q.fid = p.fid + 1 and q.h = p.h group by p.fid) select x.fid as a, y.fid as b, coalesce(s, 0)::double / x.t as c from tot x join tot y on y.fid = x.fid + 1 left join sm on sm.fid = x.fid",
+)
+def containment_all(spark, sf_dir):
+    """Of every document in the next one."""
+    return containment_in_next(doc_features(spark, sf_dir), F.lit(True))
+
+
+def containment_in_next(f: DataFrame, which: Column) -> DataFrame:
+    sigs = feats.signatures(f)
+    a, b = sigs.where(which).select(F.col("fid").alias("a"), F.col("f").alias("fa")), sigs.select((F.col("fid") - 1).alias("a"), F.col("fid").alias("b"), F.col("f").alias("fb"))
     return a.join(b, "a").select("a", "b", similarity.containment(F.col("fa"), F.col("fb")).alias("c"))
 
 
@@ -216,9 +229,18 @@ def find_similar_filtered(spark, sf_dir):
 
 @query("diff_sets", f"with {FEATURES} select x.fid as a, x.fid + 1 as b, count(*) filter (y.h is null) as only_a, count(y.h) as shared from f x left join f y on y.fid = x.fid + 1 and y.h = x.h where x.fid % 10 = 0 group by x.fid")
 def diff_sets(spark, sf_dir):
-    """Features that each tenth document has and the next one lacks."""
-    f = doc_features(spark, sf_dir)
-    a, b = f.where("fid % 10 = 0").select(F.col("fid").alias("pid"), "h"), f.where("(fid - 1) % 10 = 0").select((F.col("fid") - 1).alias("pid"), "h")
+    """Features that each tenth document has and the next one lacks; diff_sets_all has every document."""
+    return diff_with_next(doc_features(spark, sf_dir), lambda fid: fid % 10 == 0)
+
+
+@query("diff_sets_all", f"with {FEATURES} select x.fid as a, x.fid + 1 as b, count(*) filter (y.h is null) as only_a, count(y.h) as shared from f x left join f y on y.fid = x.fid + 1 and y.h = x.h group by x.fid")
+def diff_sets_all(spark, sf_dir):
+    """Features that every document has and the next one lacks."""
+    return diff_with_next(doc_features(spark, sf_dir), lambda fid: F.lit(True))
+
+
+def diff_with_next(f: DataFrame, which: Callable[[Column], Column]) -> DataFrame:
+    a, b = f.where(which(F.col("fid"))).select(F.col("fid").alias("pid"), "h"), f.where(which(F.col("fid") - 1)).select((F.col("fid") - 1).alias("pid"), "h")
     only = setops.minus(a, b).groupBy("pid").agg(F.count(F.lit(1)).alias("only_a"))
     every = a.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     k = F.coalesce("only_a", F.lit(0)).cast("bigint")
