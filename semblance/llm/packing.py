@@ -11,6 +11,7 @@ the pieces of one length or source in one task.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import types
 import zlib
@@ -30,7 +31,7 @@ END = 2
 def encoder(vocabulary: str):
     """The byte-level BPE of a vocabulary in public_tokenizers (ranks in NAME.tiktoken); one in each Python worker.
 
-    Its ids are those of NAME.json with special tokens read as text, at five times the speed.
+    Its ids are those of NAME.json, whose added tokens are matched in a text, at five times the speed.
     """
     # code arrives with each task, so what outlives a task is kept with the interpreter
     held = sys.modules.setdefault("_held_encoders", types.ModuleType("_held_encoders")).__dict__
@@ -40,13 +41,15 @@ def encoder(vocabulary: str):
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        held[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json")) as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        held[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return held[vocabulary]
 
 
 def encode(vocabulary: str, text: str) -> np.ndarray:
     """Ids of a text as little-endian 32-bit numbers."""
-    return encoder(vocabulary).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    return encoder(vocabulary).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def lengths_of(n: int, capacity: int) -> list[int]:

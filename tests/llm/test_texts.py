@@ -320,6 +320,33 @@ def test_token_tree():
             assert tree.edit(at, removed, added) == count(s) and tree.text == s
 
 
+def test_added_tokens_in_texts(spark, scratch):
+    """op1 and op5 against the tokenizer with default settings."""
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda s: enc.encode(s, add_special_tokens=False).ids
+    texts = ["<|endoftext|>", "one<|endoftext|>two", "a <|endoftext|>  b\n<|endoftext|><|endoftext|> c", "<|endoftext|", "word " * 700 + "<|endoftext|> " + "more " * 900]
+    assert 50256 in ids(texts[1])
+    for s in texts:
+        assert packing.encode("byte_bpe_50k", s).tolist() == ids(s)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.piece): r for r in packing.pack(docs, scratch).collect()}
+    for k, s in enumerate(texts[:4]):
+        r = got[k, 0]
+        assert (r.length, r.ids_crc32) == (len(ids(s)) + 1, zlib.crc32(np.array([*ids(s), 2], "<u4").tobytes()))
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, edits_of=tokencount.standing_edits).collect()} == {k: len(ids(s)) for k, s in enumerate(texts)}
+    rng = random.Random(9)
+    parts = ["a", " word", " ", "  ", "\n", "<|endof", "text|>", "<|endoftext|>", " <|endoftext|>", " x y"]
+    for _ in range(300):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 80)))
+        tree = tokencount.TokenTree(s, leaf=rng.choice([4, 10, 30]))
+        assert tree.total == len(ids(s))
+        for _ in range(rng.randint(1, 6)):
+            at, removed, added = rng.randint(0, len(s) + 3), rng.choice([0, 3, 20]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 9])))
+            k = min(at, len(s))
+            s = s[:k] + added + s[k + removed :]
+            assert tree.edit(at, removed, added) == len(ids(s)) and tree.text == s
+
+
 def test_token_counts(docs, rows, no_docs):
     got = tokencount.count_tokens(docs, edits_of=tokencount.standing_edits).collect()
     enc, want = tokenizer(), Counter()
