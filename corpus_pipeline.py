@@ -57,8 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     *early, (_, last) = STAGES
-    for _, stage in early:
+    for k, (_, stage) in enumerate(early):
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
-        if id(before) in scratch.at:
+        if k:
             scratch.drop(before)
     return last(spark, docs, sf_dir)
