@@ -101,8 +101,8 @@ def test_units_and_search(spark, tmp_path):
     asked = files.unit_features(draft).withColumnRenamed("fid", "qid")
     hits = index.search(asked).join(draft.select(F.col("fid").alias("qid"), F.col("name").alias("q")), "qid").collect()
     best = {r.q: r["name"] for r in hits if r["rank"] == 1}
-    assert best == {"middle": "average", "raise_to": "clip"}
-    assert {r["name"] for r in index.search(asked, search.QueryFilter(threshold=0, name="CLI")).collect()} == {"clip"}
+    assert best == {"steepest": "largest_step", "charge": "settle"}
+    assert {r["name"] for r in index.search(asked, search.QueryFilter(threshold=0, name="SETT")).collect()} == {"settle"}
     stat = {r.lang: r for r in diagnose.parse_stats(units).collect()}
     assert stat["python"].units == 3 and sum(r.failed for r in stat.values()) == 1
     one = index.snapshot(str(tmp_path / "ix"), "v1")
@@ -110,13 +110,13 @@ def test_units_and_search(spark, tmp_path):
     assert again.n_units == 3 and again.features.count() == one.features.count()
     fresh = corpus.index_of(files.extract_units(spark.createDataFrame([(units.first().file, fx.PYTHON_B.encode())], "path string, content binary"), "structural"))
     changed = again.refresh(fresh.units, fresh.features)
-    assert {r["name"] for r in changed.units.collect()} == {"middle", "raise_to"}
+    assert {r["name"] for r in changed.units.collect()} == {"steepest", "charge"}
     assert changed.features.select("fid").distinct().count() == 2
     both = Index(index.units, index.features).append(fresh.units.withColumn("file", F.lit("other.py")), fresh.features)
     got = both.duplicates(search.PairFilter(threshold=0.9)).collect()
-    assert [{r.a_name, r.b_name} for r in got] == [{"average", "middle"}]
+    assert [{r.a_name, r.b_name} for r in got] == [{"largest_step", "steepest"}]
     found = diagnose.diagnostics(both, fresh.units.withColumn("file", F.lit("other.py"))).collect()
-    assert {r.q_name: r.match["name"] for r in found}["middle"] == "average"
+    assert {r.q_name: r.match["name"] for r in found}["steepest"] == "largest_step"
 
 
 def test_nesting_and_narrowest(spark):
@@ -173,7 +173,7 @@ def test_stream_refresh(spark, tmp_path):
     q = refresh.refresh_on_save(stream, str(tmp_path / "ix"), str(tmp_path / "cp"), on_snapshot=lambda ix, units: seen.append(units.count()), availableNow=True)
     q.awaitTermination(120)
     now = load(spark, str(tmp_path / "ix"))
-    assert {(r["name"], r.file) for r in now.units.collect()} == {("middle", "draft.py"), ("raise_to", "draft.py"), ("average", "new.py"), ("clip", "new.py"), ("joined", "new.py")} and seen == [5]
+    assert {(r["name"], r.file) for r in now.units.collect()} == {("steepest", "draft.py"), ("charge", "draft.py"), ("largest_step", "new.py"), ("settle", "new.py"), ("label", "new.py")} and seen == [5]
 
 
 def test_services(spark, tmp_path):
@@ -187,12 +187,12 @@ def test_services(spark, tmp_path):
     engine.build()
     assert json.loads(call("status")["content"][0]["text"])["functions"] == 5
     dupes = json.loads(call("find_duplicates", threshold=0.9)["content"][0]["text"])
-    assert [{d["a"]["name"], d["b"]["name"]} for d in dupes] == [{"average", "middle"}]
+    assert [{d["a"]["name"], d["b"]["name"]} for d in dupes] == [{"largest_step", "steepest"}]
     like = json.loads(call("find_similar", code=fx.PYTHON_B, language="python", k=1)["content"][0]["text"])
-    assert {x["query"] for x in like} == {"middle", "raise_to"} and all(x["text"] for x in like)
-    near = json.loads(call("query_similar", file="b.py", name="middle", k=2)["content"][0]["text"])
-    assert near[0]["name"] == "average"
-    d = json.loads(call("diff_functions", a={"file": "a.py", "name": "clip"}, b={"code": fx.PYTHON_B, "language": "python", "name": "raise_to"})["content"][0]["text"])
+    assert {x["query"] for x in like} == {"steepest", "charge"} and all(x["text"] for x in like)
+    near = json.loads(call("query_similar", file="b.py", name="steepest", k=2)["content"][0]["text"])
+    assert near[0]["name"] == "largest_step"
+    d = json.loads(call("diff_functions", a={"file": "a.py", "name": "settle"}, b={"code": fx.PYTHON_B, "language": "python", "name": "charge"})["content"][0]["text"])
     assert d["only_a"]
     assert call("diff_functions", a={"file": "../../etc/passwd"}, b={"code": ""})["isError"]
     assert service.rpc(engine, {"id": 2, "method": "nope"})["error"]["code"] == -32601 and service.rpc(engine, {"method": "x"}) is None
@@ -214,17 +214,17 @@ def test_services(spark, tmp_path):
     body = json.dumps({"id": 1, "method": "initialize"}).encode()
     assert service.framed(io.BytesIO(b"Content-Length: %d\r\n\r\n" % len(body) + body))["method"] == "initialize"
     said = service.lsp(engine, {"method": "textDocument/didSave", "params": {"textDocument": {"uri": f"file://{tmp_path}/b.py"}}})
-    assert any("average" in x["message"] for x in said[0]["params"]["diagnostics"])
+    assert any("largest_step" in x["message"] for x in said[0]["params"]["diagnostics"])
 
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.py").write_text(fx.PYTHON)
     (tmp_path / "b.py").write_text(fx.PYTHON_B)
     assert cli.main(["dupes", str(tmp_path), "--threshold", "0.9"]) == 0
-    assert "average" in capsys.readouterr().out
+    assert "largest_step" in capsys.readouterr().out
     assert cli.main(["query", str(tmp_path / "a.py"), "--draft", str(tmp_path / "b.py"), "--k", "1"]) == 0
-    assert "middle: 1.000" in capsys.readouterr().out
-    assert cli.main(["diff", str(tmp_path / "a.py"), str(tmp_path / "b.py"), "--a-name", "clip"]) == 0
-    assert cli.main(["graph", str(tmp_path / "a.py"), "--name", "clip", "--out", str(tmp_path)]) == 0
-    assert (tmp_path / "clip-round2.dot").exists()
+    assert "steepest: 1.000" in capsys.readouterr().out
+    assert cli.main(["diff", str(tmp_path / "a.py"), str(tmp_path / "b.py"), "--a-name", "settle"]) == 0
+    assert cli.main(["graph", str(tmp_path / "a.py"), "--name", "settle", "--out", str(tmp_path)]) == 0
+    assert (tmp_path / "settle-round2.dot").exists()
     assert cli.main(["parse-stats", str(tmp_path)]) == 0

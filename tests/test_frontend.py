@@ -20,24 +20,37 @@ def signatures(path, text, profile="structural"):
     return {u["name"]: {x["h"]: x["w"] for x in u["features"]} for u in units_of_source(path, text, profile)}
 
 
-@pytest.mark.parametrize("ext,a,b,names", [(".py", fx.PYTHON, fx.PYTHON_B, ("average", "middle")), (".rs", fx.RUST, fx.RUST_B, ("average", "middle")), (".go", fx.GO, fx.GO_B, ("Average", "Middle")), (".js", fx.JS, fx.JS_B, ("average", "middle"))])
-def test_renamed_functions_match(ext, a, b, names):
+@pytest.mark.parametrize("ext,a,b,names", [(".py", fx.PYTHON, fx.PYTHON_B, ("largest_step", "steepest")), (".rs", fx.RUST, fx.RUST_B, ("largest_step", "steepest")), (".go", fx.GO, fx.GO_B, ("LargestStep", "Steepest")), (".js", fx.JS, fx.JS_B, ("largestStep", "steepest"))])
+def test_other_names_and_order_score_the_same(ext, a, b, names):
+    """The same function under other names is the best match, and scores far above every other one."""
     old, new = signatures("a" + ext, a), signatures("b" + ext, b)
-    ranked = sorted(((scores(new[names[1]], f)[0], n) for n, f in old.items()), reverse=True)
-    assert ranked[0][1] == names[0] and ranked[0][0] >= 0.95
-    assert ranked[1][0] < 0.6
+    found = {n: scores(new[names[1]], f)[0] for n, f in old.items()}
+    assert found.pop(names[0]) >= 0.95 and all(x < 0.6 for x in found.values())
 
 
-def test_subset_is_contained():
+def test_part_of_a_function_is_contained():
+    """charge lies whole in settle, settle not in charge; label shares little with either."""
     old, new = signatures("a.py", fx.PYTHON), signatures("b.py", fx.PYTHON_B)
-    j, c = scores(new["raise_to"], old["clip"])
-    assert c >= 0.85 and c > j
-    assert scores(new["raise_to"], old["joined"])[0] < 0.4
+    j, c = scores(new["charge"], old["settle"])
+    assert c >= 0.85 and c > scores(old["settle"], new["charge"])[1] and c > j
+    assert scores(new["charge"], old["label"])[0] < 0.4
+
+
+def test_what_an_edit_changes():
+    """Operands of a sum may change places, those of a difference may not; a statement more leaves the rest contained."""
+    base = "def f(a, b, c):\n    t = (a.x + b.y) * c.z\n    return g(t)\n"
+    one = signatures("a.py", base)["f"]
+    assert signatures("a.py", base.replace("a.x + b.y", "b.y + a.x"))["f"] == one
+    minus = base.replace("+", "-")
+    assert signatures("a.py", minus)["f"] != signatures("a.py", minus.replace("a.x - b.y", "b.y - a.x"))["f"]
+    more = signatures("a.py", base.replace("    return", "    log(c.w)\n    return"))["f"]
+    assert scores(one, more)[1] >= 0.85 > scores(more, one)[1]
+    assert scores(signatures("a.py", base.replace("t = (a.x + b.y) * c.z", "s = a.x + b.y\n    t = s * c.z"))["f"], one)[0] >= 0.9
 
 
 def test_every_function_is_found():
     found = {ext: [u["name"] for u in units_of_source("f" + ext, text)] for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C), (".py", "class A:\n  def m(self):\n    def inner(): return 1\n    return lambda x: x + 1\n"))}
-    assert found == {".rs": ["average", "clip"], ".go": ["Average", "Find"], ".js": ["average", "total", "load"], ".c": ["average", "find"], ".py": ["m", "inner", "m::<lambda>"]}
+    assert found == {".rs": ["largest_step", "settle"], ".go": ["LargestStep", "Route"], ".js": ["largestStep", "owed", "open"], ".c": ["largest_step", "freeze"], ".py": ["m", "inner", "m::<lambda>"]}
     for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C)):
         for name in found[ext]:
             g = graph_of("f" + ext, text, name)
@@ -46,7 +59,7 @@ def test_every_function_is_found():
 
 def test_lines_and_docstrings():
     u = {x["name"]: x for x in units_of_source("a.py", fx.PYTHON)}
-    assert (u["average"]["line_start"], u["average"]["line_end"], u["average"]["code_lines"]) == (2, 11, 9)
+    assert (u["largest_step"]["line_start"], u["largest_step"]["line_end"], u["largest_step"]["code_lines"]) == (2, 12, 10)
 
 
 def test_unreadable_source():
@@ -87,12 +100,12 @@ def test_hashing():
 
 
 def test_diff_and_dot():
-    a, b = graph_of("a.py", fx.PYTHON, "clip"), graph_of("b.py", fx.PYTHON_B, "raise_to")
+    a, b = graph_of("a.py", fx.PYTHON, "settle"), graph_of("b.py", fx.PYTHON_B, "charge")
     assert not unique_nodes(a, a) and unique_nodes(a, b)
-    d = diagnose.diff_sources(("a.py", fx.PYTHON), ("b.py", fx.PYTHON_B), a_name="clip", b_line=14)
-    assert d["b_in_a"] > d["a_in_b"] and d["only_a"]
-    text = dot.dot(a, 'cl"ip', 1)
-    assert text.startswith('digraph "cl\\"ip"') and text.count("->") == sum(len(n.preds) for n in a.nodes) and dot.file_name("a::b", 2) == "a_b-round2.dot"
+    d = diagnose.diff_sources(("a.py", fx.PYTHON), ("b.py", fx.PYTHON_B), a_name="settle", b_line=15)
+    assert d["b_in_a"] > d["a_in_b"] and set(d["only_a"]) == {22, 23}
+    text = dot.dot(a, 'set"tle', 1)
+    assert text.startswith('digraph "set\\"tle"') and text.count("->") == sum(len(n.preds) for n in a.nodes) and dot.file_name("a::b", 2) == "a_b-round2.dot"
 
 
 def test_rename_normalization():
@@ -102,4 +115,4 @@ def test_rename_normalization():
 
 def test_profiles_add_channels():
     base, full = signatures("a.py", fx.PYTHON), signatures("a.py", fx.PYTHON, "full")
-    assert all(set(base[n]) <= set(full[n]) for n in base) and len(full["joined"]) > len(base["joined"])
+    assert all(set(base[n]) <= set(full[n]) for n in base) and len(full["label"]) > len(base["label"])
