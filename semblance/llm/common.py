@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process may it be unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="semblance-"))
-            known = spark.sparkContext.getCheckpointDir()
-        at = known
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="semblance-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -44,19 +44,23 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/semblance/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root = spark, f"{shared_dir(spark)}/semblance/{name}-{uuid.uuid4().hex}"
+        self.written, self.kept = 0, []
         atexit.register(_delete, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.at)}"
+        path = f"{self.root}/{self.written}"
+        self.written += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = (path, out)
+        self.kept.append((out, path))
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
+        """Deletes what keep() returned; the frame is held until then, so none is taken for another."""
         for df in dfs:
-            path, _ = self.at[id(df)]
+            (path,) = (p for kept, p in self.kept if kept is df)
+            self.kept = [x for x in self.kept if x[0] is not df]
             _delete(self.spark, path)
 
 

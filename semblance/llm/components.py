@@ -17,17 +17,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     links = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     both = scratch.keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        new = scratch.keep(new)
+    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("changed")))
+    while not labels.where("changed").isEmpty():
+        known = labels.select("node", "root")
+        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        new = scratch.keep(known.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old")))
         far = new.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        jumped = scratch.keep(new.join(far, F.col("root") == F.col("at")).select("node", F.least("root", "further").alias("root"), (F.least("root", "further") < F.col("old")).alias("changed")))
-        done = jumped.where("changed").isEmpty()
+        root = F.least("root", "further")
+        jumped = scratch.keep(new.join(far, F.col("root") == F.col("at")).select("node", root.alias("root"), (root < F.col("old")).alias("changed")))
         scratch.drop(new, labels)
-        labels = jumped.select("node", "root")
-        scratch.at[id(labels)] = scratch.at[id(jumped)]
-        if done:
-            scratch.drop(both)
-            return labels
+        labels = jumped
+    scratch.drop(both)
+    return labels.select("node", "root")
