@@ -2,9 +2,9 @@
 
 Base spans are what the three patterns find by themselves. Weak candidates (a random-looking
 token, an identifier given a name, an endpoint) are reported only if complementary parts
-stand in their scope: the same paragraph, within REACH code points. Per document the parts are
-kept in order of place, and each weak candidate is joined to them by binary search, so the
-join is never quadratic; a document is one row, read in Arrow batches, and nothing is shuffled.
+stand in their scope: the same paragraph, within REACH code points. Per document the starts and the
+ends of the parts are kept in order, and each weak candidate is joined to its neighbours on both sides by binary search, so the
+interval join is never quadratic; a document is one row, read in Arrow batches, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,39 +68,39 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     A random token wants an identifier (access or named); a named identifier a secret (assign, hex
     or random token next to an access identifier); an endpoint an identifier and a secret. A candidate that overlaps a base span adds nothing.
     """
-    taken = [(s, e) for _, s, e in base]
-    starts = [s for s, _ in taken]
-    longest = max((e - s for s, e in taken), default=0)
+    taken = [(s, e) for _, s, e in base]  # in order of start
+    starts, reached = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(s: int, e: int) -> bool:
+        """Whether no base span overlaps s to e: the furthest end of those that start before e is known."""
         k = bisect_left(starts, e)
-        while k and starts[k - 1] > s - longest:
-            k -= 1
-            if taken[k][1] > s:
-                return False
-        return True
-
-    def near(s: int, e: int, at: list[tuple[int, int]]) -> bool:
-        """Whether a part of ``at`` (sorted) beside s to e lies within reach, with no blank line between; what it overlaps is no complement."""
-        k = bisect_left(at, (e, -1))
-        if k < len(at) and at[k][0] - e <= reach and "\n\n" not in text[e : at[k][0]]:
-            return True
-        k = bisect_left(at, (s, -1))
-        while k and at[k - 1][1] > s:
-            k -= 1
-        return k > 0 and s - at[k - 1][1] <= reach and "\n\n" not in text[at[k - 1][1] : s]
+        return not k or reached[k - 1] <= s
+
+    def near(parts: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+        """Tells of s to e whether one of ``parts`` beside it lies within reach, with no blank line between; what it overlaps is no complement."""
+        firsts, lasts = sorted(s for s, _ in parts), sorted(e for _, e in parts)
+
+        def beside(s: int, e: int) -> bool:
+            # of the parts on one side the nearest has the least between
+            k, j = bisect_left(firsts, e), bisect_right(lasts, s)
+            after = k < len(firsts) and firsts[k] - e <= reach and "\n\n" not in text[e : firsts[k]]
+            return after or (j > 0 and s - lasts[j - 1] <= reach and "\n\n" not in text[lasts[j - 1] : s])
+
+        return beside
 
     access = [(s, e) for k, s, e in base if k == "access"]
     secrets = [(s, e) for k, s, e in base if k != "access"]
     named = [m.span() for m in NAMED.finditer(text) if free(*m.span())] if "=" in text or ":" in text else []
-    ids = sorted(access + named)
-    if not ids:  # every link needs one
+    if not access and not named:  # every link needs one
         return []
-    random = [m.span() for m in RANDOM.finditer(text) if free(*m.span()) and near(*m.span(), ids) and entropy(m[0]) >= MIN_ENTROPY]
-    secrets = sorted(secrets + random)
-    named = [x for x in named if near(*x, secrets)]
-    ids = sorted(access + named)
-    ends = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span()) and near(*m.span(), ids) and near(*m.span(), secrets)] if ids and secrets else []
+    by_id = near(access + named)
+    random = [m.span() for m in RANDOM.finditer(text) if free(*m.span()) and by_id(*m.span()) and entropy(m[0]) >= MIN_ENTROPY]
+    by_secret = near(secrets + random)
+    named = [x for x in named if by_secret(*x)]
+    if not access and not named:
+        return []
+    by_id = near(access + named)
+    ends = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span()) and by_id(*m.span()) and by_secret(*m.span())]
     return [("named", *x) for x in named] + [("random", *x) for x in random] + [("endpoint", *x) for x in ends]
 
 
@@ -155,7 +156,10 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs (with columns text and, if there, n_chars) with every span of every text replaced; no row is dropped."""
+    """docs (with columns text and, if there, n_chars) with every span of every text replaced; no row is dropped.
+
+    Null texts stay null with null n_chars, empty ones empty; all other columns, repeated rows and null ids are kept as they are; an empty table stays empty.
+    """
     return docs.mapInArrow(_redact_batches, docs.schema)
 
 

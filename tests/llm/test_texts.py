@@ -238,6 +238,49 @@ def test_secrets_after_an_equals_sign():
     assert secrets.scan(f"client_id={key}")[1] == [] and secrets.scan(f"client_id: {key}")[1] == []
 
 
+def linked_by_hand(text, base):
+    """Every candidate held against every part."""
+    spans = [(s, e) for _, s, e in base]
+    apart = lambda x, y: x[1] <= y[0] or y[1] <= x[0]
+
+    def beside(x, y):
+        lo, hi = min(x[1], y[1]), max(x[0], y[0])
+        return apart(x, y) and hi - lo <= secrets.REACH and "\n\n" not in text[lo:hi]
+
+    found = lambda pattern: [m.span() for m in pattern.finditer(text) if all(apart(m.span(), y) for y in spans)]
+    some = lambda x, parts: any(beside(x, y) for y in parts)
+    access, hidden = [(s, e) for k, s, e in base if k == "access"], [(s, e) for k, s, e in base if k != "access"]
+    named = found(secrets.NAMED)
+    random_ = [x for x in found(secrets.RANDOM) if some(x, access + named) and secrets.entropy(text[slice(*x)]) >= secrets.MIN_ENTROPY]
+    named = [x for x in named if some(x, hidden + random_)]
+    ends = [x for x in found(secrets.ENDPOINT) if some(x, access + named) and some(x, hidden + random_)]
+    return [(k, *x) for k, xs in (("named", named), ("random", random_), ("endpoint", ends)) for x in xs]
+
+
+def test_secrets_against_all_pairs(monkeypatch):
+    """The interval join against a quadratic one, on random texts with parts that nest, touch and repeat."""
+    rng = random.Random(31)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    linked = 0
+    for reach in (12, 60, 400):
+        monkeypatch.setattr(secrets, "REACH", reach)
+        for _ in range(250):
+            token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+            parts = [
+                lambda: f"client_id={token(6)}", lambda: f"tenant: {token(24)}", lambda: token(28), lambda: "a" * 25, lambda: f"https://{token(5)}.net:99/{token(22)}?key={token(30)}", lambda: "10.1.2.3:80", lambda: f"password={token(9)}",
+                lambda: f"token={'0123456789abcdef' * 2}{token(30)}", lambda: "AKIA" + token(14).upper(), lambda: f"secret: AKIA{token(16).upper()}", lambda: "0123456789abcdef" * 2, lambda: "word " * rng.randint(1, 9), lambda: "\n", lambda: "\n\n",
+            ]
+            text = "".join(rng.choice(parts)() + rng.choice([" ", " ", "", "\n", "\n\n", "="]) for _ in range(rng.randint(1, 14)))
+            base = secrets.base_spans(text)
+            got = secrets.linked_spans(text, base, reach)
+            assert sorted(got) == sorted(linked_by_hand(text, base)), text
+            linked += len(got)
+    assert linked > 500
+    text = "client_id=acme-prod-77 key x9Kd83jfLs02mQpZ7aRtY5wE https://db.internal:5432/x"
+    assert [k for k, _, _ in secrets.scan(text)[1]] == ["named", "random", "endpoint"]
+    assert [k for k, _, _ in secrets.scan("password=longenough1 far\n\nclient_id: x9Kd83jfLs02mQpZ7aRtY5wE end")[1]] == ["assign"]
+
+
 def test_mix(docs, rows, no_docs, scratch):
     got = mixing.mix(docs, scratch).collect()
     assert len(got) == len(rows)
