@@ -2,7 +2,7 @@
 
 One pass over the texts yields a row per document: the digest of its shingle set, the keys of
 bands of minima and a signature that keeps BITS low bits of each minimum. Documents of
-equal sets become one class. Classes that share a band are candidates; the similarity of a
+equal sets become one class, whose node is the number of one of its rows; ids play no part until the end. Classes that share a band are candidates; the similarity of a
 candidate pair is estimated by counting equal signature fields and correcting for those that agree by chance,
 and pairs whose estimate is within SLACK of the threshold are confirmed on full sets.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import WORD, Scratch, documents
 from .components import components
 from .text import BASE, mix64, shingle_set
 
@@ -50,7 +50,7 @@ PERCENT = 85
 OP4 = Threshold(PERCENT, 5, 25, 0.17)
 #: The threshold of the pipeline's stage.
 STAGE = Threshold(80, 4, 28, 0.19)
-#: Ids up to this number (8 bytes each) are broadcast to pick out texts; more are joined by shuffle.
+#: Ids with hashes up to this number (16 bytes each) are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shuffles the order of ids by which pivots are chosen.
 MASK = 0x5A17_3C69_0F2D_4B8E
@@ -100,23 +100,29 @@ def _sketcher(at: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, SHINGLE)
                 n.append(len(s))
-                digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                digests.append(digest(s))
                 m = minima(s)
                 bands.append(band_keys(m, at) if len(s) else None)
                 marks.append(np.concatenate([signature(m), cells(s)]))
             digests, marks = np.array(digests).reshape(-1, 2), np.array(marks).reshape(-1, len(MARKS))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))],
-                ["doc_id", "n_shingles", "s1", "s2", "bands", *MARKS],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(digests.T)), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(marks.T))],
+                ["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands", *MARKS],
             )
 
     return sketch_batches
 
 
+def digest(s: np.ndarray) -> np.ndarray:
+    """128 bits that stand for a set."""
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t, SHINGLE).view(np.int64) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        sets = [shingle_set(t, SHINGLE) for t in b.column("text").to_pylist()]
+        d = np.array([digest(s) for s in sets]).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(d.T)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["s1", "s2", "shingles"])
 
 
 def estimate(a: str, b: str) -> Column:
@@ -154,23 +160,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", at: Threshold = OP4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Null, empty and blank texts have no shingles and are components of their own. Rows with null id link with nothing: component_id null, kept true.
-    Rows of one id are one node: repeated rows are all kept or all not. An empty table gives an empty result.
+    Null, empty and blank texts have no shingles and link with nothing. Rows are documents of their own, those of null or repeated ids
+    too: component_id is the smallest id in the component (null if it has none), and kept is false where a row has another id or
+    none. So repeated rows of the smallest id are all kept. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kinds = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in MARKS)
-    sketches = scratch.keep(rows.mapInArrow(_sketcher(at), kinds))
-    real = sketches.where("n_shingles > 0 and doc_id is not null")
+    members, roots = groups(docs, scratch, id_col=id_col, text_col=text_col, at=at)
+    out = members.join(roots, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+
+
+def groups(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text", at: Threshold = OP4) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of each row, node null without shingles; and (node, root, component_id) of each node."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    kinds = "doc_id bigint, text_hash bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, " + ", ".join(f"{g} bigint" for g in MARKS)
+    sketches = scratch.keep(rows.mapInArrow(_sketcher(at), kinds).withColumn("row", F.monotonically_increasing_id()))
+    real = sketches.where("n_shingles > 0")
     # what sums rows up is written before it is joined: then both sides are plain shuffles, and a hot key can be split
-    classes = scratch.keep(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    nodes = scratch.keep(real.join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "n_shingles", "bands", *MARKS).dropDuplicates(["node"]))
-    members = scratch.keep(sketches.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "node"))
-    scratch.drop(sketches, classes)
+    classes = scratch.keep(real.groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
+    nodes = scratch.keep(real.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "s1", "s2", "doc_id", "text_hash", "n_shingles", "bands", *MARKS))
+    members = scratch.keep(sketches.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "text_hash", "n_shingles", "node"))
+    scratch.drop(sketches)
 
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = scratch.keep(_buckets(in_bands, scratch).distinct())
-    sets = scratch.keep(_sets_of(rows, shared.select("node").distinct()))
-    marks = nodes.drop("bands")
+    sets = scratch.keep(_sets_of(rows, nodes.select("node", "s1", "s2", "doc_id", "text_hash").join(shared.select("node").distinct(), "node"), scratch))
+    marks = nodes.drop("bands", "s1", "s2", "doc_id", "text_hash")
     shared_pivots = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
 
     # the pivot met in most bands, for each member
@@ -196,17 +211,28 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_
     if not last.isEmpty():
         links = scratch.keep(links.unionByName(last))
         roots = components(links, scratch)
-    scratch.drop(sets, nodes)
-
-    out = members.join(roots, "node", "left")
-    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    # the least id of a class, then of a component
+    least = classes.select("node", "least_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
+    least = scratch.keep(least)
+    by_root = scratch.keep(least.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    scratch.drop(sets, nodes, classes)
+    return members, least.join(by_root, "root").select("node", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch, *, at: Threshold = OP4) -> DataFrame:
-    """docs, with all its columns, without those of a group (by doc_id and text) that aren't its first; rows with null id stay."""
-    gone = near_duplicates(docs, scratch, at=at).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs (with columns doc_id and text, among any others), with all its columns: of each group of near-duplicates one row.
+
+    That of least id stays (null last), of several texts under it the one of least hash, and of rows equal in both
+    any one. What has no words is no duplicate and stays, repeated rows too. An empty table stays empty.
+    """
+    members, roots = groups(docs, scratch, at=at)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
+    stay = members.where("node is not null").join(roots.select("node", "root"), "node").groupBy("root").agg(first).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
+    stay = scratch.keep(stay.distinct())
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    of_groups = hashed.where(worded).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    return of_groups.unionByName(hashed.where(~worded)).select(docs.columns)
 
 
 def _buckets(in_bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -230,12 +256,15 @@ def _split(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataF
     return placed, scratch.keep(main.select("band", F.col("m.root").alias("main"), F.col("m.lead").alias("lead")))
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, whose texts are found by id."""
+def _sets_of(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, shingles) of wanted(node, s1, s2, doc_id, text_hash): texts are found by id and hash, sets by digest."""
+    wanted = scratch.keep(wanted)
+    keys = wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    return texts.mapInArrow(_set_batches, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+        keys = F.broadcast(keys)
+    texts = rows.join(keys, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    sets = texts.mapInArrow(_set_batches, "s1 bigint, s2 bigint, shingles array<bigint>").dropDuplicates(["s1", "s2"])
+    return sets.join(wanted, ["s1", "s2"]).select("node", "shingles")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
