@@ -3,8 +3,8 @@
 One weight vector over sparse word features serves all thresholds:
 P(grade <= k) = sigmoid(threshold_k - w.x), thresholds in order. The labels say toxic or not; a
 toxic row's grade (1 to GRADES - 1) is the quantile of the number of its words that go with toxicity.
-The model is fitted on the driver from at most SAMPLE labelled rows, the first in hash order of their
-ids; scoring maps over all documents in Arrow batches with the model in the closure, whose size is
+The model is fitted on the driver from at most SAMPLE labelled rows, one for each of the first ids in hash
+order; scoring maps over all documents in Arrow batches with the model in the closure, whose size is
 fixed by BUCKETS, and shuffles nothing.
 """
 
@@ -38,14 +38,20 @@ class Severity:
     thresholds: np.ndarray
 
     def grades(self, x: np.ndarray) -> np.ndarray:
-        """P(grade = k) for each row of features."""
-        below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -50, 50)))
+        """P(grade = k) for each w.x."""
+        below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - x[:, None], -50, 50)))
         edges = np.hstack([np.zeros((len(x), 1)), below, np.ones((len(x), 1))])
         return np.diff(edges, axis=1)
 
-    def vector(self, text: str | None) -> np.ndarray:
+    def tilt(self, text: str | None) -> float:
+        """w.x of a text, from the few features that it has."""
         k = self.feature[(word_hashes(text, NOT_ALNUM) % np.uint64(BUCKETS)).astype(np.int64)]
-        return np.log1p(np.bincount(k[k >= 0], minlength=len(self.weights)))
+        known, n = np.unique(k[k >= 0], return_counts=True)
+        return float(self.weights[known] @ np.log1p(n))
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """P(grade = k) for each text; a text at a time is held as a string."""
+        return self.grades(np.array([self.tilt(t.as_py()) for t in texts], float))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,9 +63,14 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(labelled: DataFrame) -> Severity:
-    """Fits labelled(text, toxic), which is no larger than SAMPLE. Without toxic and other rows, nothing is toxic."""
+    """Fits labelled(text, toxic) of at most SAMPLE rows; more are refused. Without toxic and other rows, nothing is toxic.
+
+    Rows of null label don't count; null texts have no words.
+    """
     rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    table = rows.mapInArrow(_count_batches, "toxic int, buckets array<int>, counts array<int>").toArrow()
+    table = rows.mapInArrow(_count_batches, "toxic int, buckets array<int>, counts array<int>").limit(SAMPLE + 1).toArrow()
+    if table.num_rows > SAMPLE:
+        raise ValueError(f"more than {SAMPLE} labelled rows; sample_of() picks so many")
     toxic = table.column("toxic").to_numpy() > 0
     buckets, counts = table.column("buckets").combine_chunks(), table.column("counts").combine_chunks()
     row = np.repeat(np.arange(len(toxic)), np.diff(buckets.offsets.to_numpy()) if len(toxic) else [])
@@ -110,22 +121,24 @@ def _maximise(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents, the first in hash order of the ids.
+    """(text, toxic) of at most ``rows`` labelled documents, one for each of the first ids in hash order.
 
-    Labels of one id count as toxic if any says so. The ids, at most ``rows``, are broadcast; ids that stand in several documents give several rows.
+    Labels of one id count as toxic if any says so; null ids, labels of no document and empty tables give no rows. The ids, at most
+    ``rows``, are broadcast. Of several documents of one id the text of least hash is taken, so that an id in many rows counts once.
     """
     first = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def _score_batches(model: Severity, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [model.vector(t) for t in b.column("text").to_pylist()]
-            p = model.grades(np.array(x).reshape(len(x), len(model.weights)))
+            p = model.of(b.column("text"))
             any_grade = 1 - p[:, 0]
+            grade = np.where(any_grade >= threshold, 1 + p[:, 1:].argmax(axis=1), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in b.schema.names if c != "text"], pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(any_grade), pa.array(any_grade >= threshold)],
+                [*[b.column(c) for c in b.schema.names if c != "text"], pa.array(p @ np.arange(GRADES)), pa.array(grade), pa.array(any_grade), pa.array(any_grade >= threshold)],
                 [*[c for c in b.schema.names if c != "text"], "expected_severity", "grade", "p_toxic", "toxic"],
             )
 
@@ -133,7 +146,7 @@ def _score_batches(model: Severity, threshold: float):
 
 
 def score(docs: DataFrame, model: Severity, *, id_col="doc_id", text_col="text", threshold: float = REJECT) -> DataFrame:
-    """One row per row of docs: doc_id, expected_severity (0 to GRADES - 1), grade (most probable), p_toxic, toxic.
+    """One row per row of docs: doc_id, expected_severity (0 to GRADES - 1), grade (0 unless toxic, else the most probable above 0), p_toxic, toxic.
 
     Null and empty texts have no features and get the model's base rates. Null ids and repeated rows are kept as they are.
     """
@@ -142,13 +155,14 @@ def score(docs: DataFrame, model: Severity, *, id_col="doc_id", text_col="text",
 
 
 def drop_toxic(docs: DataFrame, model: Severity, *, threshold: float = REJECT) -> DataFrame:
-    """docs, with all its columns, without the toxic documents."""
+    """docs, with all its columns, without the toxic documents.
+
+    Null and empty texts have the base rates and so stay; null ids and repeated rows are judged each; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [model.vector(t) for t in b.column("text").to_pylist()]
-            p = model.grades(np.array(x).reshape(len(x), len(model.weights)))
-            yield b.filter(pa.array(1 - p[:, 0] < threshold))
+            yield b.filter(pa.array(1 - model.of(b.column("text"))[:, 0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
