@@ -47,6 +47,47 @@ def test_toxicity_on_held_out_rows(spark, no_docs):
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id in very many rows counts once; more rows than SAMPLE are refused; empty tables fit a model that rejects nothing."""
+    docs = spark.range(50_000).selectExpr("bigint(7) as doc_id", "concat('text ', id % 3) as text").unionByName(spark.createDataFrame([(8, "vile words"), (None, "x")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(7, 0), (8, 1), (9, 1), (None, 1), (8, None)], "doc_id bigint, toxic int")
+    got = sorted((r.text[:4], r.toxic) for r in toxicity.sample_of(docs, labels).collect())
+    assert got == [("text", 0), ("vile", 1)]
+    monkeypatch.setattr(toxicity, "SAMPLE", 1)
+    try:
+        toxicity.fit(toxicity.sample_of(docs, labels, rows=5))
+        raise AssertionError
+    except ValueError as e:
+        assert "more than 1" in str(e)
+    monkeypatch.undo()
+    none = labels.limit(0)
+    for d, lab in ((docs, none), (docs.limit(0), labels), (docs.limit(0), none)):
+        model = toxicity.fit(toxicity.sample_of(d, lab))
+        assert not any(r.toxic for r in toxicity.score(docs.where("doc_id = 8 or doc_id is null"), model).collect())
+
+
+def test_fit_against_a_plain_optimiser():
+    """The penalised likelihood of the fit against descent by numeric differences on a function written anew."""
+    rng = np.random.default_rng(12)
+    x = np.log1p(rng.poisson(0.8, (300, 3)).astype(float))
+    true = np.array([1.5, -0.5, 0.8])
+    noise = rng.logistic(size=300)
+    grade = np.digitize(x @ true + noise, [0.5, 1.6, 2.8])
+
+    def loss(p):
+        w, theta = p[:3], np.sort(p[3:])
+        cum = lambda k: np.ones(300) if k == 3 else (np.zeros(300) if k < 0 else 1 / (1 + np.exp(x @ w - theta[k])))
+        by_grade = np.stack([cum(k) - cum(k - 1) for k in range(4)], axis=1)
+        return -np.log(np.maximum(by_grade[np.arange(300), grade], 1e-12)).mean() + toxicity.RIDGE / 2 * (w @ w)
+
+    p = np.array([0.0, 0, 0, 0, 1, 2])
+    for _ in range(1500):
+        g = np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in 1e-5 * np.eye(6)])
+        p = p - 0.5 * g
+    w, theta = toxicity._maximise(x, grade)
+    assert loss(np.concatenate([w, theta])) <= loss(p) + 1e-3 and np.abs(w - p[:3]).max() < 0.1 and np.abs(theta - p[3:]).max() < 0.15
+
+
 def brute(rows, k=20):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
@@ -80,18 +121,59 @@ def test_neighbours_exact_on_a_small_table(spark, scratch):
     assert neighbours.nearest_neighbours(empty, scratch).count() == 0
 
 
+def found_by(df, scratch, **named):
+    got = {}
+    for r in neighbours.nearest_neighbours(df, scratch, **named).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return got
+
+
 def test_neighbours_recall_and_blocks(spark, scratch, monkeypatch):
+    """With pruning in force: without clusters at the default share, with clusters at a tenth of it."""
     monkeypatch.setattr(neighbours, "PROBE", 50)
     monkeypatch.setattr(neighbours, "BLOCK", 37)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 40)
     rows = vectors(2000)
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {}
-    for r in neighbours.nearest_neighbours(df, scratch).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
+    got = found_by(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scratch)
+    want = list(brute(rows))
+    assert np.mean([len(got[q] & set(ids)) / len(ids) for q, ids, _ in want]) >= 0.9
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(50, 16))
+    rows = [(k, (centres[k % 50] + 0.15 * rng.normal(size=16)).tolist()) for k in range(3000)]
+    got = found_by(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scratch, probe=3000 * 35 // 1000)
     want = list(brute(rows))
     assert np.mean([len(got[q] & set(ids)) / len(ids) for q, ids, _ in want]) >= 0.9
 
 
+def test_traversal_against_all_pairs():
+    """Visited pairs hold enough entries, and all pairs nearer than the nearest one left out are among them, but for a stride."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k, want = rng.integers(1, 12), int(rng.integers(1, 80))
+        books, q = (rng.normal(size=(k, 3)), rng.normal(size=(k, 3))), rng.normal(size=6)
+        counts = rng.poisson(0.7, (k, k))
+        first, most = neighbours.traverse(q, books, counts, want)
+        d1, d2 = -(books[0] @ q[:3]), -(books[1] @ q[3:])
+        seen = np.zeros((k, k), bool)
+        for i, m in zip(first, most, strict=True):
+            seen[i] = d2 <= m
+        assert counts[seen].sum() >= min(want, counts.sum())
+        total, stride = d1[:, None] + d2[None, :], neighbours.STRIDE * np.ptp(d2)
+        if (~seen & (counts > 0)).any() and seen.any():
+            assert total[seen].max() <= total[~seen & (counts > 0)].min() + 2 * stride + 1e-9 or counts[seen & (total < total[seen].max())].sum() < want
+
+
+def test_rows_of_one_id_ask_once(spark, scratch):
+    """Of different vectors under one id the same one asks, however the rows are dealt out."""
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)] + [(20, rng.normal(size=8).tolist()) for _ in range(5)]
+    runs = []
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(n)
+        runs.append(sorted(map(tuple, neighbours.nearest_neighbours(df, scratch).where("query_id = 20").collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == 20 and all(v != 20 for _, _, v, _ in runs[0])
+
+
 def test_url_rules(spark, scratch):
     rows = [
         (1, "https://a.Example.ORG/es/1"), (2, "http://org/"), (3, "http://org"), (4, "https://x.example.com/fr/a?b#c"), (5, "https://example.com/de/1"),
@@ -125,6 +207,25 @@ def test_url_mining(spark, scratch):
         assert judged[k] == "block" or not bad
 
 
+def test_url_mining_needs_several_pages(spark, scratch):
+    """One bad page, or a few, give no rule however few rows are labelled; equal tokens are mined once; wide URLs stay bounded."""
+    clean = [(f"https://site{k % 7}.net/news/{'abcdefg'[k % 7]}", False) for k in range(90)]
+    one = [("https://odd.example.net/casino/win", True)]
+    schema = "url string, bad boolean"
+    assert urls.mine(spark.createDataFrame(clean + one, schema), scratch).count() == 0
+    assert urls.mine(spark.createDataFrame(clean + one * (urls.MIN_COUNT - 1), schema), scratch).count() == 0
+    assert urls.mine(spark.createDataFrame(one * urls.MIN_COUNT, schema), scratch).count() == 0  # no lift
+    got = urls.mine(spark.createDataFrame(clean + one * urls.MIN_COUNT, schema), scratch).collect()
+    assert [len(r.tokens) for r in got] == [1] and got[0].support == urls.MIN_COUNT / 95
+    wide = [(f"https://w.net/{'/'.join(f'x{j}' for j in range(40) if j != k)}", True) for k in range(12)]
+    got = urls.mine(spark.createDataFrame(clean + wide + [(None, True), ("no scheme", False)], schema), scratch).collect()
+    assert got and all(len(r.tokens) <= urls.WIDTH and r.confidence == 1.0 for r in got)
+    long = "https://w.net/" + "x" * 100_000 + "/x1"
+    pages = spark.createDataFrame([(1, long), (2, wide[0][0]), (3, None)], "page_id bigint, url string")
+    rules = spark.createDataFrame([(["p:x1"], 1.0, 0.1, "p:x1")], "tokens array<string>, confidence double, support double, key string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from semblance.llm.common import documents

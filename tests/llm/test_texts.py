@@ -102,41 +102,76 @@ def test_repeats_with_hot_anchors(docs, rows, scratch, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(cut_by_hand(rows, 200))
 
 
-def components_by_hand(rows):
-    sets, parent = {}, {}
-    for doc_id, text, *_ in rows:
+def test_repeats_with_wide_groups(docs, rows, scratch, monkeypatch):
+    """Groups of any number of pieces go on as single windows: one core between many different bytes, with hot anchors and without."""
+    rng = random.Random(17)
+    core = bytes(rng.choice(b"abcdefgh ") for _ in range(185)).decode()
+    odd = lambda: "".join(rng.choice("mnopqrstuv") for _ in range(rng.randint(0, 30)))
+    more = [(1000 + k, odd() + core + odd()) for k in range(60)] + [(2000 + k, "left side of it " + core + odd()) for k in range(20)]
+    for hot, wide in ((1, 1), (5, 2), (10**9, 3)):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "WIDE", wide)
+        for some in (rows, more):
+            df = docs if some is rows else docs.sparkSession.createDataFrame(more, "doc_id bigint, text string").repartition(3)
+            assert Counter(map(tuple, substrings.remove_repeats(df, scratch).collect())) == Counter(cut_by_hand(some, 200))
+
+
+def test_repeats_across_blocks(spark, scratch, monkeypatch):
+    """A text of several blocks, repeats across a seam between two of them."""
+    monkeypatch.setattr(substrings, "BLOCK", 1 << 10)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(5000))
+    rows = [(1, text), (2, text[900:1300] + "z"), (3, "y" + text[2040:2300]), (4, text[3000:3199])]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch).collect()
+    assert Counter(map(tuple, got)) == Counter(cut_by_hand(rows, 200))
+
+
+def components_by_hand(rows, percent=85):
+    """Of each row its shingle set and the least id of its component; every row against every other."""
+    sets = []
+    for _, text, *_ in rows:
         w = WORD.findall((text or "").translate(ASCII_LOWER))
-        if doc_id is not None:
-            sets[doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-            parent[doc_id] = doc_id
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i in ids:
-        for j in ids:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    return sets, find
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= percent * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, *_) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return sets, [find(i) for i in range(len(rows))], [least.get(find(i)) for i in range(len(rows))]
 
 
 def test_near_duplicates(docs, rows, no_docs, scratch):
-    sets, find = components_by_hand(rows)
+    sets, roots, least = components_by_hand(rows)
     got = neardup.near_duplicates(docs, scratch).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+    want = Counter((r[0], len(s), c, c is None or c == r[0]) for r, s, c in zip(rows, sets, least, strict=True))
+    assert Counter(map(tuple, got)) == want
     assert neardup.near_duplicates(no_docs, scratch).count() == 0
     kept = neardup.drop_near_duplicates(docs, scratch)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in sets if find(i) == i} | {None}
+    assert kept.columns == docs.columns and neardup.drop_near_duplicates(no_docs, scratch).count() == 0
+    wordless = [r[0] for r, s in zip(rows, sets, strict=True) if not s]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([c for _, c in {(x, c) for x, c, s in zip(roots, least, sets, strict=True) if s}] + wordless)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, scratch):
+    """Two texts under one id are documents of their own, and no link of either is lost; of each group one row stays."""
+    rng = random.Random(3)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, two), (9, one + " more"), (3, two + " more"), (5, one), (None, three), (None, three), (None, three + " more"), (7, ""), (7, ""), (None, None)]
+    sets, roots, least = components_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = neardup.near_duplicates(docs, scratch).collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], len(s), c, c is None or c == r[0]) for r, s, c in zip(rows, sets, least, strict=True))
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in neardup.drop_near_duplicates(docs, scratch).collect()) == sorted([(5, one[:9]), (3, two[:9]), (0, three[:9]), (7, ""), (7, ""), (0, "")])
 
 
 def test_near_duplicates_of_the_pipeline(spark):
@@ -317,6 +352,80 @@ def test_mix(docs, rows, no_docs, scratch):
     assert mixing.mixed_documents(docs, scratch).columns == docs.columns
 
 
+def mix_by_hand(rows, cap=3):
+    """Rates by plain gradient steps on the dual over all documents: rows of (source, language, size) and targets by source."""
+    sources, langs = sorted({r[0] for r in rows}), mixing.LANGUAGES
+    n = np.array([r[2] for r in rows], float)
+    band = np.array([round(np.log(r[2]) * mixing.BANDS) / mixing.BANDS if r[2] else 0.0 for r in rows])
+    x = np.stack([[float(r[1] == k) for r in rows] for k in langs] + [band - (n @ band) / n.sum()], axis=1)
+    who = np.array([sources.index(r[0]) for r in rows])
+    return sources, n, x, who
+
+
+def test_mix_is_the_entropy_balance(spark, scratch):
+    """The rates meet what the optimum must: an exponential tilt below the cap, targets met, and moments missed by SLACK times the multiplier."""
+    rng = random.Random(41)
+    for seed in range(3):
+        rows = []
+        for k in range(400):
+            s = rng.choice(["a", "a", "a", "b", "c", "d", "d", "e"][: 8 - 2 * seed])
+            lang = rng.choice(["en", "en", "de", "fr", None] if s in "ab" else ["es", "de", "xx"])
+            rows.append((k, " ".join(["w"] * (int(rng.lognormvariate(4, 1)) if k % 40 else 0)), s, lang))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(3)
+        got = {r.doc_id: r for r in mixing.mix(docs, scratch).collect()}
+        sources, n, x, who = mix_by_hand([(r[2], r[3], len(r[1].split())) for r in rows])
+        rate = np.array([got[k].rate for k in range(400)])
+        target = np.array([next(got[k].target for k in range(400) if who[k] == s) for s in range(len(sources))])
+        met = np.bincount(who, n * rate)
+        assert np.abs(met - target).max() <= 1e-5 * target.max()
+        free = (rate < 3) & (n > 0)
+        # log rate = a of the source + b.x: the least squares fit leaves nothing
+        design = np.hstack([np.eye(len(sources))[who], x])[free]
+        fit, *_ = np.linalg.lstsq(design, np.log(rate[free]), rcond=None)
+        assert np.abs(design @ fit - np.log(rate[free])).max() < 1e-6
+        b = fit[len(sources) :]
+        miss = (n * rate) @ x - n @ x
+        assert np.abs(miss + mixing.SLACK * n.sum() * b).max() < 1e-4 * n.sum()
+        # capped ones would have more
+        assert all(fit[who[k]] + x[k] @ b >= np.log(3) - 1e-6 for k in range(400) if rate[k] == 3 and n[k] and np.any(free & (who == who[k])))
+        assert np.ptp(rate[(who == who[0]) & (n > 0)]) > 0.005
+
+
+def test_newton_ends_at_the_constraints(spark, scratch):
+    """The dual's residual is below the stated bound, with caps in force and with languages that only one source has."""
+    rng = random.Random(5)
+    cells = [(s, k, rng.randint(0, 60), rng.randint(1, 10**6)) for s in range(7) for k in range(4) if s % 4 == k or s < 3]
+    size = Counter()
+    for s, _, _, n in cells:
+        size[s] += n
+    share = [0.01, 2.9, 0.3, 2.999, 1.0, 0.5, 3.0]
+    targets = [(s, size[s], share[s] * size[s], share[s] == 3.0) for s in range(7)]
+    df = spark.createDataFrame(cells, "sid bigint, language int, band int, n bigint"), spark.createDataFrame(targets, "sid bigint, source_size bigint, target double, full boolean")
+    found = mixing.balance(*df, scratch)
+    assert found.residual <= mixing.RESIDUAL and found.steps < mixing.STEPS and len(found.b) == mixing.K
+    mean = mixing.mean_band(df[0])[1]
+    a = {r.sid: r.a for r in found.sources.collect()}
+    for s, _, target, _ in targets:
+        got = sum(n * min(3.0, np.exp(min(50, a[s] + (found.b[k] if k < 3 else 0) + found.b[3] * (z / mixing.BANDS - mean)))) for t, k, z, n in cells if t == s)
+        assert abs(got - target) <= 1e-5 * target
+    empty = mixing.balance(df[0].limit(0), df[1].limit(0), scratch)
+    assert empty.b == [0.0] * mixing.K and empty.sources.count() == 0
+
+
+def test_mix_of_hot_rows(spark, scratch):
+    """A third of all rows alike, null ids and one-word texts: targets are met to the word and reruns agree."""
+    rows = [(None, "one", "a", "en")] * 300 + [(7, "two words here", "a", "en")] * 200 + [(k, "w " * (k % 9), "b" if k % 3 else "c", "de") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    runs = [mixing.mix(docs.repartition(n), scratch, extra=("source",)).collect() for n in (2, 5)]
+    assert Counter(map(tuple, runs[0])) == Counter(map(tuple, runs[1]))
+    taken, target = Counter(), {}
+    for r in runs[0]:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+
+
 def test_quality(docs, rows, no_docs, scratch):
     got = quality.judge(docs, scratch).collect()
     want = Counter()
