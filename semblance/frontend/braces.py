@@ -7,6 +7,7 @@ read becomes an ``unknown`` expression that still carries the operands before it
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from .il import SAME_OP, E, Fn, S
@@ -321,13 +322,13 @@ class Parser:
                     out += self.statement()
                     if self.i == at:
                         raise Unreadable("case")
-                arms.append(([], E("op", "==", (subject, *test), line) if test else E("op", "case", (subject,), line), tuple(s for s in out if s.kind != "break")))
+                arms.append(([], E("op", "==", (subject, *test), line) if test else E("op", "case", (subject,), line), tuple(leaving(s) for s in out if s.kind != "break")))
         self.i = end + 1
         rest: tuple[S, ...] = ()
         for names, guard, body in reversed(arms):
             bind = tuple(S("assign", (E("var", n), E("index", "case", (subject,), line)), (), line) for n in names)
             rest = (S("if", (guard,), (bind + body, rest), line),)
-        return list(rest)
+        return list(rest) if word == "match" else [S("region", (), (rest,), line)]
 
     def arm(self) -> list[S]:
         return self.simple() if self.peek() not in ("return", "break", "continue", "if", "match") else self.statement()
@@ -678,6 +679,33 @@ class Parser:
         return E("call", "<block>", (E("lambda", "", (), line, "", Fn("<block>", (), tail_returns(body), line, self.line)),), line, "block")
 
 
+def leaving(s: S) -> S:
+    """A statement of a switch: a break in it, but for those of loops and switches inside, leaves the switch."""
+    if s.kind == "break":
+        return s._replace(kind="leave")
+    return s if s.kind in ("loop", "each", "region") else s._replace(blocks=tuple(tuple(map(leaving, b)) for b in s.blocks))
+
+
+def lambdas_of(body: tuple[S, ...]) -> Iterator[Fn]:
+    """Functions without a name in some statements, the inner ones after those around them; named ones are units of their own."""
+
+    def of(e: E) -> Iterator[Fn]:
+        if e.fn is not None:
+            if e.fn.name == "<lambda>":
+                yield e.fn
+            if e.fn.name in ("<lambda>", "<block>"):
+                yield from lambdas_of(e.fn.body)
+        for a in e.args:
+            if isinstance(a, E):
+                yield from of(a)
+
+    for s in body:
+        for e in s.e:
+            yield from of(e)
+        for b in s.blocks:
+            yield from lambdas_of(b)
+
+
 def tail_returns(body: tuple[S, ...]) -> tuple[S, ...]:
     """Marks what stands last as the value returned."""
     if not body:
@@ -761,7 +789,7 @@ def function_at(p: Parser, at: int, arrow_name: str = "") -> Fn | None:
 
 
 def functions(source: str, lang: str) -> list[Fn]:
-    """Every named function of a file, nested ones too."""
+    """Every named function of a file, nested ones too, and the functions without a name inside them; lines stand for the tokens of these."""
     toks = tokens(source, lang)
     p, out = Parser(toks, lang), []
     words = {"rust": ("fn",), "go": ("func",), "js": ("function",)}.get(lang, ())
@@ -789,4 +817,7 @@ def functions(source: str, lang: str) -> list[Fn]:
         if f and f.name != "<lambda>":
             mine = [x for x in toks[k : p.i]]
             out.append(f._replace(code_lines=len({x.line for x in mine}), tokens=tuple(x.text for x in mine)))
+            for x in lambdas_of(f.body):
+                part = [y for y in mine if x.line <= y.line <= x.end]
+                out.append(x._replace(name=f"{f.name}::<lambda>", code_lines=len({y.line for y in part}), tokens=tuple(y.text for y in part)))
     return out

@@ -24,16 +24,17 @@ class Channels:
     floats: bool = False
     types: bool = False
     param_pos: bool = False
+    thru_copies: bool = False
     rounds: int = 1
 
     @property
     def bits(self) -> int:
-        return sum(1 << k for k, x in enumerate((self.call_names, self.int_values, self.strings, self.fields, self.floats, self.types, self.param_pos)) if x) | self.rounds << 8
+        return sum(1 << k for k, x in enumerate((self.call_names, self.int_values, self.strings, self.fields, self.floats, self.types, self.param_pos, self.thru_copies)) if x) | self.rounds << 8
 
 
 # Channels and rounds by language.
 BASE = {
-    "rust": Channels(rounds=2), "python": Channels(strings=True, fields=True, rounds=2), "c": Channels(strings=True, fields=True, rounds=0), "cpp": Channels(strings=True, fields=True, rounds=2),
+    "rust": Channels(rounds=2), "python": Channels(strings=True, fields=True, rounds=2), "c": Channels(strings=True, fields=True, rounds=0), "cpp": Channels(strings=True, fields=True, rounds=2), "ocaml": Channels(rounds=2),
 }
 RICH = {"strings": True, "fields": True, "floats": True, "types": True, "param_pos": True}
 
@@ -51,6 +52,7 @@ class Node:
     tag: str = ""
     label: str = ""
     line: int = 0
+    copy: bool = False
 
 
 @dataclass
@@ -74,10 +76,16 @@ class Graph:
         self.calls: set[tuple[str, str, int]] = set()
         self.consts: dict[str, set[str]] = {"string": set(), "int": set(), "float": set()}
         self.unknown = 0
+        self.merges: dict[tuple[int, ...], int] = {}
+        # environments that leave the loops (by break, by continue) and the regions around a statement, the innermost last
+        self.loops: list[tuple[list, list]] = []
+        self.regions: list[list] = []
         self.extern = self.add(feed(0xEE))
         env = {p: self.add(feed(0xE0, *([k] if ch.param_pos else [])), label="param") for k, p in enumerate(fn.params)}
         self.returns: list[int] = []
         self.block(fn.body, env)
+        if ch.thru_copies:
+            self.pass_copies()
         self.levels = self.propagate()
 
     def add(self, seed: int, preds=(), commutative=False, emit=False, tag="", label="", line=0) -> int:
@@ -98,10 +106,12 @@ class Graph:
             return env.get(e.name, self.extern)
         if e.kind == "lambda":
             kept, self.returns = self.returns, []
+            around, self.loops, self.regions = (self.loops, self.regions), [], []
             inner = dict(env) | {p: self.add(feed(0xE0), label="param") for p in e.fn.params}
             self.block(e.fn.body, inner)
             out = self.add(feed(0x03), self.returns, True, label="lambda", line=line)
             self.returns = kept
+            self.loops, self.regions = around
             return out
         if e.kind == "call" and e.text == "block":
             kept, self.returns = self.returns, []
@@ -113,7 +123,11 @@ class Graph:
             return env[e.args[0].name]
         args = [self.value(a, env) for a in e.args]
         if e.kind == "cast":
-            return args[0] if not ch.types else self.add(feed(0x1A, e.name), args, label=f"as {e.name}", line=line)
+            if not ch.types:
+                return args[0]
+            out = self.add(feed(0x1A, e.name), args, label=f"as {e.name}", line=line)
+            self.nodes[out].copy = len(args) == 1
+            return out
         if e.kind == "op":
             name = SAME_OP.get(e.name, e.name)
             return self.add(feed(0x10, name, len(args)), args, name in COMMUTATIVE, True, "unop" if len(args) == 1 else "binop", name, line)
@@ -137,8 +151,14 @@ class Graph:
         return self.add(feed(0x1F, e.name), args, label="unknown", line=line)
 
     def merge(self, values: list[int], line: int) -> int:
+        """The node of a value that is one of several; one for each set of them."""
         values = list(dict.fromkeys(values))
-        return values[0] if len(values) == 1 else self.add(feed(0x05, "merge", len(values)), values, True, label="merge", line=line)
+        if len(values) == 1:
+            return values[0]
+        key = tuple(sorted(values))
+        if key not in self.merges:
+            self.merges[key] = self.add(feed(0x05, "merge", len(values)), values, True, label="merge", line=line)
+        return self.merges[key]
 
     def decide(self, cond: int, line: int) -> None:
         self.shape.cond += 1
@@ -159,12 +179,16 @@ class Graph:
         return env
 
     def joined(self, outs: list[dict[str, int] | None], line: int, env: dict[str, int]) -> dict[str, int] | None:
-        live = [o for o in outs if o is not None]
         self.shape.join += 1
         self.shape.nodes += 1
-        self.shape.edges += len(live)
-        if not live:
-            return None
+        self.shape.edges += sum(o is not None for o in outs)
+        return self.meet(outs, line, env)
+
+    def meet(self, outs: list[dict[str, int] | None], line: int, env: dict[str, int]) -> dict[str, int] | None:
+        """The environment where some paths meet; None if none goes on."""
+        live = [o for o in outs if o is not None]
+        if len(live) < 2:
+            return live[0] if live else None
         names = set().union(*live)
         return {n: self.merge([o.get(n, env.get(n, self.extern)) for o in live], line) for n in sorted(names)}
 
@@ -221,17 +245,18 @@ class Graph:
             endless = s.e[0].kind == "lit"
             if not endless:
                 self.decide(self.value(s.e[0], head), line)
-            after = self.block((*body, *step), dict(head), inner)
-            self.close_loop(head, env, after)
-            return dict(head)
+            return self.turn(head, dict(head), env, body, step, line, inner, [] if endless else [head])
         if s.kind == "each":
             over = self.value(s.e[1], env)
             head = self.loop_env(s.blocks[0], env, line)
             self.decide(over, line)
             inside = dict(head)
             self.assign(s.e[0], self.add(feed(0x18, "each"), [over], emit=True, tag="control", label="each", line=line), inside, line)
-            self.close_loop(head, env, self.block(s.blocks[0], inside, inner))
-            return dict(head)
+            return self.turn(head, inside, env, s.blocks[0], (), line, inner, [head])
+        if s.kind == "region":
+            self.regions.append([])
+            after = self.block(s.blocks[0], env, inner)
+            return self.meet([after, *self.regions.pop()], line, env)
         if s.kind == "try":
             outs = [self.block(s.blocks[0], dict(env), inner)]
             outs += [self.block(b, dict(env), inner) for b in s.blocks[1:]]
@@ -252,24 +277,49 @@ class Graph:
             sh.edges += 1
             self.add(feed(0x06), [self.value(e, env) for e in s.e], emit=True, tag="control", label="throw", line=line)
             return None
-        return None  # break, continue
+        if s.kind == "leave" and self.regions:
+            self.regions[-1].append(dict(env))
+        elif s.kind in ("break", "continue") and self.loops:
+            self.loops[-1][s.kind == "continue"].append(dict(env))
+        return None
+
+    def turn(self, head: dict[str, int], inside: dict[str, int], env: dict[str, int], body, step, line: int, inner: bool, exits: list) -> dict[str, int]:
+        """A loop's body from ``inside``, back to its head by its end or a continue; the environment after it, by its exits and breaks."""
+        self.loops.append(([], []))
+        after = self.block(body, inside, inner)
+        breaks, again = self.loops.pop()
+        back = self.meet([after, *again], line, env)
+        if back is not None and step:
+            back = self.block(step, dict(back), inner)
+        self.close_loop(head, env, back)
+        return self.meet([*map(dict, exits), *breaks], line, env) or dict(head)
+
+    def pass_copies(self) -> None:
+        """Edges from copies come from what they copy."""
+        for n in self.nodes:
+            for k, (p, pos) in enumerate(n.preds):
+                seen = {p}
+                while self.nodes[p].copy and self.nodes[p].preds[0][0] not in seen:
+                    p = self.nodes[p].preds[0][0]
+                    seen.add(p)
+                n.preds[k] = (p, pos)
 
     def propagate(self) -> list[list[int]]:
-        now = [n.seed for n in self.nodes]
-        out = [now]
-        for _ in range(self.ch.rounds):
-            new = []
-            for k, n in enumerate(self.nodes):
-                h = now[k]
-                if n.preds and n.commutative:
-                    h = mix(h, sum(mix(h, now[p]) for p, _ in n.preds) & MASK62)
-                else:
-                    for p, pos in n.preds:
-                        h = mix(h, mix_pos(now[p], pos))
-                new.append(h)
-            out.append(new)
-            now = new
-        return out
+        """The nodes' hashes at each level: the seeds, then what a node's own hash and those of its operands one level down make."""
+
+        def up(node: Node, own: int, below: list[int]) -> int:
+            if node.commutative and node.preds:
+                # a sum of hashes that each depend on the node's own does not depend on the operands' order
+                return mix(own, sum(mix(own, below[p]) for p, _ in node.preds) & MASK62)
+            for p, pos in node.preds:
+                own = mix(own, mix_pos(below[p], pos))
+            return own
+
+        levels = [[n.seed for n in self.nodes]]
+        while len(levels) <= self.ch.rounds:
+            below = levels[-1]
+            levels.append([up(n, h, below) for n, h in zip(self.nodes, below, strict=True)])
+        return levels
 
     def features(self) -> list[tuple[int, str]]:
         """Hashes of the emitting nodes: all seeds, later rounds where they differ."""

@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from dataclasses import asdict, dataclass, replace
 
 from ..functions.hashing import feed
-from .dataflow import Graph, channels, delta_features
+from .dataflow import Channels, Graph, channels, delta_features
 from .il import Fn
 
 # Weights in tenths by tag and channel; bucket edges of the shape features.
 TAG_WEIGHTS = {"binop": 10, "unop": 10, "call": 10, "field": 10, "index": 10, "construct": 10, "control": 10, "string": 8, "const": 8, "macro": 8}
 MISC, SHAPE = 8, 3
 PROFILES = {"structural": {}, "full": {"delta": 5, "calls": 8, "strings": 5, "ints": 5, "floats": 5}}
-NODES, EDGES, CYCLOMATIC = [4, 8, 16, 32, 64, 128], [4, 10, 22, 46, 94, 190], [1, 3, 7, 15, 31]
-CONDS, RETURNS, THROWS, INSTRS, BACKS = [0, 1, 3, 7, 15], [0, 1, 3, 7], [0, 1, 3], [2, 5, 11, 23, 47, 95], [0, 1, 2, 4, 8]
+EDGES = {
+    "nodes": [4, 8, 16, 32, 64, 128], "edges": [4, 10, 22, 46, 94, 190], "cyclomatic": [1, 3, 7, 15, 31], "cond": [0, 1, 3, 7, 15], "join": [0, 1, 3, 7, 15],
+    "ret": [0, 1, 3, 7], "throw": [0, 1, 3], "instr": [2, 5, 11, 23, 47, 95], "back": [0, 1, 2, 4, 8],
+}
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a user may change: rounds of propagation, more channels, weights by tag. The default of each is the language's own."""
+
+    rounds: int | None = None
+    extra: tuple[str, ...] = ()
+    weights: dict[str, int] | None = None
+
+    def channels(self, lang: str) -> Channels:
+        on = {x: True for x in self.extra}
+        return replace(channels(lang), **on, **({} if self.rounds is None else {"rounds": self.rounds}))
 
 
 def shape_features(g: Graph) -> list[int]:
-    """Coarse buckets of the control flow: size, kinds of nodes, loops."""
-    s, b = g.shape, bisect_left
-    return [
-        feed(0xA1, b(NODES, s.nodes), b(EDGES, s.edges), b(CYCLOMATIC, max(1, s.edges - s.nodes + 2))),
-        feed(0xA2, b(CONDS, s.cond), b(CONDS, s.join), b(RETURNS, s.ret), b(THROWS, s.throw), b(INSTRS, s.instr)),
-        feed(0xA0, b(BACKS, s.back)),
-    ]
+    """Hashes of how large the function is, of how it branches and leaves, and of how it loops, each in coarse buckets."""
+    counts = asdict(g.shape) | {"cyclomatic": max(1, g.shape.edges - g.shape.nodes + 2)}
+    kinds = {0xA0: ("back",), 0xA1: ("nodes", "edges", "cyclomatic"), 0xA2: ("cond", "join", "ret", "throw", "instr")}
+    return [feed(kind, *(bisect_left(EDGES[x], counts[x]) for x in names)) for kind, names in kinds.items()]
 
 
 def signature(fn: Fn, lang: str, profile: str = "structural", weights: dict[str, int] | None = None, graph: Graph | None = None) -> list[dict]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import share
@@ -41,3 +41,19 @@ def containment(q: Column, t: Column) -> Column:
 def set_jaccard(a: Column, b: Column) -> Column:
     """Unweighted, of two arrays; 0 if both are empty."""
     return share(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
+
+
+SIGNATURE = "array<struct<h: bigint, w: int>>"
+
+
+def register(spark: SparkSession) -> None:
+    """weighted_jaccard(a, b) and containment(q, t) of signatures, and set_jaccard(a, b) of arrays of strings, as functions in SQL of this session."""
+    total = lambda x: f"aggregate({x}, bigint(0), (s, x) -> s + x.w)"
+    both = "aggregate(transform(a, x -> least(x.w, coalesce(try_element_at(map_from_entries(b), x.h), 0))), bigint(0), (s, x) -> s + x)"
+    body = {
+        ("weighted_jaccard", SIGNATURE): f"coalesce(try_divide(double({both}), double({total('a')} + {total('b')} - {both})), double(0))",
+        ("containment", SIGNATURE): f"coalesce(try_divide(double({both}), double({total('a')})), double(0))",
+        ("set_jaccard", "array<string>"): "coalesce(try_divide(double(size(array_intersect(a, b))), double(size(array_union(a, b)))), double(0))",
+    }
+    for (name, kind), expression in body.items():
+        spark.sql(f"create or replace temporary function {name}(a {kind}, b {kind}) returns double return {expression}")

@@ -52,7 +52,9 @@ def split_list(s: str | None) -> list[str]:
     return [x for x in (s or "").split(",") if x]
 
 
-_VERSIONED = re.compile(r"^(.*?)-(\d[^/]*\.[^/]*)$")
+#: A path component of a package and its version.
+VERSIONED = r"^(.*?)-(\d[^/]*\.[^/]*)$"
+_VERSIONED = re.compile(VERSIONED)
 
 
 def crate_of(path: str) -> tuple[str, str] | None:
@@ -85,3 +87,25 @@ def percent_decode(s: str, plus: bool = False) -> str:
 
 def truncate(s: str, n: int) -> str:
     return s if len(s) <= n else s[: max(0, n - 1)] + "…"
+
+
+def line_diff(a: list[str], b: list[str]) -> list[tuple[str | None, str | None]]:
+    """Rows of two texts' lines, those of a longest common subsequence (blanks around them aside) side by side, others alone."""
+    x, y = [s.strip() for s in a], [s.strip() for s in b]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in reversed(range(len(x))):
+        for k in reversed(range(len(y))):
+            best[i][k] = best[i + 1][k + 1] + 1 if x[i] == y[k] else max(best[i + 1][k], best[i][k + 1])
+    rows: list[tuple[str | None, str | None]] = []
+    i = k = 0
+    while i < len(x) or k < len(y):
+        if i < len(x) and k < len(y) and x[i] == y[k]:
+            rows.append((a[i], b[k]))
+            i, k = i + 1, k + 1
+        elif k == len(y) or i < len(x) and best[i + 1][k] >= best[i][k + 1]:
+            rows.append((a[i], None))
+            i += 1
+        else:
+            rows.append((None, b[k]))
+            k += 1
+    return rows

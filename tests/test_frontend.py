@@ -5,7 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import fixtures_code as fx
-from semblance.frontend import graph_of, unique_nodes, units_of_source
+from semblance.frontend import function_at, graph_of, unique_nodes, units_of_source
+from semblance.frontend.il import dump
+from semblance.frontend.signature import Options
 from semblance.functions.hashing import MASK62, feed, fnv1a, mix, mix64, mix_pos
 from semblance.plans import diagnose, dot
 from semblance.plans.codemining import normalize
@@ -20,7 +22,7 @@ def signatures(path, text, profile="structural"):
     return {u["name"]: {x["h"]: x["w"] for x in u["features"]} for u in units_of_source(path, text, profile)}
 
 
-@pytest.mark.parametrize("ext,a,b,names", [(".py", fx.PYTHON, fx.PYTHON_B, ("largest_step", "steepest")), (".rs", fx.RUST, fx.RUST_B, ("largest_step", "steepest")), (".go", fx.GO, fx.GO_B, ("LargestStep", "Steepest")), (".js", fx.JS, fx.JS_B, ("largestStep", "steepest"))])
+@pytest.mark.parametrize("ext,a,b,names", [(".py", fx.PYTHON, fx.PYTHON_B, ("largest_step", "steepest")), (".rs", fx.RUST, fx.RUST_B, ("largest_step", "steepest")), (".go", fx.GO, fx.GO_B, ("LargestStep", "Steepest")), (".js", fx.JS, fx.JS_B, ("largestStep", "steepest")), (".ml", fx.OCAML, fx.OCAML_B, ("largest_step", "steepest"))])
 def test_other_names_and_order_score_the_same(ext, a, b, names):
     """The same function under other names is the best match, and scores far above every other one."""
     old, new = signatures("a" + ext, a), signatures("b" + ext, b)
@@ -49,14 +51,78 @@ def test_what_an_edit_changes():
 
 
 def test_every_function_is_found():
-    found = {ext: [u["name"] for u in units_of_source("f" + ext, text)] for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C), (".py", "class A:\n  def m(self):\n    def inner(): return 1\n    return lambda x: x + 1\n"))}
-    assert found == {".rs": ["largest_step", "settle"], ".go": ["LargestStep", "Route"], ".js": ["largestStep", "owed", "open"], ".c": ["largest_step", "freeze"], ".py": ["m", "inner", "m::<lambda>"]}
-    for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C)):
+    found = {ext: [u["name"] for u in units_of_source("f" + ext, text)] for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C), (".ml", fx.OCAML), (".py", "class A:\n  def m(self):\n    def inner(): return 1\n    return lambda x: x + 1\n"))}
+    assert found == {".rs": ["largest_step", "settle", "settle::<lambda>", "settle::<lambda>"], ".go": ["LargestStep", "Route"], ".js": ["largestStep", "owed", "owed::<lambda>", "owed::<lambda>", "open"], ".c": ["largest_step", "freeze"], ".ml": ["largest_step", "largest_step::<lambda>", "total"], ".py": ["m", "inner", "m::<lambda>"]}
+    for ext, text in ((".rs", fx.RUST), (".go", fx.GO), (".js", fx.JS), (".c", fx.C), (".ml", fx.OCAML)):
         for name in found[ext]:
             g = graph_of("f" + ext, text, name)
             assert g.unknown == 0, (ext, name)
 
 
+def test_what_leaves_a_loop():
+    """Values assigned before a break or continue reach what comes after; a break of a switch leaves only the switch."""
+    base = "def f(a, b):\n    t = a.x\n    for i in b:\n        if i.stop:\n            t = i.last\n            break\n        t = i.next\n    return g(t)\n"
+    shapes = {}
+    for name, text in {"base": base, "lost": base.replace("            t = i.last\n", ""), "again": base.replace("break", "continue"), "plain": base.replace("            break\n", "            pass\n")}.items():
+        g = graph_of("a.py", text, "f")
+        call = next(k for k, n in enumerate(g.nodes) if n.label == "g()")
+        seen, todo = set(), [call]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += [p for p, _ in g.nodes[k].preds]
+        shapes[name] = {g.nodes[k].label for k in seen}
+    assert {".x", ".last", ".next"} <= shapes["base"] and ".last" not in shapes["lost"] and ".last" in shapes["again"] and ".last" not in shapes["plain"]
+    js = "function f(xs, k) { let t = 0; for (const x of xs) { switch (k) { case 1: if (x.odd) { t = x.one; break; } t = x.two; break; default: t = x.three; } use(t); } return t; }"
+    g = graph_of("a.js", js, "f")
+    use = next(n for n in g.nodes if n.label == "use()")
+    merged = {g.nodes[p].label for p, _ in g.nodes[use.preds[0][0]].preds}
+    assert g.unknown == 0 and ".one" in merged | {g.nodes[q].label for p, _ in g.nodes[use.preds[0][0]].preds for q, _ in g.nodes[p].preds}
+
+
+def test_options():
+    """More rounds, channels and weights change signatures as they say; copies can be passed through."""
+    text = "def f(a):\n    return g(a + 2.5, a * a)\n"
+    plain = {x["tag"]: x["w"] for x in units_of_source("a.py", text, "structural")[0]["features"]}
+    heavy = {x["tag"]: x["w"] for x in units_of_source("a.py", text, "structural", Options(weights={"call": 3, "binop": 0}))[0]["features"]}
+    assert plain["call"] == 10 and heavy["call"] == 3 and "binop" not in heavy
+    levels = [len(graph_of("a.py", text, "f", options=Options(rounds=r)).levels) for r in (0, 1, 3)]
+    assert levels == [1, 2, 4]
+    assert signatures("a.py", text)["f"] != {x["h"]: x["w"] for x in units_of_source("a.py", text, "structural", Options(extra=("floats",)))[0]["features"]}
+    rust = "fn f(a: i64) -> i64 { g(a as i32 as i64 + 1) }"
+    through = graph_of("a.rs", rust, "f", options=Options(extra=("types", "thru_copies")))
+    plus = next(n for n in through.nodes if n.label == "+")
+    assert through.nodes[plus.preds[0][0]].label == "param"
+    assert [x.split("  #")[0] for x in dump(function_at("a.py", text, "f")[1]).split("\n")] == ["f(a)", "  return call[g](op[+](a, 2.5), op[*](a, a))"]
+
+
+def test_ocaml():
+    """Definitions in modules and in others, bindings of patterns, sequences, cases, loops, records and references."""
+    text = """
+    (* a comment (* in another *) let no x = x *)
+    type t = { due : int; mutable paid : bool }
+    module Book = struct
+      let settle ?(fee = 1) ~limit rows =
+        let rec go n acc = function [] -> acc | r :: rest when r.due > limit -> r.paid <- true; go (n + 1) (acc + r.due * fee) rest | _ :: rest -> go n acc rest in
+        let total, _count = (go 0 0 rows, List.length rows) in
+        if total > 100 then begin log total; total - 100 end else total
+      let ( +! ) a b = a + b
+    end
+    let first_due table key = try Some (Hashtbl.find table key).due with Not_found -> None
+    let sum (xs : int array) = let s = ref 0 in for i = 0 to Array.length xs - 1 do s := !s + xs.(i) done; while !s < 0 do s := - !s done; !s
+    let broken = ( ] let
+let after x = { x with due = x.due mod 2 }
+    """
+    found = {u["name"]: u for u in units_of_source("a.ml", text)}
+    assert [n for n in found if "<lambda>" not in n] == ["settle", "go", "+!", "first_due", "sum", "after"]
+    assert all(graph_of("a.ml", text, n).unknown == 0 for n in found) and (found["settle"]["line_start"], found["settle"]["line_end"]) == (5, 8)
+    labels = {n: {x.label for x in graph_of("a.ml", text, n).nodes} for n in found}
+    assert {"store", ">", "go()"} <= labels["go"] and {"log()", "-", "if"} <= labels["settle"] and {"[]", "loop", "neg"} <= labels["sum"] and {".due", "find()"} <= labels["first_due"]
+    same = text.replace("total", "t9").replace("rows", "zz").replace("acc", "q")
+    assert signatures("a.ml", same)["settle"] == signatures("a.ml", text)["settle"] and units_of_source("a.mli", "val f : int -> int") == []
+
+
 def test_lines_and_docstrings():
     u = {x["name"]: x for x in units_of_source("a.py", fx.PYTHON)}
     assert (u["largest_step"]["line_start"], u["largest_step"]["line_end"], u["largest_step"]["code_lines"]) == (2, 12, 10)
