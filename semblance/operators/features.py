@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60
 from ..functions.text import words
 
 
-def shingles(c: Column, n: int = 3) -> Column:
-    """The n-word shingles of a text in turn; none if it has fewer words."""
-    ws = words(c)
-    run = lambda w: F.when(F.size(w) >= n, F.transform(F.slice(w, 1, F.size(w) - n + 1), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)]))).otherwise(F.array().cast("array<string>"))
-    return F.element_at(F.transform(F.array(ws), run), 1)
-
-
 def raw_shingle_features(units: DataFrame, *, id_col: str, text_col: str, n: int = 3) -> DataFrame:
-    """A row per shingle occurrence; shingles with a digit weigh 5 tenths, others 10."""
-    rows = units.select(F.col(id_col).alias("fid"), F.explode(shingles(F.col(text_col), n)).alias("s"))
-    return rows.select("fid", hash60(F.col("s")).alias("h"), F.when(F.col("s").rlike("[0-9]"), 5).otherwise(10).alias("w"))
+    """A row per shingle occurrence; shingles with a digit weigh 5 tenths, others 10. Texts of fewer than n words have none.
+
+    The words and those after them are laid side by side and dealt out as rows, so that all from there is compiled code on plain columns.
+    """
+    ws = units.select(F.col(id_col).alias("fid"), words(F.col(text_col)).alias("ws")).where(F.size("ws") >= n)
+    count = F.size("ws") - (n - 1)
+    rows = ws.select("fid", F.inline(F.arrays_zip(*[F.slice("ws", k + 1, count).alias(f"w{k}") for k in range(n)])))
+    s = rows.select("fid", F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("s"))
+    return s.select("fid", hash60(F.col("s")).alias("h"), F.when(F.col("s").rlike("[0-9]"), 5).otherwise(10).alias("w"))
 
 
 def dedup_max(features: DataFrame) -> DataFrame:

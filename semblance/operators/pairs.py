@@ -1,10 +1,16 @@
 """Candidates and exact scores, for a whole corpus against itself or for a batch of queries.
 
-A unit proposes candidates by its features of df up to the cutoff and by its RAREST rarest ones in any case.
-The join on the first kind already meets every shared rare feature, so it yields the rare part of the sum of
-minima exactly; what frequent features could add is bounded by their weight in each unit. Pairs that cannot
-reach the threshold even so are dropped before frequent features, a few per unit, complete the sum. So no
-join ever touches the long postings of frequent features but for pairs that survive.
+A unit proposes candidates by its features of df up to the cutoff and by its RAREST rarest ones in any case. The
+cutoff grows with the corpus, so the join on all these features would grow with its square. Three joins stand for it,
+and give the same pairs wherever a threshold is set:
+
+* features of df up to NEAR (postings of a fixed length) meet in full, which yields their part of the sum of minima exactly;
+* a pair that shares none of these but reaches the threshold t shares one in a unit's prefix, the rarest features
+  that hold more than 1 - t of its weight; only units whose prefix goes beyond NEAR take part, with those features;
+* frequent features among the RAREST rarest of a unit.
+
+What the other features could add is bounded by their weight in each unit. Pairs that cannot
+reach the threshold even so are dropped before the rest of the sum is completed.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from ..functions.similarity import containment_of, jaccard_of
 from .features import df_cutoff, document_frequency
 
 RAREST = 8
+#: Longest postings that are joined in full.
+NEAR = 64
 
 
 def with_frequency(features: DataFrame, df: DataFrame | None = None) -> DataFrame:
@@ -37,21 +45,34 @@ def frequent_probes(features: DataFrame, cutoff: int, k: int = RAREST) -> DataFr
     return frequent.withColumn("rank", rank + F.col("n_rare")).where(F.col("rank") <= k).select("fid", "h", "w")
 
 
-def totals(features: DataFrame, cutoff: int) -> DataFrame:
-    """(fid, n_feat, wsum, wfreq): size, weight, and weight of frequent features. features have df."""
+def totals(features: DataFrame, near: int) -> DataFrame:
+    """(fid, n_feat, wsum, wfar): size, weight, and weight of the features of df over ``near``. features have df."""
     return features.groupBy("fid").agg(
-        F.count(F.lit(1)).cast("int").alias("n_feat"), F.sum("w").cast("bigint").alias("wsum"), F.sum(F.when(F.col("df") > cutoff, F.col("w")).otherwise(0)).cast("bigint").alias("wfreq")
+        F.count(F.lit(1)).cast("int").alias("n_feat"), F.sum("w").cast("bigint").alias("wsum"), F.sum(F.when(F.col("df") > near, F.col("w")).otherwise(0)).cast("bigint").alias("wfar")
     )
 
 
-def candidate_sums(features: DataFrame, cutoff: int) -> DataFrame:
-    """(a, b, rare): all candidate pairs a < b of a corpus with the rare part of their sum of minima."""
-    rare = features.where((F.col("df") > 1) & (F.col("df") <= cutoff)).select("fid", "h", "w")
-    x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.fid") < F.col("y.fid"))).select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b"), F.least("x.w", "y.w").cast("bigint").alias("rare"))
-    probe, frequent = frequent_probes(features, cutoff).select(F.col("fid").alias("p"), "h"), features.where(F.col("df") > cutoff).select("fid", "h")
-    more = probe.join(frequent, "h").where("p <> fid").select(F.least("p", "fid").alias("a"), F.greatest("p", "fid").alias("b"), F.lit(0).cast("bigint").alias("rare"))
-    return met.unionByName(more).groupBy("a", "b").agg(F.sum("rare").alias("rare"))
+def prefix_probes(features: DataFrame, sums: DataFrame, cutoff: int, near: int, threshold: float) -> DataFrame:
+    """(fid, h) of df over ``near`` and up to the cutoff that stand in the prefix of their unit."""
+    open_ = sums.where(F.col("wsum") - F.col("wfar") <= (1 - threshold) * F.col("wsum")).select("fid", "wsum", (F.col("wsum") - F.col("wfar")).alias("wnear"))
+    far = features.where((F.col("df") > near) & (F.col("df") <= cutoff)).join(open_, "fid")
+    before = F.sum("w").over(W.partitionBy("fid").orderBy("df", "h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w")
+    return far.withColumn("before", F.col("wnear") + before).where(F.col("before") <= (1 - threshold) * F.col("wsum")).select("fid", "h")
+
+
+def candidate_sums(features: DataFrame, cutoff: int, threshold: float = 0.0, sums: DataFrame | None = None) -> DataFrame:
+    """(a, b, near): the candidate pairs a < b of a corpus that can reach the threshold, with the sum of minima of their features of df up to NEAR."""
+    near = min(NEAR, cutoff)
+    close = features.where((F.col("df") > 1) & (F.col("df") <= near)).select("fid", "h", "w")
+    x, y = close.alias("x"), close.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.fid") < F.col("y.fid"))).select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b"), F.least("x.w", "y.w").cast("bigint").alias("near"))
+    none = F.lit(0).cast("bigint").alias("near")
+    by = lambda probe, post: probe.select(F.col("fid").alias("p"), "h").join(post, "h").where("p <> fid").select(F.least("p", "fid").alias("a"), F.greatest("p", "fid").alias("b"), none)
+    met = met.unionByName(by(frequent_probes(features, cutoff), features.where(F.col("df") > cutoff).select("fid", "h")))
+    if cutoff > near:
+        far = features.where((F.col("df") > near) & (F.col("df") <= cutoff)).select("fid", "h")
+        met = met.unionByName(by(prefix_probes(features, sums if sums is not None else totals(features, near), cutoff, near, threshold), far))
+    return met.groupBy("a", "b").agg(F.sum("near").alias("near"))
 
 
 def _reaches(shared: Column, metric: str, threshold: float, wa: str, wb: str) -> Column:
@@ -60,51 +81,57 @@ def _reaches(shared: Column, metric: str, threshold: float, wa: str, wb: str) ->
     return score >= threshold
 
 
-def scored_pairs(features: DataFrame, *, threshold: float = 0.0, metric: str = "max", n_units: int | None = None, cutoff: int | None = None, work=None) -> DataFrame:
+def scored_pairs(features: DataFrame, *, threshold: float = 0.0, metric: str = "max", n_units: int | None = None, cutoff: int | None = None, work=None, among: DataFrame | None = None) -> DataFrame:
     """(a, b, a_features, b_features, j, c) of a corpus, a < b; c is the larger of both containments.
 
-    metric 'max' gates on max(j, c), 'jaccard' on j. Scores are exact whatever the threshold. Features with their frequencies are read five
-    times; a workspace (sources/scratch.py) has them written once instead.
+    metric 'max' gates on max(j, c), 'jaccard' on j. Scores are exact whatever the threshold. With ``among`` (fid) only these units meet, while
+    frequencies and cutoff stay those of all. Features with their frequencies are read several times; a workspace (sources/scratch.py) has them written once instead.
     """
     features = features.select("fid", "h", "w")
     if cutoff is None:
         cutoff = df_cutoff(n_units if n_units is not None else features.select("fid").distinct().count())
     known = with_frequency(features)
+    if among is not None:
+        known = known.join(among.select("fid"), "fid", "left_semi")
     if work is not None:
         known = work.keep(known)
-    sums = totals(known, cutoff)
-    pairs = candidate_sums(known, cutoff)
+    near = min(NEAR, cutoff)
+    sums = totals(known, near)
+    pairs = candidate_sums(known, cutoff, threshold, sums)
     for side in ("a", "b"):
-        pairs = pairs.join(sums.select(F.col("fid").alias(side), F.col("n_feat").alias(f"{side}_features"), F.col("wsum").alias(f"w{side}"), F.col("wfreq").alias(f"f{side}")), side)
-    pairs = pairs.where(_reaches(F.col("rare") + F.least("fa", "fb"), metric, threshold, "wa", "wb"))
-    frequent = known.where(F.col("df") > cutoff).select("fid", "h", "w")
-    shared = pairs.select("a", "b").join(frequent.select(F.col("fid").alias("a"), "h", F.col("w").alias("x")), "a").join(frequent.select(F.col("fid").alias("b"), "h", F.col("w").alias("y")), ["b", "h"])
+        pairs = pairs.join(sums.select(F.col("fid").alias(side), F.col("n_feat").alias(f"{side}_features"), F.col("wsum").alias(f"w{side}"), F.col("wfar").alias(f"f{side}")), side)
+    pairs = pairs.where(_reaches(F.col("near") + F.least("fa", "fb"), metric, threshold, "wa", "wb"))
+    if work is not None:
+        pairs = work.keep(pairs)
+    far = known.where(F.col("df") > near).select("fid", "h", "w")
+    shared = pairs.select("a", "b").join(far.select(F.col("fid").alias("a"), "h", F.col("w").alias("x")), "a").join(far.select(F.col("fid").alias("b"), "h", F.col("w").alias("y")), ["b", "h"])
     shared = shared.groupBy("a", "b").agg(F.sum(F.least("x", "y")).cast("bigint").alias("more"))
-    total = F.col("rare") + F.coalesce("more", F.lit(0))
+    total = F.col("near") + F.coalesce("more", F.lit(0))
     out = pairs.join(shared, ["a", "b"], "left").withColumn("shared", total).where(_reaches(F.col("shared"), metric, threshold, "wa", "wb"))
     j, s = jaccard_of(F.col("shared"), F.col("wa"), F.col("wb")), F.col("shared")
     return out.select("a", "b", "a_features", "b_features", j.alias("j"), F.greatest(containment_of(s, F.col("wa")), containment_of(s, F.col("wb"))).alias("c"))
 
 
-def scored_hits(queries: DataFrame, features: DataFrame, *, n_units: int | None = None, cutoff: int | None = None) -> DataFrame:
+def scored_hits(queries: DataFrame, features: DataFrame, *, n_units: int | None = None, cutoff: int | None = None, work=None) -> DataFrame:
     """(qid, fid, n_feat, jaccard, containment) of query features (qid, h, w) against a corpus.
 
     Features unknown to the corpus propose nothing but count in the query's weight. Containment is that of the query in the unit.
+    Of the corpus only postings of the queries' features are counted and joined; a workspace has them written once.
     """
-    features = features.select("fid", "h", "w")
+    features, keep = features.select("fid", "h", "w"), work.keep if work is not None else lambda df: df
     if cutoff is None:
         cutoff = df_cutoff(n_units if n_units is not None else features.select("fid").distinct().count())
-    df = document_frequency(features)
-    known = with_frequency(features, df)
     asked = queries.select(F.col("qid").alias("fid"), "h", "w")
     weight = asked.groupBy("fid").agg(F.sum("w").cast("bigint").alias("wq")).withColumnRenamed("fid", "qid")
-    asked = asked.join(df, "h")
-    post = known.select("fid", "h", F.col("w").alias("wu"))
-    rare = asked.where(F.col("df") <= cutoff).select(F.col("fid").alias("qid"), "h", "w").join(post, "h")
+    post = features.join(asked.select("h").distinct(), "h", "left_semi")
+    df = document_frequency(post)
+    known = keep(with_frequency(post, df).select("fid", "h", F.col("w").alias("wu"), "df"))
+    asked = keep(asked.join(known.select("h", "df").distinct(), "h"))
+    rare = asked.where(F.col("df") <= cutoff).select(F.col("fid").alias("qid"), "h", "w").join(known.where(F.col("df") <= cutoff).drop("df"), "h")
     rare = rare.select("qid", "fid", F.least("w", "wu").cast("bigint").alias("rare"))
-    frequent_post = known.where(F.col("df") > cutoff).select("fid", "h", F.col("w").alias("wu"))
+    frequent_post = known.where(F.col("df") > cutoff).select("fid", "h", "wu")
     more = frequent_probes(asked, cutoff).select(F.col("fid").alias("qid"), "h").join(frequent_post, "h").select("qid", "fid", F.lit(0).cast("bigint").alias("rare"))
-    pairs = rare.unionByName(more).groupBy("qid", "fid").agg(F.sum("rare").alias("rare"))
+    pairs = keep(rare.unionByName(more).groupBy("qid", "fid").agg(F.sum("rare").alias("rare")))
     often = asked.where(F.col("df") > cutoff).select(F.col("fid").alias("qid"), "h", "w")
     shared = pairs.select("qid", "fid").join(often, "qid").join(frequent_post, ["fid", "h"]).groupBy("qid", "fid").agg(F.sum(F.least("w", "wu")).cast("bigint").alias("more"))
     sums = features.groupBy("fid").agg(F.count(F.lit(1)).cast("int").alias("n_feat"), F.sum("w").cast("bigint").alias("wsum"))

@@ -89,6 +89,15 @@ def competition_rank(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.rank().over(W.partitionBy("qid").orderBy(F.desc(F.greatest("jaccard", "containment")), F.desc("jaccard"))))
 
 
+def rank_of(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """(qid, fid, rank) of the targets (qid, fid) that are hits: 1 + the number of strictly better hits, counted, so that no query's hits are sorted."""
+    met = hits.join(targets.select("qid", "fid").distinct(), ["qid", "fid"]).select("qid", F.col("fid").alias("t_fid"), F.col("jaccard").alias("t_jaccard"), F.col("containment").alias("t_containment"))
+    both = hits.select("qid", "jaccard", "containment").join(met, "qid")
+    best, t_best = F.greatest("jaccard", "containment"), F.greatest("t_jaccard", "t_containment")
+    better = F.count_if((best > t_best) | ((best == t_best) & (F.col("jaccard") > F.col("t_jaccard"))))
+    return both.groupBy("qid", F.col("t_fid").alias("fid")).agg((better + 1).cast("int").alias("rank"))
+
+
 def narrowest_at(units: DataFrame, points: DataFrame) -> DataFrame:
     """For points (pid, file, line) the narrowest named unit over the line, else the narrowest lambda."""
     inside = points.join(units, "file").where("line between line_start and line_end")

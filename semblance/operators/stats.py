@@ -6,28 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Workspace
 
-def even_sample(df: DataFrame, n: int, order) -> DataFrame:
+def even_sample(df: DataFrame, n: int, order, work: Workspace | None = None) -> DataFrame:
     """n rows at even steps of the order: positions floor(i * rows / n). All rows if there are no more than n.
 
     Positions come from the sizes of ordered partitions, so no task sees all rows.
     """
-    numbered = with_position(df, order)
-    total = df.count()
+    numbered = with_position(df, order, work)
+    total = numbered.count()
     if total <= n or n <= 0:
         return numbered.drop("_at")
     i = F.ceil(F.col("_at") * n / total)
     return numbered.where((i < n) & (F.floor(i * total / n) == F.col("_at"))).drop("_at")
 
 
-def with_position(df: DataFrame, order) -> DataFrame:
-    """Adds _at: the place of each row in the order (columns that order totally), from 0, by range partitions and their counts."""
+def with_position(df: DataFrame, order, work: Workspace | None = None) -> DataFrame:
+    """Adds _at: the place of each row in the order (columns that order totally), from 0."""
+    return with_running(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", work).withColumn("_at", F.col("_upto") - 1).drop("_one", "_upto")
+
+
+def with_running(df: DataFrame, order, amount: str, work: Workspace | None = None) -> DataFrame:
+    """Adds _upto: the sum of an amount over the rows up to each one in the order, by range partitions and their sums.
+
+    The dealt rows are written once: their bounds are sampled, so a second run could deal them out otherwise.
+    """
     order = order if isinstance(order, (list, tuple)) else [order]
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    work = work or Workspace(df.sparkSession)
+    dealt = work.keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # a row for each partition
+    sums = dealt.groupBy("_part").agg(F.sum(amount).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(sizes.withColumn("_before", before)), "_part").withColumn("_at", F.col("_before") + F.col("_k")).drop("_part", "_k", "_n", "_before")
+    inside = dealt.withColumn("_k", F.sum(amount).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return inside.join(sums.withColumn("_before", before), "_part").withColumn("_upto", F.col("_before") + F.col("_k")).drop("_part", "_k", "_n", "_before")
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -49,13 +60,13 @@ def percentiles(df: DataFrame, group: str, value: str, ps=(0.1, 0.5, 0.9)) -> Da
     return out.groupBy(group).agg(*[hit(p) for p in ps])
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, work: Workspace | None = None) -> DataFrame:
     """Rank correlation with average ranks for ties, from counts of distinct values."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        return counts.select(c, (F.sum("n").over(W.orderBy(c)) - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
+        counts = with_running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, "n", work)
+        return counts.select(c, (F.col("_upto") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
 
     both = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m")).join(ranks("x"), "x").join(ranks("y"), "y")
     s = both.agg(
@@ -81,3 +92,15 @@ def retrieval(ranks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(F.when(found, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"), part(1).alias("r1"), part(5).alias("r5"), part(10).alias("r10"), F.avg((~found).cast("int")).alias("miss"), F.grouping("kind").alias("g")
     )
     return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("kind")).alias("kind"), "n", "mrr", "r1", "r5", "r10", "miss")
+
+
+def stratified(df: DataFrame, kind: str, quota: int, surprise, key: str) -> DataFrame:
+    """Of each kind at most ``quota`` rows: half of them the most surprising ones, the rest the first of the others in hash order of ``key``.
+
+    A kind with fewer rows is taken whole. Ties in surprise go by the hash.
+    """
+    h = F.md5(F.col(key).cast("string"))
+    top = F.row_number().over(W.partitionBy(kind).orderBy(F.desc("_s"), "_h", key))
+    rows = df.withColumn("_s", surprise).withColumn("_h", h).withColumn("_top", top).withColumn("_first", F.col("_top") <= quota // 2)
+    rest = F.row_number().over(W.partitionBy(kind, "_first").orderBy("_h", key))
+    return rows.withColumn("_rest", rest).where(F.col("_first") | (F.col("_rest") <= quota - quota // 2)).drop("_s", "_h", "_top", "_first", "_rest")

@@ -6,11 +6,10 @@ import keyword
 import os
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import crate_of, major_of, version_of
+from ..functions.text import VERSIONED
 from . import mining
 
 # Reserved words by language.
@@ -18,7 +17,8 @@ RUST = "as async await break const continue crate dyn else enum extern false fn
 C = "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while".split()
 CPP = C + "alignas alignof bool catch class constexpr decltype delete dynamic_cast explicit export false friend mutable namespace new noexcept nullptr operator override private protected public reinterpret_cast static_assert static_cast template this throw true try typeid typename using virtual".split()
 OCAML = "and as assert begin class constraint do done downto else end exception external false for fun function functor if in include inherit initializer lazy let match method module mutable new nonrec object of open or private rec sig struct then to true try type val virtual when while with".split()
-KEYWORDS = {".py": set(keyword.kwlist), ".c": set(C), ".h": set(C), ".ml": set(OCAML), ".mli": set(OCAML)} | dict.fromkeys((".cc", ".cpp", ".cxx", ".hpp", ".hh", ".hxx", ".cppm"), set(CPP))
+PYTHON = keyword.kwlist
+KEYWORDS = {".py": set(PYTHON), ".c": set(C), ".h": set(C), ".ml": set(OCAML), ".mli": set(OCAML)} | dict.fromkeys((".cc", ".cpp", ".cxx", ".hpp", ".hh", ".hxx", ".cppm"), set(CPP))
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
 
@@ -33,24 +33,39 @@ def normalize(tokens: list[str], file: str) -> list[str]:
     return out
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _normalized(tokens, file):
-    return None if tokens is None else normalize(list(tokens), file or "")
+def normalized(tokens: Column, file: Column) -> Column:
+    """normalize() on columns."""
+    words = F.lit(None).cast("array<string>")
+    ext = F.regexp_extract(F.coalesce(file, F.lit("")), r"(\.[^./]+)$", 1)
+    for reserved in (PYTHON, C, CPP, OCAML):
+        words = F.when(ext.isin(*sorted(x for x, w in KEYWORDS.items() if w == set(reserved))), F.array(*map(F.lit, reserved))).otherwise(words)
+    words = F.coalesce(words, F.array(*map(F.lit, RUST)))
 
+    def one(t: Column, k: Column) -> Column:
+        before, after = F.coalesce(F.get(tokens, k - 1), F.lit("")), F.coalesce(F.get(tokens, k + 1), F.lit(""))
+        free = t.rlike("^[A-Za-z_][A-Za-z0-9_]*\\z") & ~F.array_contains(words, t) & ~after.isin("(", "::", "!") & ~before.isin("::", ".", "->")
+        return F.when(free, "$").otherwise(t)
 
-@F.udf(T.StructType([T.StructField(x, T.StringType()) for x in ("crate", "inner", "version", "major")]), useArrow=True)
-def _package(file):
-    found = crate_of(file or "")
-    v = version_of(file or "")
-    return {"crate": found[0] if found else None, "inner": found[1] if found else None, "version": v, "major": major_of(v)}
+    return F.transform(tokens, one)
+
+
+def package_of(file: Column) -> dict[str, Column]:
+    """crate, inner path, version and its major part by the first path component like name-1.2; without one null, null and empty strings."""
+    parts = F.split(F.coalesce(file, F.lit("")), "/")
+    at = F.get(F.filter(F.transform(parts, lambda p, k: F.struct(p.alias("p"), k.alias("k"))), lambda x: x["p"].rlike(VERSIONED)), F.lit(0))
+    version = F.when(at.isNull(), "").otherwise(F.regexp_extract(at["p"], VERSIONED, 2))
+    nums = F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0))
+    major = F.when(F.get(nums, F.lit(0)) == "0", F.array_join(F.slice(nums, 1, 2), ".")).otherwise(F.coalesce(F.get(nums, F.lit(0)), F.lit("")))
+    inner = F.when(at.isNotNull(), F.array_join(F.slice(parts, at["k"] + 2, F.size(parts)), "/"))
+    return {"crate": F.when(at.isNotNull(), F.regexp_extract(at["p"], VERSIONED, 1)), "inner": inner, "version": version, "major": major}
 
 
 def code_entities(units: DataFrame) -> DataFrame:
     """Entities of extracted units (no lambdas) with 30 tokens or more, with name, line_end and package."""
-    rows = units.where(F.col("error").isNull() & ~F.col("name").endswith("<lambda>")).withColumn("line", F.col("line_start")).withColumn("normal", _normalized("tokens", "file"))
+    rows = units.where(F.col("error").isNull() & ~F.col("name").endswith("<lambda>")).withColumn("line", F.col("line_start")).withColumn("normal", normalized(F.col("tokens"), F.col("file")))
     keys = mining.entities(rows, min_tokens=mining.MIN_TOKENS)
     rkey = rows.select("fid", F.md5(F.array_join("normal", " ")).alias("rkey"))
-    more = units.select("fid", "name", "line_end", _package("file").alias("p")).select("fid", "name", "line_end", "p.*")
+    more = units.select("fid", "name", "line_end", *[c.alias(k) for k, c in package_of(F.col("file")).items()])
     return keys.drop("rkey").join(rkey, "fid").join(more, "fid")
 
 

@@ -37,11 +37,36 @@ def diagnostics(index: Index, fresh: DataFrame, threshold: float = 0.7, min_feat
     return hits.groupBy("qid", "q_name", "q_file", "q_line_start").agg(F.max_by(F.struct("fid", "name", "file", "line_start", "jaccard", "containment"), best).alias("match"))
 
 
+def only_in(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, line, labels): by line, the labels of the emitting nodes of unit a none of whose hashes, of any level, is one of unit b.
+
+    nodes as extract_nodes() gives them; all pairs (a, b) at once, by two joins and an aggregation for each node.
+    """
+    emitted = nodes.where("emit")
+    mine = pairs.select("a", "b").distinct().join(emitted.select(F.col("fid").alias("a"), "idx", "line", "label", F.explode("rounds").alias("h")), "a")
+    theirs = pairs.select("a", "b").distinct().join(emitted.select(F.col("fid").alias("b"), F.explode("rounds").alias("h")), "b").select("a", "b", "h").distinct().withColumn("hit", F.lit(True))
+    alone = mine.join(theirs, ["a", "b", "h"], "left").groupBy("a", "b", "idx", "line", "label").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit")).where("not hit")
+    return alone.groupBy("a", "b", "line").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+#: Share of unknown nodes from which a unit is badly read.
+BAD_SHARE = 0.25
+
+
 def parse_stats(units: DataFrame) -> DataFrame:
-    """By language: files, files that failed, units, code lines, units without features, mean features."""
+    """By language: files, files that failed, units, code lines, nodes; units without, with some and with many unknown expressions; unknown ones a hundred nodes; mean features."""
     bad = F.col("error").isNotNull()
     lang = F.coalesce("lang", F.concat(F.lit("?"), F.regexp_extract("file", r"(\.[^./]+)$", 1)))
+    part = share(F.coalesce("unknown", F.lit(0)).cast("double"), F.coalesce("nodes", F.lit(0)).cast("double"))
     return units.groupBy(lang.alias("lang")).agg(
-        F.count_distinct("file").alias("files"), F.count_distinct(F.when(bad, F.col("file"))).alias("failed"), F.count_if(~bad).alias("units"), F.sum("code_lines").alias("code_lines"),
+        F.count_distinct("file").alias("files"), F.count_distinct(F.when(bad, F.col("file"))).alias("failed"), F.count_if(~bad).alias("units"), F.coalesce(F.sum("code_lines"), F.lit(0)).alias("code_lines"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"),
+        F.count_if(~bad & (part == 0)).alias("clean"), F.count_if(~bad & (part > 0) & (part < BAD_SHARE)).alias("some_unknown"), F.count_if(~bad & (part >= BAD_SHARE)).alias("many_unknown"),
+        share(100.0 * F.coalesce(F.sum("unknown"), F.lit(0)), F.coalesce(F.sum("nodes"), F.lit(0)).cast("double")).alias("unknown_pct"),
         share(F.sum(F.size(F.coalesce("features", F.array().cast("array<struct<h:bigint,w:int,tag:string>>")))).cast("double"), F.count_if(~bad)).alias("mean_features"),
     )
+
+
+def worst_files(units: DataFrame, n: int = 10) -> DataFrame:
+    """The n files with the most units that failed or hold unknown expressions; ties by file."""
+    bad = F.count_if(F.col("error").isNotNull() | (F.coalesce("unknown", F.lit(0)) > 0))
+    return units.groupBy("file").agg(bad.alias("bad"), F.count(F.lit(1)).alias("units")).where("bad > 0").orderBy(F.desc("bad"), "file").limit(n)

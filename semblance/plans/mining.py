@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import containment_of, jaccard_of, set_jaccard
 from ..operators.stats import with_position
+from ..sources.scratch import Workspace
 
 MIN_TOKENS = 30
 
@@ -43,9 +44,9 @@ def evolved(rows: DataFrame, keys: list[str], version: str, content: str) -> Dat
     return out.where(F.col("b").isNotNull() & (F.col(content) != F.col("_next"))).withColumnRenamed(version, "a")
 
 
-def random_negatives(ents: DataFrame, n: int) -> DataFrame:
+def random_negatives(ents: DataFrame, n: int, work: Workspace | None = None) -> DataFrame:
     """n pairs of neighbours in hash order that differ in rkey, are of like size and share few tokens."""
-    at = with_position(ents.withColumn("_h", F.md5(F.col("fid").cast("string"))), ["_h", "fid"])
+    at = with_position(ents.withColumn("_h", F.md5(F.col("fid").cast("string"))), ["_h", "fid"], work)
     x = at.select(F.col("fid").alias("a"), F.col("rkey").alias("r"), F.col("tokset").alias("s"), F.col("ntoks").alias("m"), F.col("_at").alias("k"))
     y = at.select(F.col("fid").alias("b"), F.col("rkey").alias("q"), F.col("tokset").alias("t"), F.col("ntoks").alias("n"), (F.col("_at") - 1).alias("k"))
     like = (F.col("r") != F.col("q")) & (F.least("m", "n") * 2 >= F.greatest("m", "n")) & (set_jaccard(F.col("s"), F.col("t")) < 0.3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="semblance-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores if it comes in fewer partitions (one file of one row group, say); a large one stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Workspace:
     """Tables that several parts of a plan read: computed once, kept through the loss of executors, gone when Python ends."""
 

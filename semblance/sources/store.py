@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-FORMAT = 1
+from ..frontend.signature import EDGES, MISC, PROFILES, SHAPE, TAG_WEIGHTS, Options
+from ..operators.stats import stratified
+
+FORMAT = 2
 PAIRS = "label string, kind string, fa string, la int, la_end int, na string, fb string, lb int, lb_end int, nb string"
+JUDGED = "label string, kind string, fa string, la int, na string, fb string, lb int, nb string, jaccard double, containment double"
 SCORES = "fa string, la int, fb string, lb int, j double, c double"
 
 
-def config_tag(profile: str, weights: dict[str, int] | None = None) -> str:
-    """A short digest of everything that a signature depends on: profile, weights and the channels of every language."""
-    from ..frontend.dataflow import BASE, Channels
-    from ..frontend.signature import PROFILES, TAG_WEIGHTS
+def config_tag(profile: str, options: Options | None = None) -> str:
+    """A short digest of everything that a signature depends on: profile, weights, bucket edges and the channels of every language."""
+    from ..frontend.dataflow import BASE
 
-    langs = {k: asdict(v) for k, v in sorted((BASE | {"": Channels()}).items())}
-    said = json.dumps([FORMAT, profile, PROFILES[profile], TAG_WEIGHTS | (weights or {}), langs], sort_keys=True)
+    options = options or Options()
+    langs = {k: asdict(options.channels(k)) for k in sorted([*BASE, ""])}
+    said = json.dumps([FORMAT, profile, PROFILES[profile], TAG_WEIGHTS | (options.weights or {}), MISC, SHAPE, EDGES, langs], sort_keys=True)
     return f"{profile}-{hashlib.sha256(said.encode()).hexdigest()[:12]}"
 
 
@@ -80,3 +84,16 @@ def eval_pairs(pairs: DataFrame, units: DataFrame, features: DataFrame) -> tuple
     found = pairs.join(one, ["fa", "la"], "left").join(two, ["fb", "lb"], "left")
     skipped = found.where("a is null or b is null").count()
     return score_given(found.where("a is not null and b is not null"), features), skipped
+
+
+def judge_rows(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """The pairs (TSV columns) with their scores (TSV columns) by place; pairs without a score have null ones."""
+    s = scores.select("fa", "la", "fb", "lb", F.col("j").alias("jaccard"), F.col("c").alias("containment"))
+    return pairs.join(s.dropDuplicates(["fa", "la", "fb", "lb"]), ["fa", "la", "fb", "lb"], "left").select("label", "kind", "fa", "la", "na", "fb", "lb", "nb", "jaccard", "containment")
+
+
+def judge_sample(pairs: DataFrame, scores: DataFrame, quota: int) -> DataFrame:
+    """Scored pairs for a judge to look at: of each kind the most surprising (a low score of a positive, a high one of a negative) and some at random."""
+    rows = judge_rows(pairs, scores).where("jaccard is not null").withColumn("place", F.concat_ws(":", "fa", "la", "fb", "lb"))
+    surprise = F.when(F.col("label") == "pos", 1 - F.col("jaccard")).otherwise(F.col("jaccard"))
+    return stratified(rows, "kind", quota, surprise, "place").drop("place")

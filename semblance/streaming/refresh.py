@@ -25,8 +25,8 @@ def latest(saves: DataFrame) -> DataFrame:
 def refresh_on_save(saves: DataFrame, path: str, checkpoint: str, profile: str = "structural", on_snapshot: Callable[[Index, DataFrame], None] | None = None, **trigger) -> StreamingQuery:
     """For each batch of saves (SAVES) writes a new snapshot at ``path`` in which those files' units are replaced.
 
-    Batches are numbered, so one that runs again after a failure writes the same version; readers follow the pointer to
-    the newest. on_snapshot gets the new index and the batch's fresh units, to diagnose them.
+    Batches are numbered. One that runs again after a failure starts from the version before its own and writes that
+    anew, in another folder; readers follow the pointer to the newest. on_snapshot gets the new index and the batch's fresh units, to diagnose them.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -36,7 +36,7 @@ def refresh_on_save(saves: DataFrame, path: str, checkpoint: str, profile: str =
             if fresh.isEmpty():
                 return
             units = extract_units(fresh.select("path", "content"), profile)
-            new, old = index_of(units), load(spark, path)
+            new, old = index_of(units), load(spark, path, without=f"batch-{number}")
             gone = old.units.join(fresh.select(F.col("path").alias("file")), "file", "left_anti")
             kept = old.features.join(gone.select("fid"), "fid", "left_semi")
             index = Index(gone.select(old.units.columns), kept.select(old.features.columns)).append(new.units, new.features)
