@@ -14,13 +14,13 @@ from .functions.hashing import hash60
 from .operators import features as feats
 from .operators import pairs as P
 from .operators import propagation, setops, stats
-from .operators.search import PairFilter, QueryFilter, competition_rank, path_passes, top_hits, top_pairs
+from .operators.search import PairFilter, QueryFilter, path_passes, rank_of, top_hits, top_pairs
 from .plans import mining
 from .plans.corpus import index_of
-from .plans.diagnose import diff_sources, parse_stats
+from .plans.diagnose import only_in, parse_stats, worst_files
 from .plans.index import Index
-from .sources.files import extract_units
-from .sources.scratch import Workspace
+from .sources.files import extract_nodes, extract_units
+from .sources.scratch import Workspace, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns=("doc_id", "text")) -> DataFrame:
+    """The columns of a table of texts, on all cores however few files it comes in."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def units_of(docs: DataFrame) -> DataFrame:
     """Documents as units: source/lang is the file; the even ids are the workspace, the odd ones dependencies."""
     return docs.select(
@@ -49,7 +54,7 @@ def units_of(docs: DataFrame) -> DataFrame:
 
 
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feats.shingle_features(table(spark, sf_dir, "documents"), id_col="doc_id")
+    return feats.shingle_features(texts(spark, sf_dir), id_col="doc_id")
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> Index:
@@ -82,8 +87,7 @@ UNITS = f"""u as (select doc_id as fid, 'doc' || doc_id as name, concat_ws('/',
 
 @query("doc_dupes", f"with {FEATURES}, {SCORED} select * from sc where greatest(j, c) >= 0.5")
 def doc_dupes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return P.scored_pairs(feats.shingle_features(docs, id_col="doc_id"), threshold=0.5, n_units=docs.count(), work=Workspace(spark))
+    return P.scored_pairs(doc_features(spark, sf_dir), threshold=0.5, n_units=table(spark, sf_dir, "documents").count(), work=Workspace(spark))
 
 
 @query("unit_scan", f"with {UNITS} select fid, name, file, code_lines, origin from u")
@@ -120,7 +124,7 @@ def line_slice(spark, sf_dir):
 
 @query("shingle_features", f"with {FEATURES} select fid, h, w from hashed")
 def shingle_features(spark, sf_dir):
-    return feats.raw_shingle_features(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return feats.raw_shingle_features(texts(spark, sf_dir), id_col="doc_id", text_col="text")
 
 
 @query("feature_dedup_max", f"with {FEATURES} select fid, h, w from f")
@@ -148,7 +152,7 @@ def rarest_k_features(spark, sf_dir):
 @query("candidate_pairs", f"with {FEATURES}, {CANDIDATES} select a, b from cand")
 def candidate_pairs(spark, sf_dir):
     index = doc_index(spark, sf_dir)
-    return P.candidate_sums(P.with_frequency(index.features), index.cutoff).select("a", "b")
+    return P.candidate_sums(index.work.keep(P.with_frequency(index.features)), index.cutoff).select("a", "b")
 
 
 @query("weighted_jaccard", f"with {FEATURES}, {SCORED} select a, b, j from sc where j >= 0.5")
@@ -159,25 +163,12 @@ def weighted_jaccard(spark, sf_dir):
 
 @query(
     "containment",
-    f"with {FEATURES}, s as (select x.fid as a, x.fid + 1 as b, x.t, coalesce((select sum(least(p.w, q.w)) from f p join f q on p.h = q.h where p.fid = x.fid and q.fid = x.fid + 1), 0)::bigint as s from (select fid, sum(w)::bigint as t from f group by fid) x where x.fid % 10 = 0) select a, b, s::double / t as c from s where b in (select fid from f)",
-)
-def containment(spark, sf_dir):
-    """Of each tenth document in the next one, on nested signatures; containment_all has every document."""
-    return containment_in_next(doc_features(spark, sf_dir), F.col("fid") % 10 == 0)
-
-
-@query(
-    "containment_all",
     f"with {FEATURES}, tot as (select fid, sum(w)::bigint as t from f group by fid), sm as (select p.fid, sum(least(p.w, q.w))::bigint as s from f p join f q on q.fid = p.fid + 1 and q.h = p.h group by p.fid) select x.fid as a, y.fid as b, coalesce(s, 0)::double / x.t as c from tot x join tot y on y.fid = x.fid + 1 left join sm on sm.fid = x.fid",
 )
-def containment_all(spark, sf_dir):
-    """Of every document in the next one."""
-    return containment_in_next(doc_features(spark, sf_dir), F.lit(True))
-
-
-def containment_in_next(f: DataFrame, which: Column) -> DataFrame:
-    sigs = feats.signatures(f)
-    a, b = sigs.where(which).select(F.col("fid").alias("a"), F.col("f").alias("fa")), sigs.select((F.col("fid") - 1).alias("a"), F.col("fid").alias("b"), F.col("f").alias("fb"))
+def containment(spark, sf_dir):
+    """Of every document in the next one, on nested signatures."""
+    sigs = feats.signatures(doc_features(spark, sf_dir))
+    a, b = sigs.select(F.col("fid").alias("a"), F.col("f").alias("fa")), sigs.select((F.col("fid") - 1).alias("a"), F.col("fid").alias("b"), F.col("f").alias("fb"))
     return a.join(b, "a").select("a", "b", similarity.containment(F.col("fa"), F.col("fb")).alias("c"))
 
 
@@ -219,7 +210,7 @@ def benchmark_features(spark, sf_dir):
 @query("find_similar_topk", f"{HITS} select qid, fid, jaccard, containment, rk::int as rank from ranked where rk <= 5")
 def find_similar_topk(spark, sf_dir):
     index = doc_index(spark, sf_dir)
-    return top_hits(P.scored_hits(benchmark_features(spark, sf_dir), index.features, cutoff=index.cutoff), 5).select("qid", "fid", "jaccard", "containment", "rank")
+    return top_hits(P.scored_hits(benchmark_features(spark, sf_dir), index.features, cutoff=index.cutoff, work=index.work), 5).select("qid", "fid", "jaccard", "containment", "rank")
 
 
 @query("find_similar_filtered", f"{HITS}, {UNITS} select * from (select qid, fid, containment, row_number() over (partition by qid order by greatest(jaccard, containment) desc, jaccard desc, fid)::int as rank from hit join u using (fid) where greatest(jaccard, containment) >= 0.25 and code_lines >= 3 and origin = 'workspace') where rank <= 5")
@@ -227,20 +218,11 @@ def find_similar_filtered(spark, sf_dir):
     return doc_index(spark, sf_dir).search(benchmark_features(spark, sf_dir), QueryFilter(threshold=0.25, min_lines=3, origin="workspace")).select("qid", "fid", "containment", "rank")
 
 
-@query("diff_sets", f"with {FEATURES} select x.fid as a, x.fid + 1 as b, count(*) filter (y.h is null) as only_a, count(y.h) as shared from f x left join f y on y.fid = x.fid + 1 and y.h = x.h where x.fid % 10 = 0 group by x.fid")
+@query("diff_sets", f"with {FEATURES} select x.fid as a, x.fid + 1 as b, count(*) filter (y.h is null) as only_a, count(y.h) as shared from f x left join f y on y.fid = x.fid + 1 and y.h = x.h group by x.fid")
 def diff_sets(spark, sf_dir):
-    """Features that each tenth document has and the next one lacks; diff_sets_all has every document."""
-    return diff_with_next(doc_features(spark, sf_dir), lambda fid: fid % 10 == 0)
-
-
-@query("diff_sets_all", f"with {FEATURES} select x.fid as a, x.fid + 1 as b, count(*) filter (y.h is null) as only_a, count(y.h) as shared from f x left join f y on y.fid = x.fid + 1 and y.h = x.h group by x.fid")
-def diff_sets_all(spark, sf_dir):
-    """Features that every document has and the next one lacks."""
-    return diff_with_next(doc_features(spark, sf_dir), lambda fid: F.lit(True))
-
-
-def diff_with_next(f: DataFrame, which: Callable[[Column], Column]) -> DataFrame:
-    a, b = f.where(which(F.col("fid"))).select(F.col("fid").alias("pid"), "h"), f.where(which(F.col("fid") - 1)).select((F.col("fid") - 1).alias("pid"), "h")
+    """How many features every document has that the next one lacks, and how many both have."""
+    f = doc_features(spark, sf_dir)
+    a, b = f.select(F.col("fid").alias("pid"), "h"), f.select((F.col("fid") - 1).alias("pid"), "h")
     only = setops.minus(a, b).groupBy("pid").agg(F.count(F.lit(1)).alias("only_a"))
     every = a.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     k = F.coalesce("only_a", F.lit(0)).cast("bigint")
@@ -249,7 +231,7 @@ def diff_with_next(f: DataFrame, which: Callable[[Column], Column]) -> DataFrame
 
 @query("set_jaccard", f"with w as (select doc_id, list_distinct({WS.format('text')}) as ws from documents) select x.doc_id as a, y.doc_id as b, case when len(x.ws) + len(y.ws) = 0 then 0 else len(list_intersect(x.ws, y.ws))::double / (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) end as j from w x join w y on y.doc_id = x.doc_id + 1")
 def set_jaccard(spark, sf_dir):
-    ws = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("ws"))
+    ws = texts(spark, sf_dir).select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("ws"))
     return ws.select(F.col("doc_id").alias("a"), "ws").join(ws.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("ws").alias("v")), "a").select("a", "b", similarity.set_jaccard(F.col("ws"), F.col("v")).alias("j"))
 
 
@@ -262,7 +244,7 @@ select x.fid as a, coalesce(other, near).fid as b from first join partner using
 
 
 def document_ents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, columns=("doc_id", "text", "source", "lang"))
     tokens = docs.select(F.col("doc_id").alias("fid"), F.concat_ws("/", "source", "lang").alias("file"), F.col("doc_id").alias("line"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(T.WORDS), F.lit(0)).alias("tokens"))
     return mining.entities(tokens, normal=lambda t: F.transform(t, lambda x: F.regexp_replace(x, "[0-9]+", "\\$")))
 
@@ -289,10 +271,13 @@ def mine_evolved(spark, sf_dir):
 
 @query(
     "neg_random",
-    f"with {ENTS}, n as (select *, row_number() over (order by md5(fid::varchar), fid) as k from ents), p as (select x.fid as a, y.fid as b, x.tokset as s, y.tokset as t, x.ntoks as m, y.ntoks as n, x.rkey as r, y.rkey as q, x.k from n x join n y on y.k = x.k + 1) select a, b from p where r <> q and least(m, n) * 2 >= greatest(m, n) and len(list_intersect(s, t)) * 10 < 3 * (len(s) + len(t) - len(list_intersect(s, t))) order by k limit 100",
+    f"with {ENTS}, pos as (select count(*) as m from ({PICK.format(k='rkey').replace('first as', 'with first as', 1)})), n as (select *, row_number() over (order by md5(fid::varchar), fid) as k from ents), p as (select x.fid as a, y.fid as b, x.tokset as s, y.tokset as t, x.ntoks as m, y.ntoks as n, x.rkey as r, y.rkey as q, x.k from n x join n y on y.k = x.k + 1), ok as (select a, b, row_number() over (order by k) as i from p where r <> q and least(m, n) * 2 >= greatest(m, n) and len(list_intersect(s, t)) * 10 < 3 * (len(s) + len(t) - len(list_intersect(s, t)))) select a, b from ok, pos where i <= greatest(100, pos.m)",
 )
 def neg_random(spark, sf_dir):
-    return mining.random_negatives(document_ents(spark, sf_dir), 100).select("a", "b")
+    """As many as there are mined positives, a hundred at least."""
+    work = Workspace(spark)
+    ents = work.keep(document_ents(spark, sf_dir))
+    return mining.random_negatives(ents, max(100, mining.partners(ents, "rkey").count()), work).select("a", "b")
 
 
 @query(
@@ -314,7 +299,7 @@ scored as (select label, kind, a, b, coalesce(s, 0)::double / (ta.t + tb.t - coa
 
 def labeled_pairs(spark, sf_dir):
     """Mined positives, and as negatives each document with the seventh after it."""
-    ents = document_ents(spark, sf_dir)
+    ents = Workspace(spark).keep(document_ents(spark, sf_dir))
     key = ents.select("fid", "ekey", "rkey")
     pos = mining.partners(ents, "rkey").select("a", "b")
     ka, kb = key.select(F.col("fid").alias("a"), F.col("ekey").alias("ea"), F.col("rkey").alias("ra")), key.select(F.col("fid").alias("b"), F.col("ekey").alias("eb"), F.col("rkey").alias("rb"))
@@ -324,7 +309,8 @@ def labeled_pairs(spark, sf_dir):
 
 
 def scored_labels(spark, sf_dir):
-    return mining.score_given(labeled_pairs(spark, sf_dir), doc_features(spark, sf_dir))
+    work = Workspace(spark)
+    return mining.score_given(work.keep(labeled_pairs(spark, sf_dir)), work.keep(doc_features(spark, sf_dir)))
 
 
 @query("eval_by_kind", f"with {LABELED} select label, kind, count(*) as n, round(avg(j), 9) as mean_j, avg((j >= 0.5)::int) as j50, avg((j >= 0.7)::int) as j70, avg((greatest(j, c) >= 0.5)::int) as max50 from scored group by 1, 2")
@@ -356,10 +342,11 @@ def worst_pairs(spark, sf_dir):
 )
 def rank_mrr_recall(spark, sf_dir):
     index = doc_index(spark, sf_dir)
-    pos = labeled_pairs(spark, sf_dir).where("label = 'pos'")
+    pos = index.work.keep(labeled_pairs(spark, sf_dir).where("label = 'pos'"))
     asked = index.features.join(pos.select(F.col("a").alias("fid")).distinct(), "fid", "left_semi").withColumnRenamed("fid", "qid")
-    hits = competition_rank(P.scored_hits(asked, index.features, cutoff=index.cutoff).where("qid <> fid"))
-    ranks = pos.join(hits.select(F.col("qid").alias("a"), F.col("fid").alias("b"), "rank"), ["a", "b"], "left").select("kind", F.coalesce("rank", F.lit(0)).alias("rank"))
+    hits = index.work.keep(P.scored_hits(asked, index.features, cutoff=index.cutoff, work=index.work).where("qid <> fid"))
+    found = rank_of(hits, pos.select(F.col("a").alias("qid"), F.col("b").alias("fid"))).select(F.col("qid").alias("a"), F.col("fid").alias("b"), "rank")
+    ranks = pos.join(found, ["a", "b"], "left").select("kind", F.coalesce("rank", F.lit(0)).alias("rank"))
     return stats.retrieval(ranks).withColumn("mrr", F.round("mrr", 9))
 
 
@@ -384,7 +371,7 @@ def quality_stats(spark, sf_dir):
 )
 def basket_similarity(spark, sf_dir):
     """Orders as units, parts as features, capped quantity as weight; no part is so frequent as to be cut off."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fid"), F.col("l_partkey").alias("h"), F.least(F.col("l_quantity").cast("int"), F.lit(10)).alias("w"))
+    rows = spread(table(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("fid"), F.col("l_partkey").alias("h"), F.least(F.col("l_quantity").cast("int"), F.lit(10)).alias("w"))
     return P.scored_pairs(feats.dedup_max(rows), threshold=0.3, metric="jaccard", cutoff=1 << 40, work=Workspace(spark)).select("a", "b", "j", "c")
 
 
@@ -424,37 +411,94 @@ def propagation_round(spark, sf_dir):
     return propagation.propagate(ev.select("node", "h", "commutative"), edges)
 
 
-#: Two small functions, the second a reduced copy of the first under other names, for queries on source code.
-SAMPLE = {
-    "clip.py": "def clip(values, low, high):\n    for i in range(len(values)):\n        if values[i] < low:\n            values[i] = low\n        elif values[i] > high:\n            values[i] = high\n    return values\n",
-    "lift.py": "def lift(data, floor):\n    for k in range(len(data)):\n        if data[k] < floor:\n            data[k] = floor\n    return data\n",
-    "mean.rs": "fn mean(xs: &[f64]) -> f64 {\n    let mut sum = 0.0;\n    for x in xs {\n        sum += x;\n    }\n    sum / xs.len() as f64\n}\n",
-}
+# Source code: each part is a file with one function, in a language by its key; %1$s is the key, %2$s a number that two parts of
+# a language share, %3$s an operator by that number. Every other number has one statement more. Parts of size 13 in the first language don't parse.
+LANGS = ("python", "js", "go", "rust")
+EXTENSIONS = (".py", ".js", ".go", ".rs")
+OPERATORS = ("+", "-", "*")
+BROKEN_SIZE = 13
+HEAD = (
+    "def part_%1$s(a%1$s, b%1$s):\n    total = %2$s\n    for item%1$s in a%1$s:\n        total = total %3$s item%1$s\n",
+    "function part_%1$s(a%1$s, b%1$s) {\n  let total = %2$s;\n  for (const item%1$s of a%1$s) {\n    total = total %3$s item%1$s;\n  }\n",
+    "package parts\nfunc part_%1$s(a%1$s []int, b%1$s int) int {\n\ttotal := %2$s\n\tfor _, item%1$s := range a%1$s {\n\t\ttotal = total %3$s item%1$s\n\t}\n",
+    "fn part_%1$s(a%1$s: &[i64], b%1$s: i64) -> i64 {\n    let mut total = %2$s;\n    for item%1$s in a%1$s {\n        total = total %3$s item%1$s;\n    }\n",
+)
+MORE = (
+    "    if total > %2$s:\n        total = limit(total)\n",
+    "  if (total > %2$s) {\n    total = limit(total);\n  }\n",
+    "\tif total > %2$s {\n\t\ttotal = limit(total)\n\t}\n",
+    "    if total > %2$s {\n        total = limit(total);\n    }\n",
+)
+TAIL = ("    return total - b%1$s %% %2$s\n", "  return total - b%1$s %% %2$s;\n}\n", "\treturn total - b%1$s %% %2$s\n}\n", "    return total - b%1$s %% %2$s;\n}\n")
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of a source file for each part."""
+    part = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")).withColumn("c", F.floor(F.col("k") / 8))
+    op, kind = F.element_at(F.array(*map(F.lit, OPERATORS)), (F.col("c") % 3 + 1).cast("int")), F.col("k") % 4
+    text = F.lit(None).cast("string")
+    for lang, (head, more, tail) in enumerate(zip(HEAD, MORE, TAIL, strict=True)):
+        of = lambda t: F.format_string(t, "k", "c", op)  # noqa: E731, B023
+        text = F.when(kind == lang, F.when(F.col("c") % 2 == 0, of(head + more + tail)).otherwise(of(head + tail))).otherwise(text)
+    text = F.when((kind == 0) & (F.col("p_size") == BROKEN_SIZE), F.lit("def broken(:\n")).otherwise(text)
+    return part.select(F.concat(F.lit("part"), "k", F.element_at(F.array(*map(F.lit, EXTENSIONS)), (kind + 1).cast("int"))).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def key_of(name: Column) -> Column:
+    return F.regexp_extract(name, r"([0-9]+)$", 1).cast("bigint")
+
 
+def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_units(code_files(spark, sf_dir), "structural")
 
-def sample_units(spark: SparkSession) -> DataFrame:
-    return extract_units(spark.createDataFrame([(k, v.encode()) for k, v in SAMPLE.items()], "path string, content binary"), "structural")
 
+CODE = f"""p as (select p_partkey as k, p_size, p_partkey // 8 as c, p_partkey % 4 as l, ['{"', '".join(LANGS)}'][p_partkey % 4 + 1] as lang, 'part' || p_partkey || ['{"', '".join(EXTENSIONS)}'][p_partkey % 4 + 1] as file, ['{"', '".join(OPERATORS)}'][(p_partkey // 8) % 3 + 1] as op, not (p_partkey % 4 = 0 and p_size = {BROKEN_SIZE}) as good from part),
+cu as (select *, case when l = 2 then 2 else 1 end as s, (case l when 0 then 5 when 2 then 8 else 7 end + case when c % 2 = 1 then 0 when l = 0 then 2 else 3 end) as e from p)"""
 
-@query("code_signature")
+
+@query("code_unit_scan", f"with {CODE} select file, case when good then 'part_' || k else '' end as name, case when good then lang else '' end as lang, case when good then s else 0 end::int as line_start, case when good then e else 0 end::int as line_end, case when good then e - s + 1 else 0 end::int as code_lines, not good as failed from cu")
+def code_unit_scan(spark, sf_dir):
+    """Units of every file with their places; a file that doesn't parse is one row that says so."""
+    u = code_units(spark, sf_dir).select("file", "name", "lang", "line_start", "line_end", "code_lines", F.col("error").isNotNull().alias("failed"))
+    return u.fillna("", ["name", "lang"]).fillna(0, ["line_start", "line_end", "code_lines"])
+
+
+@query("code_signature", f"with {CODE} select k, min(k) over (partition by l, c) as twin from cu where good")
 def code_signature(spark, sf_dir):
-    """Features of the sample's functions; needs the front ends, so there is no SQL."""
-    return sample_units(spark).select("name", "lang", F.explode("features").alias("x")).select("name", "lang", "x.h", "x.w", "x.tag")
+    """For each function the first of its language with the same signature: names don't matter, numbers, operators and statements do."""
+    u = code_units(spark, sf_dir).where("error is null").select(key_of(F.col("name")).alias("k"), "lang", F.md5(F.to_json(F.transform("features", lambda x: F.struct(x["h"], x["w"])))).alias("s"))
+    return u.select("k", F.min("k").over(W.partitionBy("lang", "s")).alias("twin"))
 
 
-@query("code_dupes")
+@query("code_dupes", f"with {CODE} select x.k as a, y.k as b, 1.0::double as j, 1.0::double as c from cu x join cu y on y.c = x.c and y.k > x.k and (y.l in (0, 3)) = (x.l in (0, 3)) where x.good and y.good")
 def code_dupes(spark, sf_dir):
-    return index_of(sample_units(spark)).duplicates(PairFilter(threshold=0.5, metric="max")).select("a_name", "b_name", "j", "c")
+    """Pairs of equal functions, by the index. Two languages whose graphs have as many rounds sign the same function alike."""
+    work = Workspace(spark)
+    index = index_of(work.keep(code_units(spark, sf_dir)))
+    index.work = work
+    a, b = key_of(F.col("a_name")), key_of(F.col("b_name"))
+    return index.duplicates(PairFilter(threshold=0.999)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "j", "c")
 
 
-@query("code_diff")
+@query(
+    "code_diff",
+    f"""with {CODE}, d as (select x.*, x.s + 3 as op_line, x.e - case when x.l = 0 then 2 else 4 end as if_line from cu x join cu y on y.k = x.k + 8 where x.good and y.good)
+select k, op_line::int as line, op as labels from d where op <> '-' union all select k, if_line::int, '>,if' from d where c % 2 = 0 union all select k, (if_line + 1)::int, 'limit()' from d where c % 2 = 0""",
+)
 def code_diff(spark, sf_dir):
-    """By line, what either of two functions has alone."""
-    d = diff_sources(("clip.py", SAMPLE["clip.py"]), ("lift.py", SAMPLE["lift.py"]))
-    rows = [(side, line, label) for side, key in (("a", "only_a"), ("b", "only_b")) for line, labels in d[key].items() for label in labels]
-    return spark.createDataFrame(rows, "side string, line int, label string")
+    """By line, what each function has that the eighth after it lacks."""
+    files, work = code_files(spark, sf_dir), Workspace(spark)
+    names = work.keep(extract_units(files, "structural").where("error is null").select("fid", key_of(F.col("name")).alias("k")))
+    pairs = names.select(F.col("fid").alias("a"), "k").join(names.select(F.col("fid").alias("b"), (F.col("k") - 8).alias("k")), "k")
+    alone = only_in(work.keep(extract_nodes(files)), pairs)
+    return alone.join(pairs, ["a", "b"]).select("k", "line", F.array_join("labels", ",").alias("labels"))
 
 
-@query("parse_stats")
+@query("parse_stats", f"with {CODE} select case when good then lang else '?.py' end as lang, count(*) as files, count(*) filter (not good) as failed, count(*) filter (good) as units, sum(case when good then e - s + 1 else 0 end)::bigint as code_lines, count(*) filter (good) as clean from cu group by 1")
 def parse_stats_query(spark, sf_dir):
-    return parse_stats(sample_units(spark))
+    return parse_stats(code_units(spark, sf_dir)).select("lang", "files", "failed", "units", "code_lines", "clean")
+
+
+@query("worst_files", f"with {CODE} select file, 1::bigint as bad, 1::bigint as units from cu where not good order by file limit 10")
+def worst_files_query(spark, sf_dir):
+    return worst_files(code_units(spark, sf_dir))

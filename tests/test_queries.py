@@ -40,14 +40,12 @@ def test_query(spark, duck, name):
 
 
 def test_every_document_meets_the_next(spark):
-    """No id is left out; what the two queries on each tenth id give is part of it."""
+    """No id is left out."""
     from semblance.queries import QUERIES, doc_features
 
     ids = {r.fid for r in doc_features(spark, SF).select("fid").distinct().collect()}
     for name, want in (("containment", {k for k in ids if k + 1 in ids}), ("diff_sets", ids)):
-        every = {tuple(r) for r in QUERIES[name + "_all"](spark, SF).collect()}
-        assert {r[0] for r in every} == want
-        assert {tuple(r) for r in QUERIES[name](spark, SF).collect()} == {r for r in every if r[0] % 10 == 0}
+        assert {r[0] for r in QUERIES[name](spark, SF).collect()} == want
 
 
 def test_entry(spark):
