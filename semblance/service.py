@@ -7,52 +7,79 @@ import os
 import sys
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .explorer import PAGE
 from .operators.search import PairFilter, QueryFilter
 from .plans import corpus, diagnose
 from .plans.index import Index
 from .sources.files import drafted, extract_units, unit_features
+from .sources.scratch import Workspace
 
+#: What an editor offers at a function: title and command.
+ACTIONS = (("Find similar functions", "semblance.findSimilar"), ("Open the most similar one beside", "semblance.openAside"), ("Compare with the most similar one", "semblance.diffSimilar"))
 #: A project is served only if this file stands at its root.
 MARKER = ".semblance"
 SNIPPET_LINES, EXPLORER_PAIRS, EXPLORER_FLOOR = 40, 5000, 0.3
+TEXT, NUMBER, INTEGER, FLAG = {"type": "string"}, {"type": "number"}, {"type": "integer"}, {"type": "boolean"}
+LIST = {"type": ["array", "string"], "items": TEXT}
+SIDE = {"type": "object", "properties": {"code": TEXT, "language": TEXT, "file": TEXT, "line": INTEGER, "name": TEXT}}
+FILTER = {"min_lines": INTEGER, "min_features": INTEGER, "include": LIST, "exclude": LIST}
+#: Tools with what they do, their arguments and those that must be given.
 TOOLS = {
-    "find_similar": "Functions like drafted code: code, language, k",
-    "query_similar": "Functions like one in the index: file, line or name",
-    "diff_functions": "What two functions share and what each has alone: a, b as code or file with line or name",
-    "find_duplicates": "Pairs of alike functions: threshold, metric, limit",
-    "status": "How far the index is",
+    "find_similar": ("Functions like drafted code", {"code": TEXT, "language": TEXT, "k": INTEGER, "threshold": NUMBER, **FILTER}, ["code"]),
+    "query_similar": ("Functions like one in the index", {"file": TEXT, "line": INTEGER, "name": TEXT, "k": INTEGER, "threshold": NUMBER, **FILTER}, ["file"]),
+    "diff_functions": ("What two functions share and what each has alone", {"a": SIDE, "b": SIDE}, ["a", "b"]),
+    "find_duplicates": ("Pairs of alike functions", {"threshold": NUMBER, "metric": {"enum": ["jaccard", "max"]}, "limit": INTEGER, "name": TEXT, "include_deps": FLAG, **FILTER}, []),
+    "status": ("How far the index is", {}, []),
 }
 
 
 class Engine:
     """Builds the index in the background and answers tools; an index is replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, root: str, profile: str = "structural"):
-        self.spark, self.root, self.profile = spark, os.path.realpath(root), profile
+    def __init__(self, spark: SparkSession, root: str, profile: str = "structural", store: str = ""):
+        self.spark, self.root, self.profile, self.store = spark, os.path.realpath(root), profile, store
         self.index: Index | None = None
         self.counts = (0, 0)
-        self.failed = ""
+        self.stage, self.failed = "starting", ""
         self.lock = threading.Lock()
 
     @property
     def allowed(self) -> bool:
         return os.path.exists(os.path.join(self.root, MARKER))
 
+    def publish(self, index: Index, stage: str) -> None:
+        """Replaces the index by one that is written and so carries no steps of the last."""
+        index = index.written(Workspace(self.spark))
+        self.counts = (index.units.select("file").distinct().count(), index.count())
+        self.index, self.stage = index, stage
+
     def build(self) -> None:
+        """The workspace first, which answers from then on; then its dependencies, if there is a store for them."""
         try:
-            units = corpus.workspace(self.spark, [self.root], self.profile).persist()
-            index = corpus.index_of(units)
-            index = Index(index.units.persist(), index.features.persist())
-            self.counts = (index.units.select("file").distinct().count(), index.count())
-            self.index = index
+            index = corpus.index_of(corpus.workspace(self.spark, [self.root], self.profile))
+            self.publish(index, "workspace" if self.store else "complete")
+            if self.store and (deps := corpus.dependencies(self.spark, [self.root], self.store, self.profile)) is not None:
+                more = corpus.index_of(deps)
+                with self.lock:
+                    self.publish(self.index.append(more.units, more.features), "complete")
+            self.stage = "complete"
         except Exception as e:  # the server lives on and says so in status
             self.failed = f"{type(e).__name__}: {e}"[:500]
 
+    def refresh(self, path: str) -> Index:
+        """Takes up a saved file; the index of its units alone."""
+        with open(path, "rb") as f:
+            files = self.spark.createDataFrame([(path, f.read())], "path string, content binary")
+        fresh = corpus.index_of(extract_units(files, self.profile))
+        with self.lock:
+            self.publish(self.index.refresh(fresh.units, fresh.features), self.stage)
+        return fresh
+
     def snippet(self, file: str, start: int, end: int) -> str:
         """Lines of a file of the index, at most SNIPPET_LINES."""
         if not os.path.realpath(file).startswith(self.root + os.sep):
@@ -63,7 +90,7 @@ class Engine:
 
     def call(self, tool: str, args: dict) -> object:
         if tool == "status":
-            return {"root": self.root, "ready": self.index is not None, "files": self.counts[0], "functions": self.counts[1], "error": self.failed}
+            return {"root": self.root, "ready": self.index is not None, "stage": self.stage, "files": self.counts[0], "functions": self.counts[1], "error": self.failed}
         if not self.allowed:
             raise LookupError(f"{MARKER} is missing at {self.root}")
         if tool == "diff_functions":
@@ -112,7 +139,9 @@ class Engine:
         return self._hits(self.index.features.join(u.select("fid"), "fid", "left_semi").withColumnRenamed("fid", "qid"), a, names)
 
     def find_duplicates(self, a: dict) -> list[dict]:
-        flt = PairFilter(**self._filter(a, threshold=float(a.get("threshold", 0.7)), metric=a.get("metric", "jaccard"), name=a.get("name", ""), limit=int(a.get("limit", 50))))
+        # one side is the workspace's; the other too, unless dependencies are asked for
+        scope = {"origin_a": "workspace", "origin_b": None if a.get("include_deps") else "workspace"}
+        flt = PairFilter(**self._filter(a, threshold=float(a.get("threshold", 0.7)), metric=a.get("metric", "jaccard"), name=a.get("name", ""), limit=int(a.get("limit", 50)), **scope))
         return [{"j": round(r.j, 3), "c": round(r.c, 3), **{s: {"name": r[f"{s}_name"], "file": r[f"{s}_file"], "line": r[f"{s}_line_start"], "end": r[f"{s}_line_end"]} for s in "ab"}} for r in self.index.duplicates(flt).collect()]
 
     def explorer(self) -> dict:
@@ -134,7 +163,7 @@ def rpc(engine: Engine, message: dict) -> dict | None:
         elif method == "ping":
             result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": k, "description": v, "inputSchema": {"type": "object"}} for k, v in TOOLS.items()]}
+            result = {"tools": [{"name": k, "description": v, "inputSchema": {"type": "object", "properties": args, "required": must}} for k, (v, args, must) in TOOLS.items()]}
         elif method == "tools/call":
             if params.get("name") not in TOOLS:
                 raise LookupError(f"no tool {params.get('name')}")
@@ -151,10 +180,10 @@ def rpc(engine: Engine, message: dict) -> dict | None:
 
 def handler(engine: Engine):
     class Handler(BaseHTTPRequestHandler):
-        def say(self, code: int, body: object) -> None:
-            raw = json.dumps(body).encode()
+        def say(self, code: int, body: object, kind: str = "application/json") -> None:
+            raw = body.encode() if isinstance(body, str) else json.dumps(body).encode()
             self.send_response(code)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)
@@ -164,6 +193,8 @@ def handler(engine: Engine):
             q = {k: v[0] for k, v in parse_qs(url.query).items()}
             try:
                 if url.path == "/":
+                    self.say(200, PAGE, "text/html; charset=utf-8")
+                elif url.path == "/api/status":
                     self.say(200, engine.call("status", {}))
                 elif engine.index is None:
                     self.say(503, {"error": "the index isn't ready"})
@@ -206,18 +237,20 @@ def lsp(engine: Engine, message: dict) -> list[dict]:
     """Answers and notifications to an editor's message: diagnostics of a saved file, similar functions on request."""
     method, p, ident = message.get("method"), message.get("params") or {}, message.get("id")
     if method == "initialize":
-        return [{"jsonrpc": "2.0", "id": ident, "result": {"capabilities": {"textDocumentSync": {"openClose": True, "save": True}}, "serverInfo": {"name": "semblance"}}}]
+        able = {"textDocumentSync": {"openClose": True, "save": True}, "codeActionProvider": True}
+        return [{"jsonrpc": "2.0", "id": ident, "result": {"capabilities": able, "serverInfo": {"name": "semblance"}}}]
     if method in ("textDocument/didOpen", "textDocument/didSave") and engine.index is not None:
         uri = p["textDocument"]["uri"]
-        path = urlsplit(uri).path
-        with open(path, "rb") as f:
-            files = engine.spark.createDataFrame([(path, f.read())], "path string, content binary")
-        fresh = corpus.index_of(extract_units(files, engine.profile))
-        with engine.lock:
-            engine.index = engine.index.refresh(fresh.units, fresh.features)
-            found = diagnose.diagnostics(engine.index, fresh.units).collect()
+        path = unquote(urlsplit(uri).path)
+        # an opened file is what the index knows; a saved one has changed
+        units = engine.refresh(path).units if method.endswith("didSave") else engine.index.units.where(F.col("file") == path)
+        found = diagnose.diagnostics(engine.index, units).collect()
         said = [{"range": {"start": {"line": r.q_line_start - 1, "character": 0}, "end": {"line": r.q_line_start - 1, "character": 200}}, "severity": 3, "source": "semblance", "message": f"{r.q_name} is like {r.match['name']} ({r.match['file']}:{r.match.line_start}), {max(r.match.jaccard, r.match.containment):.2f}"} for r in found]
         return [{"jsonrpc": "2.0", "method": "textDocument/publishDiagnostics", "params": {"uri": uri, "diagnostics": said}}]
+    if method == "textDocument/codeAction":
+        at = {"file": unquote(urlsplit(p["textDocument"]["uri"]).path), "line": p["range"]["start"]["line"] + 1}
+        actions = [{"title": title, "command": {"title": title, "command": command, "arguments": [at]}} for title, command in ACTIONS]
+        return [{"jsonrpc": "2.0", "id": ident, "result": actions}]
     if method == "semblance/findSimilar":
         return [{"jsonrpc": "2.0", "id": ident, "result": engine.call("query_similar", {"threshold": 0.2, "k": 15} | p)}]
     if method == "semblance/functionText":
@@ -228,8 +261,8 @@ def lsp(engine: Engine, message: dict) -> list[dict]:
     return [{"jsonrpc": "2.0", "id": ident, "result": None}] if ident is not None else []
 
 
-def start(mode: str, spark: SparkSession, root: str, profile: str, port: int) -> int:
-    engine = Engine(spark, root, profile)
+def start(mode: str, spark: SparkSession, root: str, profile: str, port: int, store: str = "") -> int:
+    engine = Engine(spark, root, profile, store)
     threading.Thread(target=engine.build, daemon=True).start()
     if mode == "serve":
         ThreadingHTTPServer(("127.0.0.1", port), handler(engine)).serve_forever()

@@ -10,10 +10,11 @@ import fixtures_code as fx
 from pyspark.sql import functions as F
 
 from semblance import cli, service
+from semblance.frontend.signature import Options
 from semblance.functions import similarity, text
 from semblance.operators import features, pairs, search, setops, stats
 from semblance.plans import codemining, corpus, diagnose
-from semblance.plans.index import Index, load
+from semblance.plans.index import Index, load, prune
 from semblance.sources import files, store
 from semblance.streaming import refresh
 
@@ -48,6 +49,9 @@ def test_scored_pairs_with_frequent_features(spark):
     for threshold in (0.0, 0.35):
         got = {(r.a, r.b): (r.j, r.c) for r in pairs.scored_pairs(df, threshold=threshold, cutoff=5).collect()}
         assert got == {k: v for k, v in want.items() if max(v) >= threshold}
+    some = spark.range(25).withColumnRenamed("id", "fid")
+    got = {(r.a, r.b) for r in pairs.scored_pairs(df, threshold=0.35, cutoff=5, among=some).collect()}
+    assert got == {k for k, v in want.items() if max(v) >= 0.35 and max(k) < 25}
     got = {(r.a, r.b) for r in pairs.scored_pairs(df, threshold=0.3, metric="jaccard", cutoff=5).collect()}
     assert got == {k for k, v in want.items() if v[0] >= 0.3}
     hits = pairs.scored_hits(df.withColumnRenamed("fid", "qid").where("qid < 5"), df, cutoff=5).where("qid <> fid").collect()
@@ -55,11 +59,35 @@ def test_scored_pairs_with_frequent_features(spark):
         assert abs(r.jaccard - want[min(r.qid, r.fid), max(r.qid, r.fid)][0]) < 1e-12
 
 
+def test_pairs_whose_postings_are_long(spark, monkeypatch):
+    """Pairs that share only features over NEAR are found by their prefixes, at any threshold and for both metrics."""
+    import random
+
+    found = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = sorted({(f, rng.choice([rng.randrange(12), rng.randrange(30), 100 + f])): rng.choice([1, 5, 10]) for f in range(30) for _ in range(12)}.items())
+        rows = [(f, h, w) for (f, h), w in rows]
+        df = spark.createDataFrame(rows, "fid bigint, h bigint, w int")
+        want = brute_pairs(rows, 9)
+        for near, threshold in ((1, 0.3), (2, 0.5), (3, 0.0)):
+            monkeypatch.setattr(pairs, "NEAR", near)
+            got = {(r.a, r.b): (r.j, r.c) for r in pairs.scored_pairs(df, threshold=threshold, cutoff=9).collect()}
+            assert got == {k: v for k, v in want.items() if max(v) >= threshold}
+            got = {(r.a, r.b) for r in pairs.scored_pairs(df, threshold=threshold, metric="jaccard", cutoff=9).collect()}
+            assert got == {k for k, v in want.items() if v[0] >= threshold}
+            found += len(got)
+    assert found > 50
+
+
 def test_signature_columns(spark):
     a, b = [(1, 10), (2, 5)], [(2, 10), (3, 5)]
     df = spark.createDataFrame([(a, b), (a, a), ([], [])], "a array<struct<h: bigint, w: int>>, b array<struct<h: bigint, w: int>>")
     got = df.select(similarity.weighted_jaccard(F.col("a"), F.col("b")).alias("j"), similarity.containment(F.col("a"), F.col("b")).alias("c")).collect()
     assert [(r.j, r.c) for r in got] == [(0.2, 1 / 3), (1.0, 1.0), (0.0, 0.0)]
+    similarity.register(spark)
+    df.createOrReplaceTempView("signed")
+    assert [tuple(r) for r in spark.sql("select weighted_jaccard(a, b), containment(a, b), set_jaccard(transform(a, x -> string(x.h)), array('1', '7')) from signed").collect()] == [(0.2, 1 / 3, 1 / 3), (1.0, 1.0, 1 / 3), (0.0, 0.0, 0.0)]
 
 
 def test_text_functions():
@@ -67,6 +95,7 @@ def test_text_functions():
     assert text.version_of("reg/serde-1.0.3/src") == "1.0.3" and text.major_of("0.4.2") == "0.4" and text.major_of("12.1") == "12"
     assert text.percent_decode("a%20b+c%zz%4") == "a b+c%zz%4" and text.percent_decode("a+b", plus=True) == "a b"
     assert text.split_list("a,,b") == ["a", "b"] and text.truncate("abcdef", 4) == "abc…"
+    assert text.line_diff(["a", "b", "c"], ["  b", "x", "c"]) == [("a", None), ("b", "  b"), (None, "x"), ("c", "c")] and text.line_diff([], ["q"]) == [(None, "q")] and text.line_diff([], []) == []
 
 
 def test_stats(spark):
@@ -83,6 +112,56 @@ def test_stats(spark):
     assert (got["a"].mrr, got["a"].miss, got["b"].r5, got["ALL"].n) == (0.5, 0.5, 1.0, 3) and abs(got["ALL"].mrr - 1.25 / 3) < 1e-12
 
 
+def test_positions_and_ranks(spark):
+    """Places and sums in an order over many partitions; ranks by counting as by sorting; samples by kind."""
+    import random
+
+    rng = random.Random(2)
+    vals = [rng.randrange(50) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(vals)), "id bigint, v bigint").repartition(7)
+    order = sorted(range(300), key=lambda k: (vals[k], k))
+    assert {r.id: r["_at"] for r in stats.with_position(df, ["v", "id"]).collect()} == {k: at for at, k in enumerate(order)}
+    run, want = 0, {}
+    for k in order:
+        run += vals[k]
+        want[k] = run
+    assert {r.id: r["_upto"] for r in stats.with_running(df, ["v", "id"], "v").collect()} == want
+    hits = spark.createDataFrame([(q, f, rng.randrange(4) / 4, rng.randrange(4) / 4) for q in range(5) for f in range(20)], "qid int, fid int, jaccard double, containment double")
+    targets = spark.createDataFrame([(0, 3), (0, 4), (2, 19), (4, 99), (9, 1)], "qid int, fid int")
+    by_sort = {(r.qid, r.fid): r["rank"] for r in search.competition_rank(hits).collect()}
+    assert {(r.qid, r.fid): r["rank"] for r in search.rank_of(hits, targets).collect()} == {k: by_sort[k] for k in ((0, 3), (0, 4), (2, 19))}
+    rows = spark.createDataFrame([("a", k, k / 10) for k in range(10)] + [("b", k, 0.5) for k in range(3)], "kind string, id int, s double")
+    got = stats.stratified(rows, "kind", 4, F.col("s"), "id").collect()
+    assert {r.id for r in got if r.kind == "b"} == {0, 1, 2} and {8, 9} < {r.id for r in got if r.kind == "a"} and len(got) == 7
+
+
+def test_code_columns(spark):
+    """Tokens without names, and packages, as columns and by hand."""
+    paths = ["reg/serde-1.0.3/src/de.rs", "a-b/c.py", "x-0.4.2/y-2.0/z.cc", "k.ml", None, ""]
+    tokens = [["let", "x", "=", "f", "(", "y", ")"], ["def", "a", ".", "b", "::", "c", "!", "d"], ["int", "q", "->", "r", "1"], [], ["self", "zz"], None]
+    df = spark.createDataFrame(list(zip(tokens, paths, strict=True)), "tokens array<string>, file string")
+    for r in df.select("tokens", "file", codemining.normalized(F.col("tokens"), F.col("file")).alias("n"), *[c.alias(k) for k, c in codemining.package_of(F.col("file")).items()]).collect():
+        assert r.n == (None if r.tokens is None else codemining.normalize(r.tokens, r.file or ""))
+        found, v = text.crate_of(r.file or ""), text.version_of(r.file or "")
+        assert (r.crate, r.inner, r.version, r.major) == (*(found or (None, None)), v, text.major_of(v))
+
+
+def test_diff_of_many_pairs(spark):
+    """The relational difference against that of two graphs."""
+    from semblance.frontend import graph_of, unique_nodes
+
+    f = spark.createDataFrame([("a.py", fx.PYTHON.encode()), ("b.py", fx.PYTHON_B.encode()), ("bad.py", b"def x(:")], "path string, content binary")
+    units = {(r.file, r["name"]): r.fid for r in files.extract_units(f, "structural").where("error is null").collect()}
+    names = [(("a.py", fx.PYTHON), "settle", ("b.py", fx.PYTHON_B), "charge"), (("b.py", fx.PYTHON_B), "charge", ("a.py", fx.PYTHON), "settle"), (("a.py", fx.PYTHON), "label", ("b.py", fx.PYTHON_B), "steepest")]
+    asked = spark.createDataFrame([(units[x[0], n], units[y[0], m]) for x, n, y, m in names], "a bigint, b bigint")
+    got = {(r.a, r.b, r.line): r.labels for r in diagnose.only_in(files.extract_nodes(f), asked).collect()}
+    want = {}
+    for x, n, y, m in names:
+        for line, lab in unique_nodes(graph_of(*x, n), graph_of(*y, m)):
+            want.setdefault((units[x[0], n], units[y[0], m], line), []).append(lab)
+    assert got == {k: sorted(set(v)) for k, v in want.items()} and got
+
+
 def test_units_and_search(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.py").write_text(fx.PYTHON)
@@ -103,11 +182,19 @@ def test_units_and_search(spark, tmp_path):
     best = {r.q: r["name"] for r in hits if r["rank"] == 1}
     assert best == {"steepest": "largest_step", "charge": "settle"}
     assert {r["name"] for r in index.search(asked, search.QueryFilter(threshold=0, name="SETT")).collect()} == {"settle"}
+    assert [(r.file.rsplit("/", 1)[1], r.bad) for r in diagnose.worst_files(units).collect()] == [("broken.py", 1)]
+    assert files.read_sources(spark, [f"file://{tmp_path}", str(tmp_path / "src")]).count() == 4 and files.local_files(spark, [str(tmp_path / "none")]).count() == 0
     stat = {r.lang: r for r in diagnose.parse_stats(units).collect()}
     assert stat["python"].units == 3 and sum(r.failed for r in stat.values()) == 1
     one = index.snapshot(str(tmp_path / "ix"), "v1")
     again = load(spark, str(tmp_path / "ix"))
-    assert again.n_units == 3 and again.features.count() == one.features.count()
+    index.snapshot(str(tmp_path / "ix"), "v2")
+    index.snapshot(str(tmp_path / "ix"), "v2")
+    assert len(list((tmp_path / "ix/versions").iterdir())) == 3 and load(spark, str(tmp_path / "ix"), without="v2").n_units == 3
+    prune(spark, str(tmp_path / "ix"))
+    assert len(list((tmp_path / "ix/versions").iterdir())) == len(list((tmp_path / "ix/data").iterdir())) == 2
+    again = load(spark, str(tmp_path / "ix"))
+    assert again.n_units == 3 and again.features.count() == index.features.count()
     fresh = corpus.index_of(files.extract_units(spark.createDataFrame([(units.first().file, fx.PYTHON_B.encode())], "path string, content binary"), "structural"))
     changed = again.refresh(fresh.units, fresh.features)
     assert {r["name"] for r in changed.units.collect()} == {"steepest", "charge"}
@@ -136,7 +223,7 @@ def test_store_and_tsv(spark, tmp_path):
     units = files.extract_units(files.drafted(spark, fx.PYTHON, "python"), "structural")
     kept = store.SigStore(spark, str(tmp_path / "sig"))
     tag = store.config_tag("structural")
-    assert kept.load("p", "1", tag) is None and tag != store.config_tag("structural", {"call": 5}) != store.config_tag("full")
+    assert kept.load("p", "1", tag) is None and len({tag, store.config_tag("structural", Options(weights={"call": 5})), store.config_tag("full"), store.config_tag("structural", Options(rounds=3)), store.config_tag("structural", Options(extra=("strings",)))}) == 5
     calls = []
     for _ in range(2):
         assert kept.load_or("p", "1", tag, lambda: calls.append(1) or units).count() == 3
@@ -144,10 +231,14 @@ def test_store_and_tsv(spark, tmp_path):
     assert calls == [1] and kept.load("p", "1", tag).count() == 3 and kept.load("p", "2", tag).count() == 1
     rows = spark.createDataFrame([("a", 1, "b", 2, 0.12345, 1.0)], store.SCORES)
     store.write_tsv(rows, str(tmp_path / "s"), store.SCORES)
-    with open(next((tmp_path / "s").glob("part*"))) as f:
-        assert f.read() == "a\t1\tb\t2\t0.1235\t1.0000\n"
+    assert "".join(x.read_text() for x in (tmp_path / "s").glob("part*")) == "a\t1\tb\t2\t0.1235\t1.0000\n"
     (tmp_path / "p.tsv").write_text("pos\texact\tf\t1\t2\tn\tg\t3\t4\tm\nshort\trow\n")
     assert [(r.fa, r.lb) for r in store.read_tsv(spark, str(tmp_path / "p.tsv"), store.PAIRS).collect()] == [("f", 3)]
+    pairs_ = spark.createDataFrame([("pos", "exact", "f", k, 1, "n", "g", k, 1, "m") for k in range(8)] + [("neg", "random", "f", 50, 1, "n", "g", 60, 1, "m"), ("neg", "random", "f", 70, 1, "n", "g", 70, 1, "m")], store.PAIRS)
+    scores = spark.createDataFrame([("f", k, "g", k, k / 8, 1.0) for k in range(8)] + [("f", 50, "g", 60, 0.9, 0.9)], store.SCORES)
+    got = store.judge_sample(pairs_, scores, 4).collect()
+    assert {r.la for r in got if r.kind == "exact"} >= {0, 1} and sum(r.kind == "exact" for r in got) == 4 and [r.la for r in got if r.kind == "random"] == [50]
+    assert store.judge_rows(pairs_, scores).where("jaccard is null").count() == 1
 
 
 def test_code_mining_and_eval(spark, tmp_path):
@@ -174,6 +265,13 @@ def test_stream_refresh(spark, tmp_path):
     q.awaitTermination(120)
     now = load(spark, str(tmp_path / "ix"))
     assert {(r["name"], r.file) for r in now.units.collect()} == {("steepest", "draft.py"), ("charge", "draft.py"), ("largest_step", "new.py"), ("settle", "new.py"), ("label", "new.py")} and seen == [5]
+    # the batch runs again, as after a failure before its end was noted: the same units, once
+    for x in ("0", ".0.crc"):
+        (tmp_path / "cp/commits" / x).unlink()
+    again = spark.readStream.schema(refresh.SAVES).parquet(str(saves))
+    q = refresh.refresh_on_save(again, str(tmp_path / "ix"), str(tmp_path / "cp"), on_snapshot=lambda ix, units: seen.append(units.count()), availableNow=True)
+    q.awaitTermination(120)
+    assert seen == [5, 5] and sorted((r["name"], r.file) for r in load(spark, str(tmp_path / "ix")).units.collect()) == sorted((r["name"], r.file) for r in now.units.collect())
 
 
 def test_services(spark, tmp_path):
@@ -200,6 +298,7 @@ def test_services(spark, tmp_path):
     server = ThreadingHTTPServer(("127.0.0.1", 0), service.handler(engine))
     threading.Thread(target=server.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{server.server_port}"
+    assert b"Alike functions" in urllib.request.urlopen(at + "/").read() and json.load(urllib.request.urlopen(at + "/api/status"))["stage"] == "complete"
     pairs_ = json.load(urllib.request.urlopen(f"{at}/api/pairs"))
     assert pairs_["pairs"] and not pairs_["truncated"]
     x = pairs_["pairs"][0]["a"]
@@ -215,6 +314,28 @@ def test_services(spark, tmp_path):
     assert service.framed(io.BytesIO(b"Content-Length: %d\r\n\r\n" % len(body) + body))["method"] == "initialize"
     said = service.lsp(engine, {"method": "textDocument/didSave", "params": {"textDocument": {"uri": f"file://{tmp_path}/b.py"}}})
     assert any("largest_step" in x["message"] for x in said[0]["params"]["diagnostics"])
+    opened = service.lsp(engine, {"method": "textDocument/didOpen", "params": {"textDocument": {"uri": f"file://{tmp_path}/a.py"}}})
+    assert any("steepest" in x["message"] for x in opened[0]["params"]["diagnostics"])
+    actions = service.lsp(engine, {"id": 5, "method": "textDocument/codeAction", "params": {"textDocument": {"uri": f"file://{tmp_path}/b.py"}, "range": {"start": {"line": 3}}}})
+    assert {x["command"]["command"] for x in actions[0]["result"]} == {c for _, c in service.ACTIONS} and actions[0]["result"][0]["command"]["arguments"][0]["line"] == 4
+
+
+def test_dependencies_come_second(spark, tmp_path, monkeypatch):
+    """The workspace answers first, then its dependencies too; pairs with them only if asked for."""
+    from semblance.sources.deps import Package
+
+    (tmp_path / "work").mkdir()
+    (tmp_path / "dep").mkdir()
+    (tmp_path / "work/a.py").write_text(fx.PYTHON)
+    (tmp_path / "work" / service.MARKER).write_text("")
+    (tmp_path / "dep/b.py").write_text(fx.PYTHON_B)
+    monkeypatch.setattr(corpus, "packages_of", lambda root: [Package("dep", "1.0", str(tmp_path / "dep"))])
+    engine = service.Engine(spark, str(tmp_path / "work"), store=str(tmp_path / "store"))
+    stages, publish = [], engine.publish
+    monkeypatch.setattr(engine, "publish", lambda index, stage: (publish(index, stage), stages.append((stage, engine.counts))))
+    engine.build()
+    assert not engine.failed and stages == [("workspace", (1, 3)), ("complete", (2, 5))] and engine.call("status", {})["stage"] == "complete"
+    assert engine.find_duplicates({"threshold": 0.9}) == [] and len(engine.find_duplicates({"threshold": 0.9, "include_deps": True})) == 1
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -227,4 +348,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["diff", str(tmp_path / "a.py"), str(tmp_path / "b.py"), "--a-name", "settle"]) == 0
     assert cli.main(["graph", str(tmp_path / "a.py"), "--name", "settle", "--out", str(tmp_path)]) == 0
     assert (tmp_path / "settle-round2.dot").exists()
-    assert cli.main(["parse-stats", str(tmp_path)]) == 0
+    assert cli.main(["parse-stats", str(tmp_path), "--ext", "py", "--sample", "5"]) == 0
+    capsys.readouterr()
+    assert cli.main(["query", str(tmp_path / "a.py"), "--k", "1", "--", str(tmp_path / "b.py")]) == 0
+    assert "steepest: 1.000" in capsys.readouterr().out
+    assert cli.main(["dump-il", str(tmp_path / "b.py"), "--name", "charge"]) == 0
+    assert capsys.readouterr().out.startswith("charge(rows, cost)  # lines 14 to 18\n  each row, rows\n")
+    assert cli.main(["--weights", "call=3", "--iters", "0", "--with", "strings", "features", str(tmp_path), "--name", "charge"]) == 0
+    assert capsys.readouterr().out.count("charge") > 5
+    for bad in (["--with", "nothing"], ["--weights", "nothing=1"]):
+        try:
+            cli.main([*bad, "features", str(tmp_path)])
+            raise AssertionError(bad)
+        except SystemExit as e:
+            assert "nothing" in str(e)
