@@ -1,7 +1,9 @@
 """Documents to training sequences: toxicity, near-duplicates, secrets, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
-the next one's docs; all but the last return the columns of documents.
+the next one's docs; all but the last return the columns of documents, in their order, and any others that docs has.
+An empty table goes through every stage as an empty table. Null and repeated ids, null texts and other
+nulls are handled as each stage says.
 """
 
 from __future__ import annotations
@@ -17,27 +19,33 @@ from semblance.llm.toxicity import drop_toxic, fit, sample_of
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the ordinal model rejects."""
+    """Without the documents that the ordinal model rejects.
+
+    It is fitted on labelled rows of docs; without labels, or with one kind only, nothing is rejected. Null and empty texts stay.
+    """
     return drop_toxic(docs, fit(sample_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, with a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates, with a similarity of 0.8 or more: that of least id, null last.
+
+    Repeated rows and rows without an id are copies like any other. Texts without words are no duplicates and stay.
+    """
     return drop_near_duplicates(docs, Scratch(spark, "pipeline-near"), at=STAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets and linked parts of credentials replaced in their texts."""
+    """All documents, with secrets and linked parts of credentials replaced in their texts and n_chars brought up to date. Null texts stay null."""
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the copies that bring each source to its target."""
+    """Documents in the copies that bring each source to its target. A null source is a source; texts without words come as often as their rate's whole copies."""
     return mixed_documents(docs, Scratch(spark, "pipeline-mix"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and offsets."""
+    """Pieces of documents with their sequences and offsets. Null and empty texts are a piece of one id; null ids stay null."""
     return pack(docs, Scratch(spark, "pipeline-pack"))
 
 
@@ -49,7 +57,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: Byte-level BPE and a fitted model have no SQL; the tests hold each stage against a brute-force version.
+#: Byte-level BPE and a fitted model have no SQL; tests/llm holds each stage against a version written anew, by hand and without Spark.
 ORACLE_SQL = None
 
 
