@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="semblance", description=__doc__)
     p.add_argument("--profile", choices=("structural", "full"), default="structural")
     p.add_argument("--iters", type=int, help="rounds of propagation, for every language")
-    p.add_argument("--with", dest="channels", default="", help=f"channels to add: {', '.join(CHANNELS)}")
+    p.add_argument("--with", dest="channels", default="", help=f"channels to add, or to take away with not_ before: {', '.join(CHANNELS)}")
     p.add_argument("--weights", default="", help="tag=tenths,... of " + ", ".join(TAG_WEIGHTS))
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -71,7 +71,7 @@ def options_of(a) -> Options:
     """--iters, --with and --weights; names that are none are refused."""
     extra = tuple(split_list(a.channels))
     weights = {k: int(v) for k, _, v in (x.partition("=") for x in split_list(a.weights))}
-    if unknown := [x for x in extra if x not in CHANNELS] + [x for x in weights if x not in TAG_WEIGHTS]:
+    if unknown := [x for x in extra if x.removeprefix("not_") not in CHANNELS] + [x for x in weights if x not in TAG_WEIGHTS]:
         raise SystemExit(f"unknown: {', '.join(unknown)}")
     return Options(a.iters, extra, weights or None)
 

@@ -25,17 +25,20 @@ class Channels:
     types: bool = False
     param_pos: bool = False
     thru_copies: bool = False
+    exp_nodes: bool = True
     rounds: int = 1
 
     @property
     def bits(self) -> int:
-        return sum(1 << k for k, x in enumerate((self.call_names, self.int_values, self.strings, self.fields, self.floats, self.types, self.param_pos, self.thru_copies)) if x) | self.rounds << 8
+        return sum(1 << k for k, x in enumerate((self.call_names, self.int_values, self.strings, self.fields, self.floats, self.types, self.param_pos, self.thru_copies, not self.exp_nodes)) if x) | self.rounds << 8
 
 
 # Channels and rounds by language.
 BASE = {
     "rust": Channels(rounds=2), "python": Channels(strings=True, fields=True, rounds=2), "c": Channels(strings=True, fields=True, rounds=0), "cpp": Channels(strings=True, fields=True, rounds=2), "ocaml": Channels(rounds=2),
 }
+#: Expressions that are folded into the one around them where expressions have no nodes of their own.
+FOLDED = {"lit", "op", "field", "index"}
 RICH = {"strings": True, "fields": True, "floats": True, "types": True, "param_pos": True}
 
 
@@ -81,14 +84,31 @@ class Graph:
         self.loops: list[tuple[list, list]] = []
         self.regions: list[list] = []
         self.extern = self.add(feed(0xEE))
-        env = {p: self.add(feed(0xE0, *([k] if ch.param_pos else [])), label="param") for k, p in enumerate(fn.params)}
+        types = dict(enumerate(fn.types)) if ch.types else {}
+        env = {p: self.add(feed(0xE0, *([k] if ch.param_pos else []), *([types[k]] if types.get(k) else [])), label="param") for k, p in enumerate(fn.params)}
         self.returns: list[int] = []
         self.block(fn.body, env)
         if ch.thru_copies:
             self.pass_copies()
         self.levels = self.propagate()
 
-    def add(self, seed: int, preds=(), commutative=False, emit=False, tag="", label="", line=0) -> int:
+    def add(self, seed: int, preds=(), commutative=False, emit=False, tag="", label="", line=0, of: tuple[E, ...] = ()) -> int:
+        """A node with its operands; ``of`` are the expressions that these are the values of.
+
+        Without a node for each expression, operands that are expressions themselves give their seed and their own operands instead: one node stands
+        for the whole, with the values it reads.
+        """
+        if not self.ch.exp_nodes and any(e.kind in FOLDED for e in of):
+            folded, read = [], []
+            for k, (p, e) in enumerate(zip(preds, of, strict=False)):
+                inner = self.nodes[p]
+                if e.kind in FOLDED:
+                    inner.emit = False
+                    read += [q for q, _ in inner.preds]
+                    folded.append(inner.seed if commutative else mix_pos(inner.seed, k))
+                else:
+                    read.append(p)
+            seed, preds = mix(seed, sum(folded) & MASK62), read
         self.nodes.append(Node(seed, [(p, k) for k, p in enumerate(preds)], commutative, emit, tag, label, line))
         return len(self.nodes) - 1
 
@@ -130,18 +150,18 @@ class Graph:
             return out
         if e.kind == "op":
             name = SAME_OP.get(e.name, e.name)
-            return self.add(feed(0x10, name, len(args)), args, name in COMMUTATIVE, True, "unop" if len(args) == 1 else "binop", name, line)
+            return self.add(feed(0x10, name, len(args)), args, name in COMMUTATIVE, True, "unop" if len(args) == 1 else "binop", name, line, e.args)
         if e.kind == "call":
             self.calls.add((e.text or "named", e.name, len(args)))
             name = [e.name] if ch.call_names and e.name not in env else []
             args = ([env[e.name]] if e.name in env and not e.text else []) + args
-            return self.add(feed(0x12, e.text or "named", len(args), *name), args, emit=True, tag="call", label=f"{e.name or 'call'}()", line=line)
+            return self.add(feed(0x12, e.text or "named", len(args), *name), args, emit=True, tag="call", label=f"{e.name or 'call'}()", line=line, of=e.args if len(args) == len(e.args) else ())
         if e.kind == "new":
             return self.add(feed(0x1B, len(args), *([e.name] if ch.call_names else [])), args, emit=True, tag="call", label=f"new {e.name}", line=line)
         if e.kind == "field":
-            return self.add(feed(0x15, *([e.name] if ch.fields else [])), args, emit=True, tag="field", label=f".{e.name}", line=line)
+            return self.add(feed(0x15, *([e.name] if ch.fields else [])), args, emit=True, tag="field", label=f".{e.name}", line=line, of=e.args)
         if e.kind == "index":
-            return self.add(feed(0x16, e.name), args, emit=True, tag="index", label="[]", line=line)
+            return self.add(feed(0x16, e.name), args, emit=True, tag="index", label="[]", line=line, of=e.args)
         if e.kind == "seq":
             return self.add(feed(0x17, e.name, len(args)), args, emit=bool(args), tag="construct", label=e.name, line=line)
         if e.kind == "pick":

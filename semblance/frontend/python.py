@@ -142,7 +142,11 @@ def stmt(n: ast.stmt):
 
 
 def function(n, name: str = "") -> Fn:
-    return Fn(name or n.name, params(n.args), block(n.body), n.lineno, n.end_lineno or n.lineno)
+    a = n.args
+    every = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
+    types = {x.arg: ast.unparse(x.annotation) for x in every if x.annotation}
+    names = params(a)
+    return Fn(name or n.name, names, block(n.body), n.lineno, n.end_lineno or n.lineno, types=tuple(types.get(x, "") for x in names))
 
 
 def functions(source: str) -> list[Fn]:

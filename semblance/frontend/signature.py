@@ -21,14 +21,14 @@ EDGES = {
 
 @dataclass(frozen=True)
 class Options:
-    """What a user may change: rounds of propagation, more channels, weights by tag. The default of each is the language's own."""
+    """What a user may change: rounds of propagation, channels (not_ before a name takes one away), weights by tag. The default of each is the language's own."""
 
     rounds: int | None = None
     extra: tuple[str, ...] = ()
     weights: dict[str, int] | None = None
 
     def channels(self, lang: str) -> Channels:
-        on = {x: True for x in self.extra}
+        on = {x.removeprefix("not_"): not x.startswith("not_") for x in self.extra}
         return replace(channels(lang), **on, **({} if self.rounds is None else {"rounds": self.rounds}))
 
 

@@ -90,6 +90,14 @@ def test_options():
     levels = [len(graph_of("a.py", text, "f", options=Options(rounds=r)).levels) for r in (0, 1, 3)]
     assert levels == [1, 2, 4]
     assert signatures("a.py", text)["f"] != {x["h"]: x["w"] for x in units_of_source("a.py", text, "structural", Options(extra=("floats",)))[0]["features"]}
+    typed = [{x["h"] for x in units_of_source("a.py", f"def f(a{t}):\n    return g(a)\n", "structural", Options(extra=("types",)))[0]["features"]} for t in ("", ": int", ": str")]
+    assert len({frozenset(x) for x in typed}) == 3 and signatures("a.py", "def f(a: int):\n    return g(a)\n") == signatures("a.py", "def f(a):\n    return g(a)\n")
+    whole = Options(extra=("not_exp_nodes",))
+    one = graph_of("a.py", "def f(a, b):\n    return g(a.x + b * 3, b)\n", "f", options=whole)
+    assert [n.label for n in one.nodes if n.emit] == ["g()", "return"] and len(next(n for n in one.nodes if n.label == "g()").preds) == 3
+    swapped, other = (graph_of("a.py", f"def f(a, b):\n    return g({x}, b)\n", "f", options=whole) for x in ("b * 3 + a.x", "a.x + b * 4"))
+    emitted = lambda g: {h for h, _ in g.features()}
+    assert emitted(one) == emitted(swapped) and emitted(one) != emitted(other)
     rust = "fn f(a: i64) -> i64 { g(a as i32 as i64 + 1) }"
     through = graph_of("a.rs", rust, "f", options=Options(extra=("types", "thru_copies")))
     plus = next(n for n in through.nodes if n.label == "+")
