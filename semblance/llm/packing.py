@@ -28,6 +28,8 @@ from .common import Scratch, documents
 
 CAPACITY = 1024
 END = 2
+
+
 def encoder(vocabulary: str):
     """The byte-level BPE of a vocabulary in public_tokenizers (ranks in NAME.tiktoken); one in each Python worker.
 
@@ -158,7 +160,8 @@ def pack(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text",
     if len(runs) > 64 * capacity:
         raise ValueError(f"the plan has {len(runs)} runs; a capacity of {capacity} should need far fewer")
     steps = scratch.spark.createDataFrame(runs, "run_length bigint, rank0 bigint, run_n bigint, seq0 bigint, each bigint, offset0 bigint")
-    ranked = pieces.join(tally.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the tally has a row for each length and partition, so it grows with the input: it is shuffled, never broadcast
+    ranked = pieces.join(tally.select("length", "part", "before").hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(steps), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("run_n")))
     k = F.col("rank") - F.col("rank0")
     sequence = F.col("seq0") + F.floor(k / F.col("each")).cast("bigint")
