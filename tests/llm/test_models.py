@@ -1,10 +1,13 @@
 """Fitted operators: held-out accuracy, recall, mined rules; and the pipeline."""
 
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
-from semblance.llm import neighbours, toxicity, urls
+from semblance.llm import neighbours, secrets, toxicity, urls
 from semblance.llm.text import shingle_set, word_hashes
 
 
@@ -248,3 +251,102 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(k in ("access", "hex") for t in texts for k, _, _ in scan(t)[0])
     want = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in docs.collect())
     assert want == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+
+
+def tagged(text, model):
+    """P(any grade) of a text, word by word."""
+    counts = {}
+    for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or ""):
+        if w:
+            k = int(model.feature[int(word_hashes(w)[0] % np.uint64(toxicity.BUCKETS))])
+            counts[k] = counts.get(k, 0) + 1
+    tilt = sum(model.weights[k] * np.log1p(n) for k, n in counts.items() if k >= 0)
+    return 1 - 1 / (1 + np.exp(tilt - model.thresholds[0]))
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Each stage over what the one before kept, against a version of it without Spark: nulls, blanks, repeated rows, clashing and extra columns."""
+    import corpus_pipeline
+    from test_texts import components_by_hand, tokenizer
+
+    rng = random.Random(77)
+    plain, bad = [f"word{k}" for k in range(400)], ["nasty", "vile", "rotten", "foul"]
+    texts = []
+    for k in range(150):
+        w = [rng.choice(plain) for _ in range(rng.randint(12, 120))]
+        for _ in range(6 if k % 5 == 0 else 0):
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        texts.append(" ".join(w))
+    texts += [texts[1] + " tail", texts[2], "password=longenough1 " + " ".join(reversed(texts[3].split())), "client_id=acme-prod-77 key x9Kd83jfLs02mQpZ7aRtY5wE", "", "  ", None, " ".join(t for k, t in enumerate(texts[:60]) if k % 5) * 3]
+    rows = [(k, t, rng.choice(["en", "de", "fr", None]), rng.choice(["a", "a", "b", None]), None if t is None else len(t), 7) for k, t in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, texts[7], "en", "b", 3, 7), (None, None, None, None, None, None)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, node int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(0, 120)] + [(None, 1), (3, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    model = toxicity.fit(toxicity.sample_of(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.collect()]
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        after = [tuple(r) for r in docs.collect()]
+        if name != "pack":
+            assert docs.columns == [x.split(" ")[0] for x in schema.split(", ")]
+        if name == "toxicity":
+            assert Counter(after) == Counter(r for r in before if tagged(r[1], model) < toxicity.REJECT)
+            assert len(before) - len(after) >= 25 and {r[0] for r in rows if r[0] is None or 120 <= r[0] < 157 and r[0] % 5} <= {r[0] for r in after}
+        if name == "near_duplicates":
+            sets, roots, _ = components_by_hand(before, 80)
+            stay = {}
+            for r, s, root in zip(before, sets, roots, strict=True):
+                if s:
+                    stay[root] = min(stay.get(root, (True, 0)), (r[0] is None, r[0] or 0))
+            want = [r[0] for r, s in zip(before, sets, strict=True) if not s] + [None if none else i for none, i in stay.values()]
+            assert Counter(r[0] for r in after) == Counter(want) and set(after) <= set(before) and len(after) < len(before)
+        if name == "secrets":
+            clean = [(r[0], None if r[1] is None else secrets.redact(r[1], secrets.scan(r[1])[1]), *r[2:]) for r in before]
+            assert Counter(after) == Counter((r[0], r[1], r[2], r[3], None if r[1] is None else len(r[1]), r[5]) for r in clean)
+            assert sum("[assign]" in (r[1] or "") for r in after) == 1 and sum("[random]" in (r[1] or "") for r in after) == 1
+        if name == "mix":
+            assert set(after) <= set(before)
+            size = lambda r: len((r[1] or "").split())
+            total, took = Counter(), Counter()
+            for r in before:
+                total[r[3]] += size(r)
+            for r in after:
+                took[r[3]] += size(r)
+            n = Counter(after)
+            assert all(n[r] <= 3 * Counter(before)[r] for r in n)
+            weight = dict(zip(sorted(total, key=lambda s: (s is None, s or "")), (5, 2, 1), strict=False))
+            target, open_ = {}, set(total)
+            while over := {s for s in open_ if (sum(total.values()) - sum(target.values())) * weight[s] / sum(weight[x] for x in open_) > 3 * total[s]}:
+                target |= {s: 3 * total[s] for s in over}
+                open_ -= over
+            left = sum(total.values()) - sum(target.values())
+            target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            # the document that is taken in part comes whole or not at all
+            assert all(abs(took[s] - target[s]) <= max(size(r) for r in before) / 2 + 1 for s in total)
+        if name == "pack":
+            enc, want = tokenizer(), Counter()
+            for r in before:
+                ids = np.array(enc.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
+                head, at = len(ids) % 1024, 0
+                for j, m in enumerate(([head] if head else []) + [1024] * (len(ids) // 1024)):
+                    want[r[0], j, at, m, zlib.crc32(ids[at : at + m].tobytes())] += 1
+                    at += m
+            got = docs.collect()
+            assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+            fill = Counter()
+            for r in got:
+                fill[r.sequence_id] += r.length
+            assert max(fill.values()) <= 1024 and len(fill) <= sum(fill.values()) / 1024 * 1.1 + 1
+        kept[name] = after
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(r[:5] for r in kept["pack"])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
