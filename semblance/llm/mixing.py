@@ -39,8 +39,8 @@ SLACK = 0.02
 BANDS = 8
 #: Largest miss of a moment, as a share of all words, at which Newton's steps end; steps at most; decimals kept of a multiplier; rounds for a source.
 RESIDUAL, STEPS, DECIMALS, ROUNDS = 1e-10, 60, 6, 25
-#: Bits of a slice; slices go by two halves of the priority, by the id's hash and by the row.
-SLICE_BITS = 16
+#: Bits of a slice. Slices go by three parts of the priority, by the id's hash and by the row; a source has 2 ** SLICE_BITS of them at most.
+SLICE_BITS = 11
 K = len(LANGUAGES) + 1
 NAMES = (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"))
 
@@ -231,7 +231,7 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text",
     kept = [F.struct(*extra).alias("extra")] if extra else []
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     number = lambda at, digits: F.conv(F.substring(h, at, digits), 16, 10).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), language_of(F.col(lang_col)).alias("language"), F.size(words(F.col(text_col))).cast("bigint").alias("size"), number(1, 8).alias("u"), number(9, 4).alias("by_id"), F.monotonically_increasing_id().alias("row"), *kept)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), language_of(F.col(lang_col)).alias("language"), F.size(words(F.col(text_col))).cast("bigint").alias("size"), number(1, 8).alias("u"), number(9, 3).alias("by_id"), F.monotonically_increasing_id().alias("row"), *kept)
     sized = scratch.keep(rows.withColumn("band", band_of(F.col("size"))))
     targets = scratch.keep(source_targets(sized.select("source", "size"), scratch, weights, cap))
     same = F.col("source").eqNullSafe(F.col("its_source"))
@@ -247,8 +247,9 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_col="text",
     # from 0 to 2 ** 32: the less, the sooner a document gets one more copy
     place = F.floor((F.col("u") / 2.0**32 - (F.col("rate") - F.col("base")) + 1) * 2.0**31).cast("bigint")
     low = (1 << SLICE_BITS) - 1
-    levels = ["first", "second", "by_id", "by_row"]
-    rated = rated.withColumns({"first": F.shiftrightunsigned(place, SLICE_BITS), "second": place.bitwiseAND(F.lit(low)), "by_row": F.xxhash64("row").bitwiseAND(F.lit(low))})
+    levels = ["first", "second", "third", "by_id", "by_row"]
+    by_place = {x: F.shiftrightunsigned(place, SLICE_BITS * k).bitwiseAND(F.lit(low)) for k, x in enumerate(("third", "second", "first"))}
+    rated = rated.withColumns(by_place | {"by_row": F.xxhash64("row").bitwiseAND(F.lit(low))})
     may = (F.col("base") < cap) & (F.col("size") > 0)
     sums = rated.groupBy("sid", "target").agg(F.sum(F.col("base") * F.col("size")).alias("sure"), F.sum(F.when(may, F.col("size")).otherwise(0)).alias("most"))
     need = scratch.keep(sums.select("sid", F.greatest(F.lit(0), F.least("most", F.round("target").cast("bigint") - F.col("sure"))).alias("need")))
@@ -326,7 +327,7 @@ solution as (select list_transform(a, lambda x: round(x, {DECIMALS})) as a, list
 rated as (
   select d.*, t.sid, total, target, case when total = 0 then 0 when full_ then 3 else least(3.0::double, round(exp(least(50, {_eta("a[t.sid + 1]", "b")})), 9)) end as rate
   from banded d join targets t on t.source is not distinct from d.source, known, solution),
-based as (select *, floor(rate)::bigint as base, ('0x' || substr(h, 1, 8))::bigint as u, ('0x' || substr(h, 9, 4))::bigint as by_id from rated),
+based as (select *, floor(rate)::bigint as base, ('0x' || substr(h, 1, 8))::bigint as u, ('0x' || substr(h, 9, 3))::bigint as by_id from rated),
 placed as (select *, base < 3 and size > 0 as may, floor((u / 4294967296.0::double - (rate - base) + 1) * 2147483648.0::double)::bigint as place, round(target)::bigint - sum(base * size) over (partition by sid) as need from based),
 ranked as (select *, coalesce(sum(case when may then size else 0 end) over (partition by sid, may order by place, by_id, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from placed)
 select doc_id, size, total as source_size, target, (base * size + case when may then greatest(0, least(size, need - before)) else 0 end)::bigint as taken from ranked
