@@ -9,7 +9,9 @@ run-length index (runindex.py) over them gives matching statistics, and long mat
 
 Hot anchors: equal segments are known by digest and sent at most twice by a task (the index needs one copy and to
 know of a second); segments of an anchor with over HOT occurrences are cut in pieces that are dealt out by a core of
-LENGTH - PIECE + 1 bytes, so that only windows that share almost everything still meet.
+LENGTH - PIECE + 1 bytes, so that only windows that share almost everything still meet. Where over WIDE distinct pieces
+share even that (one core between very many different bytes), they are cut again, in pieces of fewer windows with longer
+cores, down to single windows, which share all. So no index ever holds more than WIDE distinct pieces of a group.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .text import BASE, BYTE_KEYS
 LENGTH, GRAM = 200, 64
 #: Windows scanned at once; occurrences from which an anchor is hot; windows in a piece of a hot segment.
 BLOCK, HOT, PIECE = 1 << 19, 5_000, 16
-#: Bytes under one index (whole anchors); segments that a task remembers; bytes of segments in an Arrow batch.
+#: Segments or pieces over which a group is cut again; windows in the pieces of each cut.
+WIDE, WIDTHS = 1_000, (PIECE, 4, 1)
+#: Bytes from which an index is closed (it takes whole groups, of WIDE segments at most); segments that a task remembers; bytes of segments in an Arrow batch.
 INDEX_BYTES, REMEMBERED, BATCH_BYTES = 1 << 20, 500_000, 8 << 20
 
 
@@ -110,22 +114,22 @@ def digest(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-def pieces_of(data: bytes, at: int, anchor: int, hot: bool, length: int) -> Iterator[tuple[int, int, int]]:
-    """(group, first window, last window) of a segment, or of its pieces if the anchor is hot."""
-    first, place, last = at >> 32, (at >> 32) + (at >> 16 & 0xFFFF), (at >> 32) + (at & 0xFFFF)
-    if not hot:
-        yield anchor, first, last
-        return
-    for j in range((place - last) // PIECE, (place - first) // PIECE + 1):
-        lo, hi = max(first, place - j * PIECE - PIECE + 1), min(last, place - j * PIECE)
+def pieces_of(data: bytes, place: int, first: int, last: int, width: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first window, last window) of the pieces of ``width`` windows that the windows first to last of an anchor at ``place`` fall in.
+
+    Pieces lie at multiples of the width before the anchor, wherever a segment starts: equal windows have equal anchors, so
+    they are in pieces of one number, and share the core, which all windows of such a piece cover.
+    """
+    for j in range((place - last) // width, (place - first) // width + 1):
+        core = place - j * width
+        lo, hi = max(first, core - width + 1), min(last, core)
         if lo <= hi:
-            core = place - j * PIECE
-            yield digest(b"%d:" % j + data[core : core - PIECE + 1 + length]), lo, hi
+            yield digest(b"%d,%d:" % (width, j) + data[core : core - width + 1 + length]), lo, hi
 
 
 def _segment_batches(length: int):
-    names = ["anchor", "digest", "k1", "k2", "first", "bytes", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    names = ["anchor", "digest", "width", "before", "k1", "k2", "first", "bytes", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}
@@ -144,14 +148,16 @@ def _segment_batches(length: int):
                     texts.clear()
                 times = 2 if copies > 1 else 1
                 for mark in marks:
-                    for group, lo, hi in pieces_of(data, mark["at"], mark["anchor"], mark["hot"], length):
+                    at, hot = mark["at"], mark["hot"]
+                    first, place, last = at >> 32, (at >> 32) + (at >> 16 & 0xFFFF), (at >> 32) + (at & 0xFFFF)
+                    for group, lo, hi in pieces_of(data, place, first, last, PIECE, length) if hot else ((mark["anchor"], first, last),):
                         x = data[lo : hi + length]
                         key = (group, digest(x))
-                        before = sent.get(key, 0)
-                        if before < 2:
-                            sent[key] = before + times
+                        already = sent.get(key, 0)
+                        if already < 2:
+                            sent[key] = already + times
                             held += len(x)
-                        for c, v in zip(cols, (*key, k1, k2, lo, x if before < 2 else None, times), strict=True):
+                        for c, v in zip(cols, (*key, PIECE if hot else length, place - lo, k1, k2, lo, x if already < 2 else None, times), strict=True):
                             c.append(v)
                 if held >= BATCH_BYTES or len(cols[0]) >= 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -194,6 +200,55 @@ def _index_batches(length: int):
     return run
 
 
+def _again_batches(length: int):
+    """Segments or pieces cut in pieces of the next width: each with its group and digest, and its place in what it was cut from."""
+    names = ["anchor", "digest", "group", "piece", "width", "before", "at", "bytes", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            for anchor, d, width, before, x, times in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "width", "before", "bytes", "times")), strict=True):
+                narrower = next(w for w in (*WIDTHS, 1) if w < width or w == 1)
+                for group, lo, hi in pieces_of(x, before, 0, len(x) - length, narrower, length):
+                    y = x[lo : hi + length]
+                    for c, v in zip(cols, (anchor, d, group, digest(y), narrower, before - lo, lo, y, times), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
+def repeated_windows(sent: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(anchor, digest, edges) of segments and pieces sent(anchor, digest, width, before, bytes, times): ranges of windows that repeat.
+
+    Each round indexes the groups of up to WIDE rows and cuts the others again; single windows end it.
+    """
+    found, came = None, None  # came: what a piece was cut from, and where it lies there
+    for _ in range(len(WIDTHS) + 1):
+        wide = scratch.keep(sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("anchor"))
+        dealt = sent.select("anchor", "digest", "bytes", "times").join(wide, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "digest")
+        edges = dealt.mapInArrow(_index_batches(length), "anchor bigint, digest bigint, edges array<bigint>")
+        if came is not None:
+            on = (F.col("anchor") == F.col("group")) & (F.col("digest") == F.col("piece"))
+            edges = edges.join(came, on).select("from_anchor", "from_digest", F.transform("edges", lambda x: x + F.col("at")).alias("edges")).toDF("anchor", "digest", "edges")
+        found = edges if found is None else found.unionByName(edges)
+        if wide.isEmpty():
+            break
+        cut = sent.join(wide, "anchor", "left_semi").mapInArrow(_again_batches(length), "anchor bigint, digest bigint, group bigint, piece bigint, width int, before int, at bigint, bytes binary, times int")
+        cut = scratch.keep(cut)
+        step = cut.select("anchor", "digest", "group", "piece", "at").distinct()
+        if came is None:
+            came = step.select(F.col("anchor").alias("from_anchor"), F.col("digest").alias("from_digest"), "group", "piece", "at")
+        else:
+            back = came.select("from_anchor", "from_digest", F.col("group").alias("anchor"), F.col("piece").alias("digest"), F.col("at").alias("outer"))
+            came = step.join(back, ["anchor", "digest"]).select("from_anchor", "from_digest", "group", "piece", (F.col("outer") + F.col("at")).alias("at"))
+        came = scratch.keep(came)
+        # equal pieces are summed up before they meet
+        sent = scratch.keep(cut.groupBy("group", "piece", "width", "before").agg(F.first("bytes").alias("bytes"), F.sum("times").cast("int").alias("times")).withColumnsRenamed({"group": "anchor", "piece": "digest"}))
+    return found
+
+
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [])
@@ -220,10 +275,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, g
     marks = found.join(many, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", (F.col("n") > HOT).alias("hot"))).alias("marks"), F.count(F.lit(1)).alias("all"))
     marks = marks.select("k1", "k2", "marks", (F.col("all") / F.size("marks")).cast("int").alias("copies"))
     with_text = docs.join(marks, ["k1", "k2"]).select("k1", "k2", "copies", "marks", "text")
-    segments = scratch.keep(with_text.mapInArrow(_segment_batches(length), "anchor bigint, digest bigint, k1 bigint, k2 bigint, first bigint, bytes binary, times int"))
+    segments = scratch.keep(with_text.mapInArrow(_segment_batches(length), "anchor bigint, digest bigint, width int, before int, k1 bigint, k2 bigint, first bigint, bytes binary, times int"))
     scratch.drop(found, many)
-    dealt = segments.where("bytes is not null").select("anchor", "digest", "bytes", "times").repartition("anchor").sortWithinPartitions("anchor", "digest")
-    long = dealt.mapInArrow(_index_batches(length), "anchor bigint, digest bigint, edges array<bigint>")
+    sent = segments.where("bytes is not null").select("anchor", "digest", "width", "before", "bytes", "times")
+    long = repeated_windows(sent, scratch, length)
     at = segments.select("anchor", "digest", "k1", "k2", "first").join(long, ["anchor", "digest"])
     pairs = F.sequence(F.lit(0), (F.size("edges") / 2 - 1).cast("int"))
     at = at.select("k1", "k2", "first", "edges", F.explode(pairs).alias("p"))
