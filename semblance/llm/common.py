@@ -6,7 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ class Scratch:
             _delete(self.spark, path)
 
 
+#: Rows of a batch that are worked on at once.
+ROWS = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows, so that what a task holds for each row stays small whatever the session's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def words(text: Column) -> Column:
     """The words of a text; null text has none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents
+from .common import WORD, Scratch, documents, slices
 from .components import components
 from .text import BASE, mix64, shingle_set
 
@@ -95,7 +95,7 @@ def cells(s: np.ndarray) -> np.ndarray:
 
 def _sketcher(at: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, digests, bands, marks = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, SHINGLE)
@@ -119,7 +119,7 @@ def digest(s: np.ndarray) -> np.ndarray:
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(t, SHINGLE) for t in b.column("text").to_pylist()]
         d = np.array([digest(s) for s in sets]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(d.T)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["s1", "s2", "shingles"])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 #: Vectors the codebooks are fitted on, at most; entries wanted in a pair of centroids; centroids of a half.
 SAMPLE, OCCUPANCY, LEAST, MOST = 20_000, 1, 8, 1024
@@ -101,7 +101,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def _file_batches(books, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = _matrix(b.column("vector"), dims).astype(np.float64)
             cells = [nearest(h, c).astype(np.int32) if len(x) else np.empty(0, np.int32) for h, c in ((x[:, : dims // 2], books[0]), (x[:, dims // 2 :], books[1]))]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vector"), *map(pa.array, cells)], ["vec_id", "vector", "c1", "c2"])
@@ -113,7 +113,7 @@ def _visit_batches(books, dims: int, counts: np.ndarray, want: int, width: int):
     """A row for each group of ``width`` first centroids that a query visits, with the limits of the second ones for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             row, group, limits = [], [], []
             for k, q in enumerate(_matrix(b.column("vector"), dims).astype(np.float64)):
                 c1, most = traverse(q, books, counts, want)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, slices
 
 CAPACITY = 1024
 END = 2
@@ -66,7 +66,7 @@ def _pieces(vocabulary: str, capacity: int):
 
         part, end = TaskContext.get().partitionId(), np.array([END], "<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids, at = encode(vocabulary, text or "").tobytes() + end, 0

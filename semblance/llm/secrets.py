@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 # The base patterns; the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,7 +126,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found = [scan(t) for t in b.column("text").to_pylist()]
         count = lambda kind: pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -145,7 +145,7 @@ def find_secrets(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
 
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         k = b.schema.get_field_index("text")
         texts = [None if t is None else redact(t, scan(t)[1]) for t in b.column(k).to_pylist()]
         cols = list(b.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 from .packing import encode, encoder
 
 LEAF = 512
@@ -155,7 +155,7 @@ def standing_edits(doc_id: int | None, text: str) -> list[Edit]:
 def _count_batches(edits_of, vocabulary: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             edits = b.column("edits").to_pylist() if "edits" in b.schema.names else [None] * b.num_rows
             for doc_id, text, given in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), edits, strict=True):

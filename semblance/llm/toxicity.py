@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 from .text import NOT_ALNUM, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; hashed feature space; features and grades of the model.
-SAMPLE, BUCKETS, FEATURES, GRADES = 6_000, 1 << 18, 1024, 4
+SAMPLE, BUCKETS, FEATURES, GRADES = 20_000, 1 << 18, 1024, 4
 #: Least document frequency and standard score of a feature; ridge penalty; steps of the fit.
-MIN_DF, MIN_SCORE, RIDGE, STEPS = 4, 3.0, 1e-4, 400
+MIN_DF, MIN_SCORE, RIDGE, STEPS = 4, 4.0, 1e-4, 400
 #: A document is toxic from this probability of any grade above 0; clean ones stay near the base rate of a few hundredths.
-REJECT = 0.35
+REJECT = 0.3
 
 
 @dataclass
@@ -55,7 +55,7 @@ class Severity:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found = [np.unique((word_hashes(t, NOT_ALNUM) % np.uint64(BUCKETS)).astype(np.int32), return_counts=True) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column("toxic"), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["toxic", "buckets", "counts"]
@@ -84,9 +84,8 @@ def fit(labelled: DataFrame) -> Severity:
     chosen = np.argsort(-score, kind="stable")[:FEATURES]
     chosen = chosen[score[chosen] >= MIN_SCORE]
     feature[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(toxic), max(1, len(chosen))))
     kept = feature[col] >= 0
-    x[row[kept], feature[col[kept]]] = np.log1p(n[kept])
+    x = Sparse(row[kept], feature[col[kept]], np.log1p(n[kept]), (len(toxic), max(1, len(chosen))))
     # grades of the toxic rows, by the number of words that go with toxicity
     bad = np.zeros(BUCKETS, bool)
     bad[chosen] = True
@@ -96,23 +95,39 @@ def fit(labelled: DataFrame) -> Severity:
     return Severity(feature, *_maximise(x, grade))
 
 
-def _maximise(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by its entries."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def turned_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * g[self.row], self.shape[1])
+
+
+def _maximise(x: Sparse, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest penalised likelihood, by Adam steps from zero weights."""
-    k = GRADES - 1
-    share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:k] / len(grade), 1e-3, 1 - 1e-3)
+    k, (many, width) = GRADES - 1, x.shape
+    share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:k] / many, 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
-    raw = np.concatenate([np.zeros(x.shape[1]), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
+    raw = np.concatenate([np.zeros(width), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(raw), np.zeros_like(raw)
-    rows = np.arange(len(grade))
+    rows = np.arange(many)
     for t in range(1, STEPS + 1):
         w, theta = raw[:-k], raw[-k] + np.concatenate([[0.0], np.cumsum(np.exp(raw[len(raw) - k + 1 :]))])
-        below = 1 / (1 + np.exp(-np.clip(theta[None, :] - (x @ w)[:, None], -50, 50)))
-        edges = np.hstack([np.zeros((len(x), 1)), below, np.ones((len(x), 1))])
+        below = 1 / (1 + np.exp(-np.clip(theta[None, :] - x.times(w)[:, None], -50, 50)))
+        edges = np.hstack([np.zeros((many, 1)), below, np.ones((many, 1))])
         p = np.maximum(edges[rows, grade + 1] - edges[rows, grade], 1e-12)
         slope = edges * (1 - edges)
         upper, lower = slope[rows, grade + 1] / p, slope[rows, grade] / p
-        d_theta = np.array([(lower[grade == j + 1].sum() - upper[grade == j].sum()) for j in range(k)]) / len(x)
-        d_w = x.T @ (upper - lower) / len(x) + RIDGE * w
+        d_theta = np.array([(lower[grade == j + 1].sum() - upper[grade == j].sum()) for j in range(k)]) / many
+        d_w = x.turned_times(upper - lower) / many + RIDGE * w
         steps = np.exp(raw[len(raw) - k + 1 :])
         g = np.concatenate([d_w, [d_theta.sum()], [d_theta[j:].sum() * steps[j - 1] for j in range(1, k)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -133,7 +148,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFra
 
 def _score_batches(model: Severity, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = model.of(b.column("text"))
             any_grade = 1 - p[:, 0]
             grade = np.where(any_grade >= threshold, 1 + p[:, 1:].argmax(axis=1), 0).astype(np.int32)
@@ -161,7 +176,7 @@ def drop_toxic(docs: DataFrame, model: Severity, *, threshold: float = REJECT) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(1 - model.of(b.column("text"))[:, 0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

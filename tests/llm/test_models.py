@@ -87,7 +87,8 @@ def test_fit_against_a_plain_optimiser():
     for _ in range(1500):
         g = np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in 1e-5 * np.eye(6)])
         p = p - 0.5 * g
-    w, theta = toxicity._maximise(x, grade)
+    row, col = np.nonzero(x)
+    w, theta = toxicity._maximise(toxicity.Sparse(row, col, x[row, col], x.shape), grade)
     assert loss(np.concatenate([w, theta])) <= loss(p) + 1e-3 and np.abs(w - p[:3]).max() < 0.1 and np.abs(theta - p[3:]).max() < 0.15
 
 
