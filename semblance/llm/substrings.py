@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, slices
 from .runindex import repeated
 from .text import BASE, BYTE_KEYS
 
@@ -99,7 +99,7 @@ def _bytes_of(column: pa.Array) -> Iterator[bytes]:
 
 def _anchor_batches(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [anchors(x, length, gram) for x in _bytes_of(b.column("text"))]
             lens = [len(f[0]) for f in found]
             h, place, first, last = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(4))
@@ -128,15 +128,15 @@ def pieces_of(data: bytes, place: int, first: int, last: int, width: int, length
 
 
 def _segment_batches(length: int):
-    names = ["anchor", "digest", "width", "before", "k1", "k2", "first", "bytes", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    names = ["anchor", "digest", "width", "before", "k1", "k2", "first", "sent", "bytes", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}
         texts: set[tuple[int, int]] = set()
         cols: list[list] = [[] for _ in names]
         held = 0
-        for b in batches:
+        for b in slices(batches):
             for k1, k2, copies, marks, data in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "copies", "marks")), _bytes_of(b.column("text")), strict=True):
                 if copies > 1:
                     if (k1, k2) in texts:
@@ -157,7 +157,7 @@ def _segment_batches(length: int):
                         if already < 2:
                             sent[key] = already + times
                             held += len(x)
-                        for c, v in zip(cols, (*key, PIECE if hot else length, place - lo, k1, k2, lo, x if already < 2 else None, times), strict=True):
+                        for c, v in zip(cols, (*key, PIECE if hot else length, place - lo, k1, k2, lo, already < 2, x if already < 2 else None, times), strict=True):
                             c.append(v)
                 if held >= BATCH_BYTES or len(cols[0]) >= 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -184,7 +184,7 @@ def _index_batches(length: int):
         """Rows come in order of anchor and digest; an index takes whole anchors."""
         groups: list[tuple[int, int, bytes, int]] = []
         held, anchor_now = 0, None
-        for b in batches:
+        for b in slices(batches):
             for anchor, d, x, times in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "bytes", "times")), strict=True):
                 if groups and groups[-1][:2] == (anchor, d):
                     groups[-1] = (anchor, d, groups[-1][2], groups[-1][3] + times)
@@ -206,7 +206,7 @@ def _again_batches(length: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in names]
             for anchor, d, width, before, x, times in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "width", "before", "bytes", "times")), strict=True):
                 narrower = next(w for w in (*WIDTHS, 1) if w < width or w == 1)
@@ -250,7 +250,7 @@ def repeated_windows(sent: DataFrame, scratch: Scratch, length: int) -> DataFram
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out: tuple[list, ...] = ([], [], [], [])
         for spans, data in zip(b.column("spans").to_pylist(), _bytes_of(b.column("text")), strict=True):
             kept, at, removed, runs, end = hashlib.sha256(), 0, 0, 0, -1
@@ -275,9 +275,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, g
     marks = found.join(many, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", (F.col("n") > HOT).alias("hot"))).alias("marks"), F.count(F.lit(1)).alias("all"))
     marks = marks.select("k1", "k2", "marks", (F.col("all") / F.size("marks")).cast("int").alias("copies"))
     with_text = docs.join(marks, ["k1", "k2"]).select("k1", "k2", "copies", "marks", "text")
-    segments = scratch.keep(with_text.mapInArrow(_segment_batches(length), "anchor bigint, digest bigint, width int, before int, k1 bigint, k2 bigint, first bigint, bytes binary, times int"))
+    segments = scratch.keep(with_text.mapInArrow(_segment_batches(length), "anchor bigint, digest bigint, width int, before int, k1 bigint, k2 bigint, first bigint, sent boolean, bytes binary, times int"))
     scratch.drop(found, many)
-    sent = segments.where("bytes is not null").select("anchor", "digest", "width", "before", "bytes", "times")
+    sent = segments.where("sent").select("anchor", "digest", "width", "before", "bytes", "times")
     long = repeated_windows(sent, scratch, length)
     at = segments.select("anchor", "digest", "k1", "k2", "first").join(long, ["anchor", "digest"])
     pairs = F.sequence(F.lit(0), (F.size("edges") / 2 - 1).cast("int"))
