@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import Scratch, documents, slices
 from .text import NOT_ALNUM, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; hashed feature space; features and grades of the model.
@@ -54,42 +54,62 @@ class Severity:
         return self.grades(np.array([self.tilt(t.as_py()) for t in texts], float))
 
 
+COUNTS = "toxic int, buckets array<int>, counts array<int>"
+
+
+def _counted(toxic: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([toxic, *lists], ["toxic", "buckets", "counts"])
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        found = [np.unique((word_hashes(t, NOT_ALNUM) % np.uint64(BUCKETS)).astype(np.int32), return_counts=True) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("toxic"), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["toxic", "buckets", "counts"]
-        )
+        yield _counted(b.column("toxic"), [np.unique((word_hashes(t.as_py(), NOT_ALNUM) % np.uint64(BUCKETS)).astype(np.int64), return_counts=True) for t in b.column("text")])
+
+
+def _chosen_batches(feature: np.ndarray):
+    """The entries of a text that are features, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = []
+            for x, n in zip(b.column("buckets"), b.column("counts"), strict=True):
+                k, n = feature[x.values.to_numpy()], n.values.to_numpy()
+                found.append((k[k >= 0], n[k >= 0]))
+            yield _counted(b.column("toxic"), found)
+
+    return run
 
 
 def fit(labelled: DataFrame) -> Severity:
     """Fits labelled(text, toxic) of at most SAMPLE rows; more are refused. Without toxic and other rows, nothing is toxic.
 
-    Rows of null label don't count; null texts have no words.
+    Rows of null label don't count; null texts have no words. The rows are counted once and written; the driver gets the sums of the buckets
+    (BUCKETS at most) and then only the entries of the FEATURES chosen by them.
     """
+    scratch = Scratch(labelled.sparkSession, "toxicity")
     rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    table = rows.mapInArrow(_count_batches, "toxic int, buckets array<int>, counts array<int>").limit(SAMPLE + 1).toArrow()
-    if table.num_rows > SAMPLE:
+    counted = scratch.keep(rows.mapInArrow(_count_batches, COUNTS))
+    bad = F.count_if(F.col("toxic") > 0).alias("bad")
+    total = counted.agg(F.count(F.lit(1)).alias("n"), bad).first()
+    if total["n"] > SAMPLE:
         raise ValueError(f"more than {SAMPLE} labelled rows; sample_of() picks so many")
-    toxic = table.column("toxic").to_numpy() > 0
-    buckets, counts = table.column("buckets").combine_chunks(), table.column("counts").combine_chunks()
-    row = np.repeat(np.arange(len(toxic)), np.diff(buckets.offsets.to_numpy()) if len(toxic) else [])
-    col, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
     feature = np.full(BUCKETS, -1, np.int32)
-    if not toxic.any() or toxic.all():
+    if not 0 < total["bad"] < total["n"]:
         return Severity(feature, np.zeros(1), np.arange(GRADES - 1) + 20.0)
-    df, hit = np.bincount(col, minlength=BUCKETS), np.bincount(col[toxic[row]], minlength=BUCKETS)
-    expected = df * toxic.mean()
-    score = np.where(df >= MIN_DF, (hit - expected) / np.sqrt(np.maximum(expected, 0.5)), 0)
+    each = counted.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"), bad).where(F.col("df") >= MIN_DF).orderBy("bucket").toArrow()
+    expected = each.column("df").to_numpy() * (total["bad"] / total["n"])
+    score = (each.column("bad").to_numpy() - expected) / np.sqrt(np.maximum(expected, 0.5))
     chosen = np.argsort(-score, kind="stable")[:FEATURES]
-    chosen = chosen[score[chosen] >= MIN_SCORE]
+    chosen = each.column("bucket").to_numpy()[chosen[score[chosen] >= MIN_SCORE]]
     feature[chosen] = np.arange(len(chosen))
-    kept = feature[col] >= 0
-    x = Sparse(row[kept], feature[col[kept]], np.log1p(n[kept]), (len(toxic), max(1, len(chosen))))
+    table = counted.mapInArrow(_chosen_batches(feature), COUNTS).toArrow()
+    scratch.drop(counted)
+    toxic, lists = table.column("toxic").to_numpy() > 0, [table.column(c).combine_chunks() for c in ("buckets", "counts")]
+    row, col, n = np.repeat(np.arange(len(toxic)), np.diff(lists[0].offsets.to_numpy())), *(x.flatten().to_numpy() for x in lists)
+    x = Sparse(row, col, np.log1p(n), (len(toxic), max(1, len(chosen))))
     # grades of the toxic rows, by the number of words that go with toxicity
-    bad = np.zeros(BUCKETS, bool)
-    bad[chosen] = True
-    many = np.bincount(row, n * bad[col], len(toxic))
+    many = np.bincount(row, n, len(toxic))
     cuts = np.quantile(many[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(cuts, many, side="left"), 0)
     return Severity(feature, *_maximise(x, grade))
