@@ -362,3 +362,29 @@ def test_command_line(spark, tmp_path, capsys):
             raise AssertionError(bad)
         except SystemExit as e:
             assert "nothing" in str(e)
+
+
+def test_shingles_by_arrays(spark):
+    """The features of texts made many at a time are those of the raw rows, with long words, blanks and repeated ids."""
+    rows = [(1, "A b\tC1 d  e"), (1, "a B c1 zz"), (2, None), (3, "x y"), (None, "a b c1"), (4, "É a b c " + "w" * 70 + " 1 2"), (5, "a b c a b c a b c")]
+    rows += [(10 + k, " ".join(f"v{(k * i) % 7}" for i in range(30))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "fid bigint, text string")
+    want = sorted(features.dedup_max(features.raw_shingle_features(docs, id_col="fid", text_col="text")).collect(), key=str)
+    assert sorted(features.shingle_features(docs).collect(), key=str) == want
+    once = docs.where("fid > 1")
+    assert sorted(features.shingle_features(once, once=True).collect(), key=str) == [r for r in want if r.fid and r.fid > 1]
+
+
+def test_containment_in_the_next(spark):
+    """Across the ranges that ids are dealt out by, with gaps, texts without features, and negative, null and repeated ids."""
+    words = lambda k: " ".join(f"w{i}" for i in range(k % 5, k % 5 + 8))
+    rows = [(k, words(k)) for k in range(-3, 600) if k % 50 != 7] + [(9, "w1 w2 w3 a b"), (7, "too short"), (None, words(1))]
+    got = {(r.a, r.b): r.c for r in pairs.containment_in_next(spark.createDataFrame(rows, "fid bigint, text string")).collect()}
+    sig = {}
+    for k, t in rows:
+        ws = t.split()
+        for s in zip(ws, ws[1:], ws[2:]):
+            sig.setdefault(k, {})[s] = 5
+            if not any(c.isdigit() for x in s for c in x):
+                sig[k][s] = 10
+    assert got == {(a, a + 1): sum(min(w, sig[a + 1].get(s, 0)) for s, w in sig[a].items()) / sum(sig[a].values()) for a in sig if a is not None and a + 1 in sig}
