@@ -27,6 +27,8 @@ class Index:
     features: DataFrame
     n_units: int | None = None
     work: Workspace | None = None
+    #: (fid, text) where the features are the shingles of texts: pairs then make them where they need them
+    texts: DataFrame | None = None
 
     @property
     def cutoff(self) -> int:
@@ -79,7 +81,7 @@ class Index:
         if flt.origin_a is not None and flt.origin_b is not None:
             # units of other origins are in no pair that passes; frequencies and cutoff stay those of all
             among = self.units.where(F.col("origin").isin(flt.origin_a, flt.origin_b)).select("fid")
-        pairs = scored_pairs(self.features, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff, work=self.work, among=among)
+        pairs = scored_pairs(self.features, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff, work=self.work, among=among, texts=self.texts)
         for side in ("a", "b"):
             pairs = pairs.join(self.units.select([F.col(c).alias(side if c == "fid" else f"{side}_{c}") for c in self.units.columns]), side)
         pairs = pairs.where(flt.passes())

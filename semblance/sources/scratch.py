@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,14 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets go of shuffled files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+        for _ in range(2):  # references go from Python first, then from the JVM, then the files
+            gc.collect()
+            time.sleep(0.3)
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.7)
+
     def clear(self) -> None:
         try:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -373,6 +373,12 @@ def test_shingles_by_arrays(spark):
     assert sorted(features.shingle_features(docs).collect(), key=str) == want
     once = docs.where("fid > 1")
     assert sorted(features.shingle_features(once, once=True).collect(), key=str) == [r for r in want if r.fid and r.fid > 1]
+    pair = lambda rows: {(r.a, r.b): (r.a_features, r.b_features, r.j, r.c) for r in rows.collect()}
+    from_rows, from_texts = pairs.scored_pairs(features.shingle_features(docs), threshold=0.3, cutoff=2), pairs.scored_pairs(None, threshold=0.3, cutoff=2, texts=docs)
+    assert pair(from_rows) == pair(from_texts) and (1, None) not in pair(from_texts)
+    brute = brute_pairs([(r.fid, r.h, r.w) for r in want if r.fid], 2)
+    df = {h: n for h, n in features.document_frequency(features.shingle_features(docs)).collect()}
+    assert {k: v[2:] for k, v in pair(from_texts).items()} == {k: v for k, v in brute.items() if max(v) >= 0.3} and max(df.values()) > 2
 
 
 def test_containment_in_the_next(spark):
