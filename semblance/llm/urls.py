@@ -9,6 +9,8 @@ joined to that index and the whole combination is then held against the URL's to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from .quality import LOWER, UPPER
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BAD = "label:bad"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.003, 0.6, 1.5
-#: Bad rows that a rule rests on, at least; tokens of one URL that combinations are mined from, the rarest first: a URL yields no more than 2 ** WIDTH.
+#: Bad rows that a rule rests on, at least; mined tokens of one URL up to which FP-growth is used. Where a URL has more, combinations grow by levels, without a cap.
 MIN_COUNT, WIDTH = 5, 10
 #: A rule index of up to so many rules is broadcast; a larger one is joined by shuffle.
 BROADCAST_RULES = 20_000
@@ -53,6 +55,29 @@ def mined_tokens(rows: DataFrame, min_count: int) -> DataFrame:
     return sums.where(F.col("n_bad") >= min_count).groupBy("n", "s1", "s2").agg(F.min("t").alias("t")).select("t", "n")
 
 
+def wide_rules(rows: DataFrame, total, need: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, confidence, lift, support) and single tokens (t, freq) of rows(row, tokens, bad) of any width, by levels.
+
+    What is sure already is not extended, nor what stands in the same rows as the shorter combination it comes from: a rule with fewer tokens says the same.
+    """
+    at = scratch.keep(rows.select("row", "bad", "tokens", F.explode("tokens").alias("t")).withColumn("x", F.array("t")).withColumn("n_from", F.lit(None).cast("bigint")))
+    out, first = None, None
+    while True:
+        level = at.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.min("n_from").alias("n_from"))
+        level = scratch.keep(level.where((F.col("n_bad") >= need) & (F.col("n_from").isNull() | (F.col("n") < F.col("n_from")))).drop("n_from"))
+        out, first = (level, level) if out is None else (out.unionByName(level), first)
+        on = level.where("n_bad < n")
+        if on.isEmpty():
+            break
+        kept = at.drop("n_from").join(on.select("x", F.col("n").alias("n_from")), "x")
+        single = first.where("n_bad < n").select(F.col("x")[0].alias("next"))
+        more = kept.select("row", "bad", "tokens", "x", "n_from", F.explode(F.filter("tokens", lambda t: t > F.element_at("x", -1))).alias("next")).join(single, "next")
+        at = scratch.keep(more.select("row", "bad", "tokens", F.concat("x", F.array("next")).alias("x"), "n_from"))
+    sure = F.col("n_bad") / F.col("n")
+    rules = out.select(F.col("x").alias("tokens"), sure.alias("confidence"), (sure / (total["bad"] / total["n"])).alias("lift"), (F.col("n_bad") / total["n"]).alias("support"))
+    return rules, first.select(F.col("x")[0].alias("t"), F.col("n").alias("freq"))
+
+
 def mine(labelled: DataFrame, scratch: Scratch, *, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT, min_count=MIN_COUNT) -> DataFrame:
     """Rules (tokens, confidence, support, key) from labelled(url, bad); key is the rarest token.
 
@@ -68,16 +93,22 @@ def mine(labelled: DataFrame, scratch: Scratch, *, min_support=MIN_SUPPORT, min_
         return none
     known = scratch.keep(mined_tokens(rows, min_count))
     kept = rows.select("row", F.explode("tokens").alias("t")).join(known, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x"))
-    items = F.transform(F.slice(F.coalesce("x", F.array().cast("array<struct<n:bigint,t:string>>")), 1, WIDTH), lambda x: x["t"])
-    # every row counts for the support, those without a mined token too
-    rows = scratch.keep(rows.select("row", "bad").join(kept, "row", "left").select(F.concat(items, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total["n"]), minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.where((F.size("consequent") == 1) & F.array_contains("consequent", BAD) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").cache()
+    kept = scratch.keep(kept)
+    if kept.where(F.size("x") > WIDTH).isEmpty():
+        items = F.transform(F.coalesce("x", F.array().cast("array<struct<n:bigint,t:string>>")), lambda x: x["t"])
+        # every row counts for the support, those without a mined token too
+        rows = scratch.keep(rows.select("row", "bad").join(kept, "row", "left").select(F.concat(items, F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
+        model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total["n"]), minConfidence=min_confidence).fit(rows)
+        rules = model.associationRules.where((F.size("consequent") == 1) & F.array_contains("consequent", BAD)).withColumnRenamed("antecedent", "tokens")
+        single = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("t"), "freq")
+    else:
+        need = math.ceil(max(min_support, min_count / total["n"]) * total["n"])
+        rules, single = wide_rules(rows.select("row", "bad").join(kept.select("row", F.transform("x", lambda x: x["t"]).alias("tokens")), "row"), total, need, scratch)
+        rules = rules.where(F.col("confidence") >= min_confidence)
+    rules = rules.where(F.col("lift") >= min_lift).select(F.array_sort("tokens").alias("tokens"), "confidence", "support").cache()
     try:
         if rules.isEmpty():
             return none
-        single = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("t"), "freq")
         key = rules.select("tokens", F.explode("tokens").alias("t")).join(single, "t").groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("key"))
         # by the key of the shorter rule, so that only rules that share a token meet
         short = rules.join(key, "tokens").select(F.col("tokens").alias("few"), F.col("confidence").alias("as_sure"), "key")

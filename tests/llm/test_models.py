@@ -351,3 +351,11 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rules_of_frequent_tokens_in_wide_urls(spark, scratch):
+    """A rule of the two most frequent tokens is found in URLs with more mined tokens than WIDTH."""
+    # ten rarer tokens, each sure of nothing, stand beside the two
+    rows = [(f"https://w.net/{'/'.join(['aa'] * (k % 2) + ['bb'] * (k // 2 % 2) + [f'x{j}' for j in range(12) if (k * 7 + j * j) % 5 < 2 or k % 4 == 3 and k % 3 == 0])}", k % 4 == 3) for k in range(240)]
+    got = {tuple(r.tokens): r for r in urls.mine(spark.createDataFrame(rows, "url string, bad boolean"), scratch).collect()}
+    assert got["p:aa", "p:bb"].confidence == 1.0 and got["p:aa", "p:bb"].support == 0.25
