@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import TEXTS, shingles_of
+from .tiles import BLOCK, block_of
 
 #: Features that are dealt out at a time.
 CHUNK = 1 << 20
+#: Features of several units in a block, and how many make a second block worth while.
+HELD = 800_000
+FEW = 100_000
 #: An odd factor and its inverse modulo 2 ** 64: spreads hashes of any range over the buckets, and back.
 SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 1 << 64)
@@ -111,7 +115,8 @@ def _counted(t: pa.Table, n: int) -> list[pa.RecordBatch]:
     return [_rows(rows[i : i + 64]) for i in range(0, len(rows), 64)]
 
 
-def _units(t: pa.Table) -> pa.Table:
+def _unit_arrays(t: pa.Table) -> tuple:
+    """ids, n_feat, wsum, alone, same, start, h, w, df of the units that features and sizes came for."""
     cols = {k: t.column(k).to_pylist() for k in ("kind", "fid", "h", "w", "df")}
     own, sums = ([i for i, k in enumerate(cols["kind"]) if k == x] for x in (0, 1))
     of = lambda c, at: [cols[c][i] for i in at]
@@ -129,16 +134,55 @@ def _units(t: pa.Table) -> pa.Table:
     count = ends - starts
     # units without a feature of their own may be equal to others
     same = [hashlib.sha256(h[i:j].tobytes() + w[i:j].tobytes()).digest() if k == j - i else None for i, j, k in zip(starts, ends, n_feat)]
-    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h, w.astype(np.int32), df.astype(np.int32))]
-    out = pa.Table.from_arrays([pa.array(ids), pa.array(n_feat.astype(np.int32)), pa.array(wsum), pa.array(alone), pa.array(same, pa.binary()), *lists], ["fid", "n_feat", "wsum", "alone", "same", "h", "w", "df"])
-    return out.filter(pa.array(ids != NO_ID))
+    if len(ids) and ids[0] == NO_ID:  # has no features here
+        ids, n_feat, wsum, alone, same, count = (x[1:] for x in (ids, n_feat, wsum, alone, same, count))
+    return ids, n_feat, wsum, alone, same, np.concatenate([np.zeros(1, np.int64), np.cumsum(count)]), h, w, df
+
+
+def _units(t: pa.Table) -> pa.Table:
+    ids, n_feat, wsum, alone, same, start, h, w, df = _unit_arrays(t)
+    lists = [pa.ListArray.from_arrays(start.astype(np.int32), pa.array(x)) for x in (h, w.astype(np.int32), df.astype(np.int32))]
+    return pa.Table.from_arrays([pa.array(ids), pa.array(n_feat.astype(np.int32)), pa.array(wsum), pa.array(alone), pa.array(same, pa.binary()), *lists], ["fid", "n_feat", "wsum", "alone", "same", "h", "w", "df"])
 
 
-def units_with_postings(features: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+def units_with_postings(features: DataFrame | None, texts: DataFrame | None = None, work=None) -> DataFrame:
     """A row for each unit of features (fid, h, w): fid, n_feat, wsum, alone (weight of the features that no other has), same (equal for equal units, else
     null or unequal), and h, w, df of the features of two units or more, the rarest first, ties to the smaller hash. The features are read once; repeated ones count once, with the largest weight.
-    With texts (fid, text) their shingles are the features, made where they are dealt out."""
+    With texts (fid, text) their shingles are the features, made where they are dealt out. A workspace has what was counted written, and lets go of what was dealt out."""
+    return _counts(features, texts, work).groupBy("bucket").applyInArrow(_units, UNITS)
+
+
+def unit_blocks(features: DataFrame | None, texts: DataFrame | None, cutoff: int, prefix: float | None, work, among: DataFrame | None = None) -> DataFrame:
+    """The units in blocks (tiles.py), written: a block for HELD features of several units, eight at least where there are many. With ``among`` (fid) only these units."""
+    counted = _counts(features, texts, work)
+    n = counted.where("kind = 0").agg(F.sum(F.octet_length("df"))).first()[0] or 0
+    n_blocks = max(min(8, 1 + n // (8 * FEW)), -(-n // (8 * HELD)))
+    at = F.pmod("bucket", F.lit(n_blocks))
+    if among is None:
+
+        def block(key: tuple, t: pa.Table) -> pa.Table:
+            return block_of(key[0].as_py(), *_unit_arrays(t), cutoff, prefix)
+
+        made = counted.withColumn("block", at).groupBy("block").applyInArrow(block, BLOCK)
+    else:
+
+        def of_rows(key: tuple, t: pa.Table) -> pa.Table:
+            t = t.combine_chunks().sort_by("fid")
+            lists = [t.column(c).combine_chunks() for c in ("h", "w", "df")]
+            start = np.concatenate([np.zeros(1, np.int64), np.cumsum(lists[0].value_lengths().to_numpy())])
+            plain = [t.column(c).to_numpy().astype(np.int64) for c in ("fid", "n_feat", "wsum", "alone")]
+            return block_of(key[0].as_py(), *plain, t.column("same").to_pylist(), start, *[x.flatten().to_numpy().astype(np.int64) for x in lists], cutoff, prefix)
+
+        units = counted.groupBy("bucket").applyInArrow(_units, UNITS).join(among.select("fid").distinct(), "fid", "left_semi")
+        made = units.withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(of_rows, BLOCK)
+    blocks = work.keep(made, alone=True)
+    work.drop(counted)
+    work.tidy()
+    return blocks
+
+
+def _counts(features: DataFrame | None, texts: DataFrame | None, work=None) -> DataFrame:
+    """Rows of DEALT by buckets of ids: the features of several units with their frequencies, and sizes and weights of all units."""
     if texts is not None:
         rows = texts.select(F.coalesce(F.col("fid").cast("bigint"), F.lit(NO_ID)).alias("fid"), "text")
     else:
@@ -170,4 +214,9 @@ def units_with_postings(features: DataFrame | None, texts: DataFrame | None = No
     def count(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(_counted(t, n), schema=_rows([(0, 0, b"", b"", b"", b"")]).schema)
 
-    return rows.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, DEALT).groupBy("bucket").applyInArrow(_units, UNITS)
+    counted = rows.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, DEALT)
+    if work is None:
+        return counted
+    counted = work.keep(counted)
+    work.tidy()
+    return counted

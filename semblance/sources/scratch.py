@@ -32,19 +32,27 @@ def spread(scan: DataFrame) -> DataFrame:
 class Workspace:
     """Tables that several parts of a plan read: computed once, kept through the loss of executors, gone when Python ends."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidies: bool = True):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/semblance/work-{uuid.uuid4().hex}", 0
+        self.paths, self.tidies = {}, tidies
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, alone: bool = False) -> DataFrame:
+        """With ``alone`` each row has a file, so that large rows are read one by one."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        (df.write.option("maxRecordsPerFile", 1) if alone else df.write).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = path
+        return kept
+
+    def drop(self, kept: DataFrame) -> None:
+        """Deletes a table of this workspace that nothing reads any more."""
+        self._delete(self.paths.pop(id(kept)))
 
     def tidy(self) -> None:
         """Lets go of shuffled files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-        for _ in range(2):  # references go from Python first, then from the JVM, then the files
+        for _ in range(2 * self.tidies):  # references go from Python first, then from the JVM, then the files
             gc.collect()
             time.sleep(0.3)
             self.spark.sparkContext._jvm.System.gc()
@@ -52,7 +60,10 @@ class Workspace:
 
     def clear(self) -> None:
         try:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.root)
         except Exception:  # the session has ended first
             return
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

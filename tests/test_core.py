@@ -394,3 +394,24 @@ def test_containment_in_the_next(spark):
             if not any(c.isdigit() for x in s for c in x):
                 sig[k][s] = 10
     assert got == {(a, a + 1): sum(min(w, sig[a + 1].get(s, 0)) for s, w in sig[a].items()) / sum(sig[a].values()) for a in sig if a is not None and a + 1 in sig}
+
+
+def test_tiles_of_many_blocks(spark, monkeypatch):
+    """Candidates and scores over many small blocks, cut in small steps, with equal units in one block and in several, against brute force."""
+    import random
+
+    from semblance.operators import postings, tiles
+
+    monkeypatch.setattr(postings, "FEW", 20)
+    monkeypatch.setattr(postings, "HELD", 40)
+    for name, value in (("STEP", 7), ("PAIRS", 5), ("CELLS", 16)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = random.Random(4)
+    sets = [[(rng.choice([rng.randrange(9), rng.randrange(40), 100 + f]), rng.choice([1, 5, 300])) for _ in range(9)] for f in range(14)]
+    sets += [sets[k % 3] for k in range(16)]
+    rows = [(f, h, w) for f, s in enumerate(sets) for h, w in sorted(dict(s).items())]
+    df = spark.createDataFrame(rows, "fid bigint, h bigint, w int")
+    want = brute_pairs(rows, 6)
+    assert {tuple(r) for r in pairs.candidate_pairs(df, cutoff=6).collect()} == set(want)
+    got = [tuple(r) for r in pairs.scored_pairs(df, threshold=0.3, metric="jaccard", cutoff=6).select("a", "b", "j", "c").collect()]
+    assert len(got) == len(set(got)) and {(a, b): (j, c) for a, b, j, c in got} == {k: v for k, v in want.items() if v[0] >= 0.3}
