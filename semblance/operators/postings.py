@@ -188,7 +188,7 @@ def _counts(features: DataFrame | None, texts: DataFrame | None, work=None) -> D
     else:
         rows = features.where("h is not null").select(F.coalesce(F.col("fid").cast("bigint"), F.lit(NO_ID)).alias("fid"), F.col("h").cast("bigint").alias("h"), F.col("w").cast("bigint").alias("w"))
     shingled = texts is not None
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.rdd.getNumPartitions())
 
     def read(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         if not shingled:

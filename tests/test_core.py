@@ -415,3 +415,21 @@ def test_tiles_of_many_blocks(spark, monkeypatch):
     assert {tuple(r) for r in pairs.candidate_pairs(df, cutoff=6).collect()} == set(want)
     got = [tuple(r) for r in pairs.scored_pairs(df, threshold=0.3, metric="jaccard", cutoff=6).select("a", "b", "j", "c").collect()]
     assert len(got) == len(set(got)) and {(a, b): (j, c) for a, b, j, c in got} == {k: v for k, v in want.items() if v[0] >= 0.3}
+
+
+def test_ranks_without_all_hits(spark):
+    """Ranks of targets from the query's rarest features alone, against the ranks among all hits; a target that is no hit has none."""
+    import random
+
+    from semblance.operators.postings import units_with_postings
+    from semblance.sources.scratch import Workspace
+
+    rng = random.Random(7)
+    rows = [(f, h, w) for f in range(30) for h, w in sorted({rng.choice([rng.randrange(6), rng.randrange(40)]): rng.choice([5, 10]) for _ in range(9)}.items())]
+    df = spark.createDataFrame(rows + [(90, 7, 5), (91, 900, 5)], "fid bigint, h bigint, w int")
+    targets = spark.createDataFrame([(q, (7 * q + 3) % 30) for q in range(30) if (7 * q + 3) % 30 != q] + [(91, 2)], "qid bigint, fid bigint")
+    work = Workspace(spark, tidies=False)
+    hits = pairs.scored_hits(df.withColumnRenamed("fid", "qid"), df, cutoff=4).where("qid <> fid")
+    want = {tuple(r) for r in search.rank_of(hits, targets).collect()}
+    got = {tuple(r) for r in pairs.ranks_in_corpus(work.keep(units_with_postings(df)), targets, 4, work).collect()}
+    assert got == want and len(want) > 10
