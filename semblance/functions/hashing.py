@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -32,16 +33,33 @@ def mix64(x: int) -> int:
 
 def mix(a: int, b: int) -> int:
     """Depends on the order of a and b."""
-    return mix64(a * GOLDEN + b) & MASK62
+    x = (a * GOLDEN + b) & MASK64  # mix64, written out
+    x = ((x ^ (x >> 30)) * MIX_1) & MASK64
+    x = ((x ^ (x >> 27)) * MIX_2) & MASK64
+    return (x ^ (x >> 31)) & MASK62
 
 
 def mix_pos(h: int, pos: int) -> int:
     """h as an operand at a position."""
-    return mix64(h + (pos + 1) * POSITION) & MASK62
+    x = (h + (pos + 1) * POSITION) & MASK64
+    x = ((x ^ (x >> 30)) * MIX_1) & MASK64
+    x = ((x ^ (x >> 27)) * MIX_2) & MASK64
+    return (x ^ (x >> 31)) & MASK62
+
+
+#: Hashes that are remembered, and the longest string among their parts.
+REMEMBERED, SHORT = 1 << 14, 64
 
 
 def feed(*parts) -> int:
     """One hash of a domain byte and a run of integers and strings; strings carry their length, so parts can't run together."""
+    for p in parts:
+        if type(p) is str and len(p) > SHORT:
+            return _feed(*parts)
+    return _fed(*parts)
+
+
+def _feed(*parts) -> int:
     out = bytearray()
     for p in parts:
         if isinstance(p, str):
@@ -52,6 +70,9 @@ def feed(*parts) -> int:
     return mix64(fnv1a(bytes(out))) & MASK62
 
 
+_fed = lru_cache(REMEMBERED)(_feed)
+
+
 def hash60(c: Column) -> Column:
     """The first 60 bits of the MD5 digest: the same number in other SQL engines."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint")

@@ -182,15 +182,21 @@ def unit_blocks(features: DataFrame | None, texts: DataFrame | None, cutoff: int
 
 
 def _counts(features: DataFrame | None, texts: DataFrame | None, work=None) -> DataFrame:
-    """Rows of DEALT by buckets of ids: the features of several units with their frequencies, and sizes and weights of all units."""
+    """Rows of DEALT by buckets of ids: the features of several units with their frequencies, and sizes and weights of all units. Features are rows (fid, h, w), or rows with arrays h and w."""
     if texts is not None:
         rows = texts.select(F.coalesce(F.col("fid").cast("bigint"), F.lit(NO_ID)).alias("fid"), "text")
     else:
-        rows = features.where("h is not null").select(F.coalesce(F.col("fid").cast("bigint"), F.lit(NO_ID)).alias("fid"), F.col("h").cast("bigint").alias("h"), F.col("w").cast("bigint").alias("w"))
+        listed = features.schema["h"].dataType.typeName() == "array"
+        kind = "array<bigint>" if listed else "bigint"
+        rows = features.where("h is not null").select(F.coalesce(F.col("fid").cast("bigint"), F.lit(NO_ID)).alias("fid"), F.col("h").cast(kind).alias("h"), F.col("w").cast(kind).alias("w"))
     shingled = texts is not None
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.rdd.getNumPartitions())
 
     def read(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        if not shingled and listed:
+            h = batch.column("h")
+            yield [np.repeat(batch.column("fid").to_numpy(), h.value_lengths().to_numpy()), h.flatten().to_numpy(), batch.column("w").flatten().to_numpy()]
+            return
         if not shingled:
             yield [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             return

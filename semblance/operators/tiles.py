@@ -21,6 +21,8 @@ PAIRS = 1 << 18
 #: Cells of a tile that are marked at a time.
 CELLS = 1 << 24
 SLACK = 1e-6
+#: Features of a unit and of all it is compared with, up to which sorting them takes less than a step for the unit.
+LITTLE = 400
 ARRAYS = {"ids": np.int64, "n_feat": np.int64, "wsum": np.int64, "alone": np.int64, "low": np.int64, "start": np.int64, "h": np.int64, "w": None, "at": np.int32, "first": np.int64, "member": np.int64}
 BLOCK = "block int, kind string, " + ", ".join(f"{k} binary" for k in ARRAYS)
 SCORED = "a bigint, b bigint, n_a int, n_b int, sa bigint, sb bigint, shared bigint"
@@ -136,11 +138,39 @@ def _found(x: Block, y: Block, own: bool, threshold: float, metric: str) -> np.n
     return np.unique(np.concatenate(out))
 
 
+def _sums_by_sort(x: Block, y: Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of minima of units a of x and b of y: the features of both by pair and hash, so that common ones stand together."""
+    out = np.zeros(len(a), np.int64)
+    sides = []
+    for of, u in ((x, a), (y, b)):
+        n = of.start[u + 1] - of.start[u]
+        pair = np.repeat(np.arange(len(u)), n)
+        at = np.arange(len(pair)) + np.repeat(of.start[u] - (np.cumsum(n) - n), n)
+        sides.append((pair, of.h[at], of.w[at].astype(np.int64)))
+    pair, h, w = map(np.concatenate, zip(*sides))
+    order = np.lexsort((h, pair))
+    pair, h, w = pair[order], h[order], w[order]
+    met = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
+    np.add.at(out, pair[met], np.minimum(w[met], w[met + 1]))
+    return out
+
+
 def _sums(x: Block, y: Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of minima of units a (ascending) of x and b of y."""
     out = np.zeros(len(a), np.int64)
-    cuts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else []
-    for i, j in zip(cuts, cuts[1:]):
+    if not len(a):
+        return out
+    cuts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+    size = x.start[a + 1] - x.start[a] + y.start[b + 1] - y.start[b]
+    held = np.add.reduceat(size, cuts[:-1])
+    # units with little to compare, many at a time
+    few = np.flatnonzero(np.repeat(held <= LITTLE, np.diff(cuts)))
+    ends = np.cumsum(size[few])
+    for lo in range(0, int(ends[-1]) if len(few) else 0, STEP):
+        k = few[slice(*np.searchsorted(ends, [lo, lo + STEP], "right"))]
+        out[k] = _sums_by_sort(x, y, a[k], b[k])
+    many = np.flatnonzero(held > LITTLE)
+    for i, j in zip(cuts[many], cuts[many + 1]):
         own = slice(x.start[a[i]], x.start[a[i] + 1])
         order = np.argsort(x.h[own])
         h, w = x.h[own][order], x.w[own][order]

@@ -18,7 +18,7 @@ def index_of(units: DataFrame, min_features: int = MIN_FEATURES) -> Index:
     """An index of extracted units; rows with an error, or with too few features, are left out."""
     ok = units.where(F.col("error").isNull() & (F.size("features") >= min_features))
     keep = ["fid", "name", "file", "lang", "line_start", "line_end", "code_lines", "origin"]
-    return Index(ok.select(keep), unit_features(ok))
+    return Index(ok.select(keep), unit_features(ok), lists=ok.select("fid", F.col("features.h").alias("h"), F.col("features.w").alias("w")))
 
 
 def workspace(spark: SparkSession, paths: list[str], profile: str = "structural", options: Options | None = None) -> DataFrame:

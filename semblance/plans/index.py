@@ -29,6 +29,8 @@ class Index:
     work: Workspace | None = None
     #: (fid, text) where the features are the shingles of texts: pairs then make them where they need them
     texts: DataFrame | None = None
+    #: (fid, h, w) with arrays of features, where units were extracted with them: pairs then read these, without a row for each feature
+    lists: DataFrame | None = None
 
     @property
     def cutoff(self) -> int:
@@ -74,20 +76,20 @@ class Index:
         hits = scored_hits(queries, self.features, cutoff=self.cutoff, work=self.work).join(self.units, "fid").where(flt.passes())
         return top_hits(hits, flt.limit)
 
-    def duplicates(self, flt: PairFilter | None = None, nested: bool = False) -> DataFrame:
-        """Pairs of the whole index; one unit inside the other counts only with nested."""
+    def duplicates(self, flt: PairFilter | None = None, nested: bool = False, sort: bool = True) -> DataFrame:
+        """Pairs of the whole index, the best first; one unit inside the other counts only with nested. Without ``sort``, and without a limit, in any order."""
         flt = flt or PairFilter()
         among = None
         if flt.origin_a is not None and flt.origin_b is not None:
             # units of other origins are in no pair that passes; frequencies and cutoff stay those of all
             among = self.units.where(F.col("origin").isin(flt.origin_a, flt.origin_b)).select("fid")
-        pairs = scored_pairs(self.features, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff, work=self.work, among=among, texts=self.texts)
+        pairs = scored_pairs(self.features if self.lists is None else self.lists, threshold=flt.threshold, metric=flt.metric, cutoff=self.cutoff, work=self.work, among=among, texts=self.texts)
         for side in ("a", "b"):
             pairs = pairs.join(self.units.select([F.col(c).alias(side if c == "fid" else f"{side}_{c}") for c in self.units.columns]), side)
         pairs = pairs.where(flt.passes())
         if not nested and {"line_start", "line_end"} <= set(self.units.columns):
             pairs = pairs.where(~F.coalesce(nests("a_", "b_"), F.lit(False)))
-        return top_pairs(pairs, flt.limit)
+        return top_pairs(pairs, flt.limit) if sort or flt.limit > 0 else pairs
 
 
 def _files(spark: SparkSession, path: str):

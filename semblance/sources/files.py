@@ -90,11 +90,15 @@ def drafted(spark: SparkSession, code: str, lang: str) -> DataFrame:
     return spark.createDataFrame([(f"draft{EXTENSION_OF.get(lang.lower(), '.rs')}", code.encode())], "path string, content binary")
 
 
+#: Files whose units a task holds as objects at a time.
+FILES_AT_ONCE = 256
+
+
 def _unit_batches(profile: str, options: Options | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..frontend import units_of_source
 
-        for b in batches:
+        for b in (b.slice(k, FILES_AT_ONCE) for b in batches for k in range(0, b.num_rows, FILES_AT_ONCE)):
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:

@@ -433,3 +433,41 @@ def test_ranks_without_all_hits(spark):
     want = {tuple(r) for r in search.rank_of(hits, targets).collect()}
     got = {tuple(r) for r in pairs.ranks_in_corpus(work.keep(units_with_postings(df)), targets, 4, work).collect()}
     assert got == want and len(want) > 10
+
+
+def test_pairs_of_an_index_read_no_row_for_each_feature(spark):
+    """Units extracted with their features meet by these arrays: the same pairs as by rows, with units that come twice too."""
+    table = spark.createDataFrame([(f"{n}.py", fx.PYTHON.encode()) for n in "ab"] + [("c.py", fx.PYTHON_B.encode()), ("d.py", b"f = lambda x: x[1] + x[2], lambda y: g(y)\n")], "path string, content binary")
+    index = corpus.index_of(files.extract_units(table, "structural").localCheckpoint())
+    for flt in (search.PairFilter(threshold=0.3), search.PairFilter(threshold=0.999), search.PairFilter(threshold=0.5, metric="max")):
+        got = index.duplicates(flt, sort=False).collect()
+        rows = Index(index.units, index.features).duplicates(flt)
+        assert got and sorted(got) == sorted(rows.collect())
+    assert "Generate" not in index.lists._jdf.queryExecution().toString()
+
+
+def test_sums_of_many_small_units_and_of_large_ones():
+    import numpy as np
+
+    from semblance.operators import tiles
+
+    rng = np.random.default_rng(4)
+
+    class Units:
+        def __init__(self, sizes):
+            self.start = np.concatenate([[0], np.cumsum(sizes)])
+            self.h = np.concatenate([rng.choice(3 * n, n, replace=False) for n in sizes])
+            self.w = rng.integers(1, 20, len(self.h)).astype(np.uint8)
+            self.sig = [dict(zip(self.h[i:j].tolist(), self.w[i:j].tolist())) for i, j in zip(self.start, self.start[1:])]
+
+    x, y = (Units([*rng.integers(1, 12, 40), *rng.integers(150, 300, 5)]) for _ in "xy")
+    pairs_of = np.unique(rng.integers(0, 45 * 45, 900))
+    a, b = pairs_of // 45, pairs_of % 45
+    want = [sum(min(w, y.sig[j].get(h, 0)) for h, w in x.sig[i].items()) for i, j in zip(a, b)]
+    assert tiles._sums(x, y, a, b).tolist() == want
+    kept, tiles.STEP = tiles.STEP, 64
+    try:
+        assert tiles._sums(x, y, a, b).tolist() == want
+    finally:
+        tiles.STEP = kept
+    assert tiles._sums(x, y, a[:0], b[:0]).tolist() == []

@@ -190,3 +190,31 @@ def test_rename_normalization():
 def test_profiles_add_channels():
     base, full = signatures("a.py", fx.PYTHON), signatures("a.py", fx.PYTHON, "full")
     assert all(set(base[n]) <= set(full[n]) for n in base) and len(full["label"]) > len(base["label"])
+
+
+@pytest.mark.parametrize("lang,most", [(0, 1300), (1, 1500), (2, 1500), (3, 1500)])
+def test_a_file_takes_few_steps(lang, most):
+    """Calls for a file of code_dupes, which is many small files: bytes of known names aren't hashed again, brackets and tokens are looked up."""
+    import cProfile
+    import pstats
+
+    from semblance.queries import EXTENSIONS, HEAD, MORE, TAIL
+
+    text = (HEAD[lang] + MORE[lang] + TAIL[lang]).replace("%1$s", "7").replace("%2$s", "41").replace("%3$s", "+").replace("%%", "%")
+    assert len(units_of_source(f"x{EXTENSIONS[lang]}", text, "structural")) == 1
+    with cProfile.Profile() as p:
+        units_of_source(f"x{EXTENSIONS[lang]}", text, "structural")
+    assert pstats.Stats(p).total_calls < most
+
+
+def test_python_tokens_are_those_of_the_standard_tokenizer():
+    import io
+    import tokenize
+
+    from semblance.frontend import python
+
+    odd = "x = 0x_F + 1_0.5e-3j+.5 if a<=b!=c else b'\\'' \\\n  ** r\"\\d\"\n\ty: int=...; z:=3 # end\n"
+    more = ['d = """a\n"q" \\\n""" + u\'\'\nif x:\n\tpass\n\n# c\n', 'f"{a!r:>{w}} {{}}" + "é" + \'\'\n', "a\r\nb = 1\r\n", "", "@d\ndef f(*a, **k) -> None: return a//b>>c**2 @ e\n", "1if x else 2\n"]
+    for source in (odd.replace("z:=3", "(z:=3)"), *more, fx.PYTHON, fx.PYTHON_B):
+        want = [(t.string, t.start[0]) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type not in python.SKIPPED]
+        assert python.tokens(source) == want
