@@ -15,6 +15,8 @@ from ..functions.text import words
 
 #: Texts whose shingles are made at a time.
 TEXTS = 256
+#: A cutoff that no frequency is above: every feature proposes candidates.
+ALL = 1 << 40
 
 
 def raw_shingle_features(units: DataFrame, *, id_col: str, text_col: str, n: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ from .features import TEXTS, shingles_of
 from .tiles import BLOCK, block_of
 
 #: Features that are dealt out at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Features of several units in a block, and how many make a second block worth while.
 HELD = 800_000
 FEW = 100_000
@@ -155,8 +155,10 @@ def units_with_postings(features: DataFrame | None, texts: DataFrame | None = No
 def unit_blocks(features: DataFrame | None, texts: DataFrame | None, cutoff: int, prefix: float | None, work, among: DataFrame | None = None) -> DataFrame:
     """The units in blocks (tiles.py), written: a block for HELD features of several units, eight at least where there are many. With ``among`` (fid) only these units."""
     counted = _counts(features, texts, work)
-    n = counted.where("kind = 0").agg(F.sum(F.octet_length("df"))).first()[0] or 0
+    n, last = (x or 0 for x in counted.agg(F.sum(F.octet_length("df")), F.max("bucket")).first())
     n_blocks = max(min(8, 1 + n // (8 * FEW)), -(-n // (8 * HELD)))
+    # as many buckets in one block as in another
+    n_blocks = -(-(last + 1) // max(1, (last + 1) // n_blocks))
     at = F.pmod("bucket", F.lit(n_blocks))
     if among is None:
 
@@ -175,7 +177,7 @@ def unit_blocks(features: DataFrame | None, texts: DataFrame | None, cutoff: int
 
         units = counted.groupBy("bucket").applyInArrow(_units, UNITS).join(among.select("fid").distinct(), "fid", "left_semi")
         made = units.withColumn("block", F.pmod(F.xxhash64("fid"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(of_rows, BLOCK)
-    blocks = work.keep(made, alone=True)
+    blocks = work.keep(made, alone=True, rows=TEXTS)
     work.drop(counted)
     work.tidy()
     return blocks
@@ -223,6 +225,6 @@ def _counts(features: DataFrame | None, texts: DataFrame | None, work=None) -> D
     counted = rows.mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, DEALT)
     if work is None:
         return counted
-    counted = work.keep(counted)
+    counted = work.keep(counted, rows=TEXTS if shingled else None)
     work.tidy()
     return counted

@@ -7,6 +7,7 @@ known, then every pair is returned.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 #: Rarest features of a unit that propose candidates however frequent they are.
 RAREST = 8
 #: Meetings that are looked at, and pairs that are returned, at a time.
-STEP = 1 << 19
+STEP = 1 << 17
 PAIRS = 1 << 18
 #: Cells of a tile that are marked at a time.
 CELLS = 1 << 24
 SLACK = 1e-6
+#: Blocks that those of a task meet.
+TOGETHER = 4
 #: Features of a unit and of all it is compared with, up to which sorting them takes less than a step for the unit.
 LITTLE = 400
 ARRAYS = {"ids": np.int64, "n_feat": np.int64, "wsum": np.int64, "alone": np.int64, "low": np.int64, "start": np.int64, "h": np.int64, "w": None, "at": np.int32, "first": np.int64, "member": np.int64}
@@ -38,10 +41,21 @@ class Block:
         self.n = len(self.ids)
         size = np.diff(self.start)
         self.unit = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.all_probe = np.array_equal(self.low, size)
+
+    @cached_property
+    def probe(self) -> np.ndarray:
+        """Whether a feature is one up to the cutoff, or of the unit's rarest."""
+        size = np.diff(self.start)
         place = np.arange(len(self.h), dtype=np.int32) - np.repeat(self.start[:-1].astype(np.int32), size)
-        # a feature up to the cutoff, or one of the unit's rarest
-        self.probe = place < np.repeat(np.maximum(self.low, RAREST - (self.n_feat - size)).astype(np.int32), size)
+        return place < np.repeat(np.maximum(self.low, RAREST - (self.n_feat - size)).astype(np.int32), size)
+
+    @cached_property
+    def meets(self) -> np.ndarray:
+        """The hashes that meet others, ascending."""
+        return self.h[self.at]
 
+    @cached_property
     def rests(self) -> np.ndarray:
         """Of the features that meet others, the weight of their unit from there on."""
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.w, dtype=np.int64)])
@@ -114,13 +128,16 @@ def _found(x: Block, y: Block, own: bool, threshold: float, metric: str) -> np.n
 
     The lighter unit of such a pair has the threshold's share of its weight in common, so that feature stands in its prefix; for 'jaccard' in that of both.
     """
-    hx, hy = x.h[x.at], y.h[y.at]
-    end = np.searchsorted(hy, hx, "right")
+    hx, hy = x.meets, y.meets
     lo = np.arange(1, len(hx) + 1) if own else np.searchsorted(hy, hx, "left")
-    rx = x.rests()
-    ry = rx if own else y.rests()
+    met = np.flatnonzero(lo < len(hy))
+    met = met[hy[lo[met]] == hx[met]]
+    lo = lo[met]
+    end = np.searchsorted(hy, hx[met], "right")
+    rx, ry = x.rests, y.rests
     out = [np.empty(0, np.int64)]
     for r, k in runs(lo, end - lo, STEP):
+        r = met[r]
         p, q = x.at[r], y.at[k]
         u, v = x.unit[p].astype(np.int64), y.unit[q].astype(np.int64)
         wu, wv, ru, rv = x.wsum[u], y.wsum[v], rx[r], ry[k]
@@ -132,7 +149,8 @@ def _found(x: Block, y: Block, own: bool, threshold: float, metric: str) -> np.n
             light, before = np.minimum(wu, wv), np.where(lighter, wu - ru, wv - rv)
             ok = (most + SLACK >= threshold * light) & (before <= (1 - threshold) * light + SLACK)
         # a frequent feature proposes nothing unless it is one of the rarest of either
-        ok &= x.probe[p] | y.probe[q]
+        if not (x.all_probe or y.all_probe):
+            ok &= x.probe[p] | y.probe[q]
         u, v = u[ok], v[ok]
         out.append(np.unique(np.minimum(u, v) * y.n + np.maximum(u, v) if own else u * y.n + v))
     return np.unique(np.concatenate(out))
@@ -243,17 +261,41 @@ def linked_tile(x: Block, y: Block, own: bool) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, k)), pa.array(np.maximum(m, k))], ["a", "b"])
 
 
-def over_tiles(blocks: DataFrame, tile: Callable, schema: str) -> DataFrame:
-    """What ``tile`` makes of each two blocks, and of each with itself."""
-    x, y = (blocks.select([F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "xy")
+def over_tiles(blocks: DataFrame, tile: Callable, schema: str, work=None) -> DataFrame:
+    """What ``tile`` makes of each two blocks, and of each with itself. A block is sent to Python once, before all that a task has it meet.
+
+    With a workspace the result is written: a task then has some blocks meet TOGETHER others, read once for all, and Python gets a row at a time.
+    """
     names = blocks.columns
+    arrays = [c for c in names if c in ARRAYS]
+    x = blocks.select([F.col(c).alias(f"x_{c}") for c in names])
+    y = blocks
+    if work is not None:
+        n, tasks = blocks.rdd.getNumPartitions(), 4 * blocks.sparkSession.sparkContext.defaultParallelism
+        groups = -(-n // TOGETHER)
+        x, y = x.coalesce(max(groups, min(n, -(-tasks // groups)))), blocks.coalesce(groups)
+    # a row without arrays stands before the others of each partition, for those of x; rows are gone through in their order for each of x
+    head = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    y = y.withColumn("head", head).withColumn("own", F.explode(F.when(F.col("head"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    y = y.select("own", "block", "kind", *[F.when(~F.col("own"), F.col(c)).alias(c) for c in arrays])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                sides = [{c: batch.column(f"{s}_{c}")[i].as_buffer() if c in ARRAYS else batch.column(f"{s}_{c}")[i].as_py() for c in names} for s in "xy"]
-                own = sides[0]["block"] == sides[1]["block"]
-                first = Block(sides[0])
-                yield from tile(first, first if own else Block(sides[1]), own)
-
-    return x.join(y.hint("shuffle_replicate_nl"), F.col("x_block") <= F.col("y_block")).mapInArrow(each, schema)
+            for i, (m, own, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x_block", "own", "block")))):
+                if own or m != n:
+                    block = Block({c: batch.column(c)[i].as_buffer() if c in ARRAYS else batch.column(c)[i].as_py() for c in names})
+                if own:
+                    at, first = m, block
+                elif m != at:
+                    raise ValueError(f"block {m} does not come before those it meets")
+                else:
+                    yield from tile(first, first if m == n else block, m == n)
+                block = None
+            del batch  # before the next comes
+
+    met = x.join(y.hint("shuffle_replicate_nl"), F.col("own") | (F.col("x_block") <= F.col("block")))
+    sent = [F.when(F.col("own"), F.col(f"x_{c}")).when(F.col("x_block") < F.col("block"), F.col(c)).alias(c) for c in arrays]
+    out = met.select("x_block", "own", "block", F.when(F.col("own"), F.col("x_kind")).otherwise(F.col("kind")).alias("kind"), *sent).mapInArrow(each, schema)
+    # shuffled first, so that not each task creates files
+    return out if work is None else work.keep(out.hint("rebalance"), rows=1)

@@ -37,12 +37,20 @@ class Workspace:
         self.paths, self.tidies = {}, tidies
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame, alone: bool = False) -> DataFrame:
-        """With ``alone`` each row has a file, so that large rows are read one by one."""
+    def keep(self, df: DataFrame, alone: bool = False, rows: int | None = None) -> DataFrame:
+        """With ``alone`` each row has a file, so that large rows are read one by one, and arrays of bytes are stored as they are. With ``rows`` Python gets so many at a time."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (df.write.option("maxRecordsPerFile", 1) if alone else df.write).parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.options(maxRecordsPerFile=1, compression="none", **{"parquet.enable.dictionary": "false"}) if alone else df.write
+        conf, at_a_time = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(at_a_time)
+        conf.set(at_a_time, str(rows or before))
+        try:
+            writer.parquet(path)
+        finally:
+            conf.set(at_a_time, before)
+        # vectored reads hold on to memory outside the heap
+        kept = self.spark.read.option("parquet.hadoop.vectored.io.enabled", "false").schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         return kept
 

@@ -417,6 +417,53 @@ def test_tiles_of_many_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and {(a, b): (j, c) for a, b, j, c in got} == {k: v for k, v in want.items() if v[0] >= 0.3}
 
 
+def test_written_pairs_of_blocks_in_groups(spark, monkeypatch):
+    """Tiles that a task has several of, blocks that come once for them: the same pairs as one by one, and all without a cutoff; the session's settings stay."""
+    import random
+
+    from semblance.operators import postings
+
+    monkeypatch.setattr(postings, "FEW", 20)
+    monkeypatch.setattr(postings, "HELD", 30)
+    rng = random.Random(8)
+    rows = [(f, h, w) for f in range(60) for h, w in sorted({rng.choice([rng.randrange(6), rng.randrange(60), 100 + f % 45]): rng.choice([5, 10]) for _ in range(9)}.items())]
+    df, size = spark.createDataFrame(rows, "fid bigint, h bigint, w int"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for metric, cutoff in (("jaccard", features.ALL), ("jaccard", 4), ("max", features.ALL)):
+        got = [(r.a, r.b, r.j, r.c) for r in pairs.scored_pairs(df, threshold=0.25, metric=metric, cutoff=cutoff, written=True).collect()]
+        want = {k: v for k, v in brute_pairs(rows, cutoff).items() if (v[0] if metric == "jaccard" else max(v)) >= 0.25}
+        assert len(got) == len(want) > 20 and {(a, b): (j, c) for a, b, j, c in got} == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == size
+
+
+def test_weighted_jaccard_of_pairs_that_share_only_frequent_features(spark, tmp_path):
+    """A passage of more documents than the cutoff makes all of them similar, however many rarer features each has; with a group of copies, and a pair just below."""
+    import duckdb
+
+    from semblance.queries import QUERIES, SQL
+
+    passage = " ".join(f"p{'abcdefgh'[k % 8]}{'abcdefgh'[k // 8]}" for k in range(40))
+    own = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(k, f"{own(k, 12)} {passage}") for k in range(110)] + [(200 + k, f"{own(7, 12)} {passage}") for k in range(3)]
+    rows += [(300, f"{own(300, 76)} {passage}"), (301, passage), (302, f"{own(302, 77)} {passage}"), (400, "too short"), (401, None)]
+    spark.createDataFrame([(k, "s", "en", t) for k, t in rows], "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sig = {}
+    for k, t in rows:
+        ws = (t or "").split()
+        sig[k] = {s: 5 if any(c.isdigit() for x in s for c in x) else 10 for s in zip(ws, ws[1:], ws[2:])}
+    weight, want = {k: sum(s.values()) for k, s in sig.items()}, {}
+    for a in sorted(sig):
+        for b in sorted(sig):
+            s = sum(min(w, sig[b].get(x, 0)) for x, w in sig[a].items()) if a < b else 0
+            if s and s / (weight[a] + weight[b] - s) >= 0.5:
+                want[a, b] = s / (weight[a] + weight[b] - s)
+    assert want[300, 301] == 0.5 and (301, 302) not in want and len(want) > 113 * 112 // 2
+    got = [tuple(r) for r in QUERIES["weighted_jaccard"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {(a, b): j for a, b, j in con.execute(SQL["weighted_jaccard"]).fetchall()} == want
+
+
 def test_ranks_without_all_hits(spark):
     """Ranks of targets from the query's rarest features alone, against the ranks among all hits; a target that is no hit has none."""
     import random
